@@ -49,6 +49,10 @@ KEYS_PER_TASK = 6_000_000
 #: Expected candidates weighed as much as one key when a width is chosen.
 CANDIDATES_PER_KEY = 4
 _MIX = np.uint64(0x9E3779B97F4A7C15)
+#: Sets of one batch at most, so that a set's number and a 52-bit hash make one sortable word.
+BATCH = 4096
+_LOW = np.uint64(0xFFFFFFFF)
+_WORD, _OWNER_BITS = np.uint64(64), np.uint64(12)
 #: Sizes of one class differ by less than this factor.
 _CLASS_BASE = 2.0
 
@@ -85,7 +89,7 @@ def _count_up(lengths: np.ndarray) -> np.ndarray:
 
 
 class Shingler:
-    """Sets of a batch as flat arrays."""
+    """Sets of a batch of at most BATCH rows as flat arrays; a shingle is the upper 52 bits of its hash."""
 
     def __init__(self, shingle: int, least_words: int):
         self.memory, self.shingle, self.least = _Words(), shingle, least_words
@@ -113,12 +117,12 @@ class Shingler:
         for k in range(self.shingle):
             x = _mix(x + h[k : k + len(x)] + np.uint64(k + 1))
         inside = doc[: len(x)] == doc[self.shingle - 1 : self.shingle - 1 + len(x)]
-        x, doc = x[inside], doc[: len(x)][inside]
-        order = np.lexsort((x, doc))
-        x, doc = x[order], doc[order]
-        first = np.ones(len(x), bool)
-        first[1:] = (x[1:] != x[:-1]) | (doc[1:] != doc[:-1])
-        x, doc = x[first], doc[first]
+        packed = (x[inside] >> _OWNER_BITS) | (doc[: len(x)][inside].astype(np.uint64) << (_WORD - _OWNER_BITS))
+        packed.sort()
+        first = np.ones(len(packed), bool)
+        first[1:] = packed[1:] != packed[:-1]
+        packed = packed[first]
+        x, doc = packed << _OWNER_BITS, (packed >> (_WORD - _OWNER_BITS)).astype(np.int64)
         size = np.bincount(doc, minlength=len(n))
         some = size > 0  # a lone word or two have no shingle
         return np.array(rows, np.int64)[some], size[some], x
@@ -182,30 +186,30 @@ def prefix(n: np.ndarray, partner: np.ndarray, k: np.ndarray, width: np.ndarray,
 
 def subsets(x: np.ndarray, owner: np.ndarray, group: np.ndarray, width: int, flag: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Each `width` shingles of the same owner and group as one key: key, owner, and whether all are flagged."""
-    order = np.lexsort((x, group, owner))
-    x, owner, flag = x[order], owner[order], flag[order]
+    x = _mix(x)
     if width == 1:
         return _mix(x), owner, flag
-    place = owner * (1 << 32) + group[order]
+    place = (owner << 40) | group
+    order = np.argsort(place)
+    x, owner, flag, place = x[order], owner[order], flag[order], place[order]
     begin, length = _runs(place)
-    end = np.repeat(begin + length, length)
-    rest = end - np.arange(len(x)) - 1
+    rest = np.repeat(begin + length, length) - np.arange(len(x)) - 1
     i = np.repeat(np.arange(len(x)), rest)
     j = i + 1 + _count_up(rest)
-    key, mark = _mix(_mix(x[i]) + x[j]), flag[i] & flag[j]
+    key, mark = x[i] + x[j], flag[i] & flag[j]
     if width == 2:
-        return key, owner[i], mark
-    rest = end[j] - j - 1
+        return _mix(key), owner[i], mark
+    rest = rest[j]
     a = np.repeat(np.arange(len(j)), rest)
     b = j[a] + 1 + _count_up(rest)
-    return _mix(key[a] + x[b] * np.uint64(3)), owner[i[a]], mark[a] & flag[b]
+    return _mix(key[a] + x[b]), owner[i[a]], mark[a] & flag[b]
 
 
 def signatures(size: np.ndarray, x: np.ndarray, frequency: np.ndarray, widths: np.ndarray, t: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Keys of a batch of sets: key (its lowest bit tells an index key), owner."""
     owner = np.repeat(np.arange(len(size)), size)
-    order = np.lexsort((x, frequency[bucket(x)], owner))
-    x = x[order]
+    rank = np.minimum(frequency[bucket(x)], 0xFFFF).astype(np.uint64)
+    x = x[np.argsort((owner.astype(np.uint64) << (_WORD - _OWNER_BITS)) | (rank << np.uint64(36)) | (x >> np.uint64(28)))]
     place = np.arange(len(x)) - np.repeat(np.cumsum(size) - size, size)
     own = size_class(size)
     keys, owners = [], []
@@ -246,9 +250,7 @@ def signatures(size: np.ndarray, x: np.ndarray, frequency: np.ndarray, widths: n
             add(who, k[who], index, np.zeros(len(who), np.int64))
     if not keys:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    key, who = np.concatenate(keys), np.concatenate(owners)
-    order = np.argsort(who, kind="stable")
-    return key[order], who[order]
+    return np.concatenate(keys), np.concatenate(owners)
 
 
 #: Size classes: sets of up to 2 ** 31 shingles.
@@ -263,33 +265,31 @@ def choose_widths(cost: np.ndarray) -> np.ndarray:
     return widths
 
 
-def join_keys(key: np.ndarray, entry: np.ndarray, name: np.ndarray, size: np.ndarray, bitmap: np.ndarray, t: float, block: int = 2_000_000) -> Iterator[np.ndarray]:
-    """Candidate pairs (names, smaller first) among entries that share a key; each list is taken in blocks."""
-    order = np.argsort(key, kind="stable")
-    key, entry = key[order], entry[order]
-    begin, length = _runs(key >> np.uint64(1))
-    many = length > 1
-    begin, length = begin[many], length[many]
-    # all entries of lists, then for each its partners further down the list
+def join_keys(packed: np.ndarray, name: np.ndarray, size: np.ndarray, bitmap: np.ndarray, t: float, block: int = 2_000_000) -> Iterator[np.ndarray]:
+    """Candidate pairs among entries that share a key, packed as two entries; each key's list is taken in blocks.
+
+    `packed` is sorted: 31 bits of the key, the index flag, and 32 bits of the entry.
+    """
+    entry, flag = (packed & _LOW).astype(np.int64), ((packed >> np.uint64(32)) & np.uint64(1)).astype(bool)
+    begin, length = _runs(packed >> np.uint64(33))
+    begin, length = begin[length > 1], length[length > 1]
     at = np.repeat(begin, length) + _count_up(length)
     rest = np.repeat(length, length) - _count_up(length) - 1
     at, rest = at[rest > 0], rest[rest > 0]
-    flag = (key & np.uint64(1)).astype(bool)
     edges = np.concatenate([[0], np.cumsum(rest)])
     low = 0
     while low < len(at):
         high = max(low + 1, int(np.searchsorted(edges, edges[low] + block, "right")) - 1)
-        for part in _partners(at[low:high], rest[low:high], block):
-            a, b = part
+        for a, b in _partners(at[low:high], rest[low:high], block):
             ea, eb = entry[a], entry[b]
             na, nb = size[ea], size[eb]
-            ok = ((flag[a] & (na <= nb)) | (flag[b] & (nb <= na))) & (np.minimum(na, nb) >= t * np.maximum(na, nb) - 1e-9) & (name[ea] != name[eb])
+            ok = ((flag[a] & (na <= nb)) | (flag[b] & (nb <= na))) & (np.minimum(na, nb) >= t * np.maximum(na, nb) - 1e-9) & (ea != eb)
             ea, eb, total = ea[ok], eb[ok], (na + nb)[ok]
             apart = np.bitwise_count(bitmap[ea] ^ bitmap[eb]).sum(axis=1)
             ok = apart <= total - 2 * needed(total, t)
-            pair = np.stack([np.minimum(name[ea[ok]], name[eb[ok]]), np.maximum(name[ea[ok]], name[eb[ok]])], axis=1)
-            if len(pair):
-                yield np.unique(pair, axis=0)
+            ea, eb = ea[ok].astype(np.uint64), eb[ok].astype(np.uint64)
+            if len(ea):
+                yield np.unique((np.minimum(ea, eb) << np.uint64(32)) | np.maximum(ea, eb))
         low = high
 
 
@@ -385,8 +385,8 @@ def candidates(rows: DataFrame, frequency: np.ndarray, widths: np.ndarray, range
         make = Shingler(shingle, least_words)
         freq, wide = shared.value
         for part in parts:
-            for low in range(0, part.num_rows, 4000):
-                piece = part.slice(low, 4000)
+            for low in range(0, part.num_rows, BATCH):
+                piece = part.slice(low, BATCH)
                 _, size, x = make(piece.column(1).to_pylist(), piece.column(2).to_pylist())
                 if not len(size):
                     continue
@@ -404,9 +404,10 @@ def candidates(rows: DataFrame, frequency: np.ndarray, widths: np.ndarray, range
             for no, blob in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
                 by_range.setdefault(no, []).append(blob)
         for blobs in by_range.values():
-            key, entry, name, size, bitmap = unpack_blocks(blobs)
-            for pair in merged(join_keys(key, entry, name, size, bitmap, t)):
-                yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], ["a", "b"])
+            packed, name, size, bitmap = unpack_blocks(blobs)
+            for pair in merged(join_keys(packed, name, size, bitmap, t)):
+                a, b = (pair >> np.uint64(32)).astype(np.int64), (pair & _LOW).astype(np.int64)  # names are sorted, so a's is the smaller
+                yield pa.RecordBatch.from_arrays([pa.array(name[a]), pa.array(name[b])], ["a", "b"])
 
     blocks = rows.mapInArrow(emit, "range int, block binary").repartition(ranges, "range")
     return blocks.mapInArrow(meet, "a bigint, b bigint").distinct()
@@ -428,17 +429,17 @@ def merged(parts: Iterator[np.ndarray], rows: int = 1_000_000) -> Iterator[np.nd
     for part in parts:
         held.append(part)
         if sum(map(len, held)) > rows:
-            held = [np.unique(np.concatenate(held), axis=0)]
+            held = [np.unique(np.concatenate(held))]
             if len(held[0]) > rows // 2:
                 yield held.pop()
     if held:
-        yield np.unique(np.concatenate(held), axis=0)
+        yield np.unique(np.concatenate(held))
 
 
 def pack_blocks(key, who, name, size, bitmap, labels: np.ndarray) -> pa.RecordBatch:
     """For each range of keys: number of sets and keys, then names, sizes, bitmaps, keys per set, keys (32 bits of them)."""
     part = ((key >> np.uint64(33)) % np.uint64(len(labels))).astype(np.int64)
-    order = np.lexsort((who, part))
+    order = np.argsort((part << 12) | who)
     part, who, low = part[order], who[order], (key[order] & np.uint64(0xFFFFFFFF)).astype(np.uint32)
     begin, length = _runs(part)
     numbers, blobs = [], []
@@ -465,15 +466,13 @@ def unpack_blocks(blobs: list[bytes]):
             out.append(np.frombuffer(blob, kind, number, at))
             at += out[-1].nbytes
     name, size, bitmap = np.concatenate(names), np.concatenate(sizes).astype(np.int64), np.concatenate(maps).reshape(-1, BITMAP)
-    key = np.concatenate(keys).astype(np.uint64)
     # entries of equal sets from several batches become one
-    _, first, same = np.unique(name, return_index=True, return_inverse=True)
-    entry = np.repeat(same, np.concatenate(counts))
-    if len(first) < len(name):
-        # flagged and plain are one and the same key: np.unique keeps both at most
-        packed = np.unique(np.stack([key, entry.astype(np.uint64)], axis=1), axis=0)
-        key, entry = packed[:, 0], packed[:, 1].astype(np.int64)
-    return key, entry, name[first], size[first], bitmap[first]
+    name, first, same = np.unique(name, return_index=True, return_inverse=True)
+    packed = (np.concatenate(keys).astype(np.uint64) << np.uint64(32)) | np.repeat(same.astype(np.uint64), np.concatenate(counts))
+    packed.sort()
+    if len(first) < len(same):
+        packed = packed[np.concatenate([[True], packed[1:] != packed[:-1]])]
+    return packed, name, size[first], bitmap[first]
 
 
 def similar_sets(df: DataFrame, t: float = THRESHOLD, shingle: int = SHINGLE, least_words: int = LEAST_WORDS) -> tuple[DataFrame, DataFrame]:
