@@ -34,6 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from talefold.llm.arrow import add_slices
 from talefold.session import stage
 
 WORD = re.compile(r"[^\W_]+")
@@ -345,34 +346,9 @@ def _member_batch(row_id, set_id, n, slice_no, blobs) -> pa.RecordBatch:
 
 
 def _frequencies(members: DataFrame) -> np.ndarray:
-    """Sum of all tasks' frequencies: 4 MB on the driver, whatever the size of the corpus.
-
-    Each task adds what it reads before anything is shuffled; at many tasks a
-    first sum over `SLICES` random parts of each slice keeps any one task small.
-    """
-
-    def add(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zstandard
-
-        unpack = zstandard.ZstdDecompressor().decompress
-        sums: dict[int, np.ndarray] = {}
-        for part in parts:
-            for no, blob in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                counts = np.frombuffer(unpack(blob), np.int64)
-                sums[no] = sums[no] + counts if no in sums else counts
-        pack = zstandard.ZstdCompressor(3).compress
-        if sums:
-            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([pack(c.tobytes()) for c in sums.values()], pa.binary())], ["slice", "counts"])
-
-    kind = "slice int, counts binary"
-    parts = members.where("slice >= 0").select("slice", "counts").mapInArrow(add, kind)
-    parts = parts.repartition("slice").mapInArrow(add, kind)
-    import zstandard
-
-    out = np.zeros((SLICES, BUCKETS // SLICES), np.int64)
-    for row in parts.collect():
-        out[row["slice"]] = np.frombuffer(zstandard.ZstdDecompressor().decompress(bytes(row["counts"])), np.int64)
-    return np.minimum(out.reshape(-1), (1 << 31) - 1).astype(np.int32)
+    """Sum of all tasks' frequencies: 4 MB on the driver, whatever the size of the corpus."""
+    total = add_slices(members.where("slice >= 0").select("slice", "counts"), BUCKETS, SLICES)
+    return np.minimum(total, (1 << 31) - 1).astype(np.int32)
 
 
 def candidates(rows: DataFrame, frequency: np.ndarray, widths: np.ndarray, ranges: int, shingle: int, least_words: int, t: float) -> DataFrame:
