@@ -35,6 +35,8 @@ _EMAIL_SPELLED = re.compile(
     rf"(?<![\w.+-])[\w.+-]*\w(?:{_AT}[\w-]+(?:{_DOT}[\w-]+)+|\s*[\[({{<]\s*at\s*[\])}}>]\s*(?:[\w-]+\.)+[^\W\d_]{{2,}}|@[\w-]+(?:{_DOT}[\w-]+)+)", re.I
 )
 
+_SPELLED_HINT = re.compile(r"\b(?:dot|DOT|Dot)\b|[\[({<]\s*(?:at|AT)\s*[\])}>]")
+
 # telephone numbers
 _PHONE = re.compile(
     r"(?<![\w+./-])(?:"
@@ -94,19 +96,19 @@ GIVEN = set(
 )
 _CAP = r"(?:[A-ZÀ-ÞА-ЯЁ][a-zß-ÿа-яё]+(?:[-'’][A-ZÀ-Þa-zß-ÿ]+)*|[A-ZÀ-ÞА-ЯЁ]{3,}(?:[-'’][A-ZÀ-Þ]{2,})*)"
 _TOKEN = re.compile(r"[A-ZÀ-ÞА-ЯЁ][A-Za-zÀ-ÿА-Яа-яЁё]+")
-_AFTER = re.compile(rf"\s+(?:(?:[A-Z]\.\s*){{1,2}})?(?:(?:van|von|de|da|di|del|der|la|le)\s+)*(?P<family>{_CAP})")
-_BEFORE = re.compile(rf"(?P<family>{_CAP})(?:,\s*|\s+)$")
+_AFTER = re.compile(rf"(?:[ \t]+|[ \t]*\r?\n[ \t]*)(?:(?:[A-Z]\.\s*){{1,2}})?(?:(?:van|von|de|da|di|del|der|la|le)\s+)*(?P<family>{_CAP})")
+_BEFORE = re.compile(rf"(?P<family>{_CAP})(?:,\s*|[ \t]+)$")
 _INITIAL = re.compile(r"\s+[A-Z]\.(?![a-z])")
-_TITLE = re.compile(r"(?:\b(?:Dr|Prof|Mr|Mrs|Ms|Mme|M|Herr|Frau|Sr|Sra|Sir|Lady|Rev|Hon)\.?|\bMadame|\bMonsieur)\s+$")
-_PERSON_CONTEXT = re.compile(
-    r"(?:thanks to|thank you,?|typed by|translated by|submitted by|received from|signed by|confirmed by|edited by|sent by|read by|found by|proofs? (?:read )?by|illustrated by|collected by|told by|from the desk of|"
-    r"desk of|neighbour|neighbor|friend|colleague|editor|reader|translator|yours sincerely,?|kind regards,?|regards,?|best wishes,?|contact\s?:|kontakt\s?:|contacto\s?:|author['’]s file\s?:|written by|it was|dear|attn\.?|c/o|goes to|"
-    r"sincerely,|mit freundlichen grüßen,?|cordialement,?|atentamente,?|спасибо|редактор|переводчик)[\s,:—–-]*(?:(?:Dr|Prof|Mr|Mrs|Ms|Mme|Herr|Frau)\.?\s+)?$",
-    re.I,
-)
+# Phrases before the name of someone around the book.
+_PERSON_PHRASES = """thanks to|thank you|typed by|letter from|translated by|submitted by|received from|signed by|confirmed by|edited by|sent by|read by|found by|proofread by|illustrated by|collected by|told by|desk of|neighbour|neighbor|friend|colleague|editor|
+    translator|sincerely|regards|wishes|contact|kontakt|contacto|contato|author's file|author’s file|written by|it was|dear|attn|c/o|goes to|freundlichen grüßen|cordialement|atentamente|atenciosamente|спасибо|редактор|переводчик|dr|prof|mr|mrs|ms|mme|herr|frau|sr|sra|sir|lady|
+    rev|madame|monsieur|übersetzt von|eingereicht von|traduit par|envoyé par|traducido por|enviado por|traduzido por""".replace("\n", "")
+_LEAD = re.compile(r"[\s,:.—–-]*(?:(?:Dr|Prof|Mr|Mrs|Ms|Mme|Herr|Frau|Sr|Sra)\b\.?\s+)?")
+_TITLES = set("dr prof mr mrs ms mme herr frau sr sra sir lady rev hon madame monsieur".split())
 _PERSON_AFTER = re.compile(r"^[\s,;:—–(<\[-]*(?:<|[\w.+-]+@|\+?\(?\d{2,}|for reading|told me|who found|on the telephone|[\w.+-]+ (?:\[at\]|\(at\)|at) |\((?:tel|dni|passport|social|national|ni|driving|tax|ssn)|passport|social security|national insurance|dni|ssn|ni number|driving)", re.I)
 #: Given-name-like words that begin sentences or name places.
-_PLACE_END = set("steps hollow weir ferry quay common barrow chantry hill moor street road lane way close court avenue place square house hall bridge gate".split())
+_MONTHS = set("january february march april may june july august september october november december monday tuesday wednesday thursday friday saturday sunday".split())
+_PLACE_END = _MONTHS | set("steps hollow weir ferry quay common barrow chantry hill moor street road lane way close court avenue place square house hall bridge gate".split())
 
 
 def luhn(digits: str) -> bool:
@@ -129,10 +131,9 @@ def dni(value: str) -> bool:
 
 def emails(text: str) -> list[Span]:
     out = []
-    low = text.lower()
     if "@" in text:
         out += [Span(*m.span(), "email", 1.0) for m in _EMAIL.finditer(text)]
-    if "dot" in low or "(at)" in low or "[at]" in low:
+    if _SPELLED_HINT.search(text):
         out += [Span(*m.span(), "email", 0.9) for m in _EMAIL_SPELLED.finditer(text)]
     return out
 
@@ -160,9 +161,12 @@ def phones(text: str, taken: list[Span]) -> list[Span]:
     return out
 
 
-def identities(text: str) -> list[Span]:
-    out = []
-    for m in _ID.finditer(text):
+def identities(text: str, anchors: list[int]) -> list[Span]:
+    out: list[Span] = []
+    for at in anchors:
+        m = _ID.match(text, at)
+        if m is None or (out and m.start("value") < out[-1].end):
+            continue
         value = m.group("value")
         # the value ends where words begin
         parts = re.split(r"(\s)", value)
@@ -196,43 +200,79 @@ def addresses(text: str) -> list[Span]:
     return out
 
 
-def names(text: str, taken: list[Span]) -> list[Span]:
+class Anchors:
+    """Labels of identity numbers and phrases about people, found in one pass by an automaton."""
+
+    def __init__(self):
+        import ahocorasick
+
+        self.automaton = ahocorasick.Automaton()
+        labels = {re.sub(r"\W.*", "", x) for x in _ID_LABEL.split("|")}
+        for kind, words in (("id", labels), ("person", {x.strip() for x in _PERSON_PHRASES.split("|")})):
+            for word in words:
+                known = self.automaton.get(word, ())
+                self.automaton.add_word(word, (*known, (kind, len(word))))
+        self.automaton.make_automaton()
+
+    def __call__(self, text: str) -> tuple[list[int], set[int]]:
+        """Where labels begin, and where names after phrases would begin."""
+        low = text.lower()
+        if len(low) != len(text):
+            low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+        labels, people = [], set()
+        n = len(low)
+        for end, kinds in self.automaton.iter(low):
+            for kind, size in kinds:
+                start = end - size + 1
+                if start and low[start - 1].isalnum():
+                    continue
+                if kind == "id":
+                    labels.append(start)
+                elif end + 1 == n or not low[end + 1].isalnum():
+                    people.add(_LEAD.match(text, end + 1).end())
+        return labels, people
+
+
+_ANCHORS: list[Anchors] = []
+
+
+def anchors(text: str) -> tuple[list[int], set[int]]:
+    if not _ANCHORS:
+        _ANCHORS.append(Anchors())
+    return _ANCHORS[0](text)
+
+
+def names(text: str, taken: list[Span], people: set[int]) -> list[Span]:
     """Given and family name in either order: a known given name, or two names in a context that is about people around the book."""
     out: list[Span] = []
     for m in _TOKEN.finditer(text):
         start, end = m.span()
-        if out and start < out[-1].end:
-            continue
-        given = m.group().lower() in GIVEN
-        before = text[max(0, start - 60) : start]
-        about = bool(_PERSON_CONTEXT.search(before)) or bool(_TITLE.search(before))
-        if not given and not about:
+        low = m.group().lower()
+        given, about = low in GIVEN, start in people
+        if not (given or about) or low in _TITLES or (out and start < out[-1].end):
             continue
         if any(s.start < end and start < s.end for s in taken):
             continue
         after = _AFTER.match(text, end)
-        if after and after.group("family").lower() not in _PLACE_END:
+        if after and after.group("family").lower() not in _PLACE_END and not any(s.start < after.end() and start < s.end for s in taken):
             stop = after.end()
             score = 0.6 * given + 0.35 * about
-            if not given:
-                # family name first: Achtelbury, Marek / ACHTELBURY Marek
+            if not given:  # the family name first
                 score += 0.4 * (after.group("family").lower() in GIVEN) + 0.2 * bool(_PERSON_AFTER.match(text[stop : stop + 40]))
             elif after.group("family").lower() in GIVEN and not about:
                 score -= 0.2
             if score >= LEAST_SCORE:
                 out.append(Span(start, stop, "name", score))
                 continue
-        if given and (prior := _BEFORE.search(before)) and (not out or start - len(prior.group()) >= out[-1].end):
+        if given and (prior := _BEFORE.search(text[max(0, start - 40) : start])) and (not out or start - len(prior.group()) >= out[-1].end):
             head = start - len(prior.group())
-            comma = "," in prior.group()
-            family = prior.group("family")
-            about = bool(_PERSON_CONTEXT.search(text[max(0, head - 60) : head])) or bool(_TITLE.search(text[max(0, head - 12) : head]))
+            family = prior.group("family").lower()
             tail = end + (lambda i: len(i.group()) if i else 0)(_INITIAL.match(text, end))
-            near = bool(_PERSON_AFTER.match(text[tail : tail + 40])) or bool(re.match(r"\s*[\])>.,;|]|\s+(?:and|und|et|y|e)\s|\s*$", text[tail : tail + 6]))
-            score = 0.3 + 0.2 * comma + 0.35 * about + 0.2 * near
-            if family.lower() in GIVEN or family.lower() in _PLACE_END:
+            near = bool(_PERSON_AFTER.match(text[tail : tail + 40])) or bool(re.match(r"\s*[\])>.;:|]|[ \t]*\n|\s+(?:and|und|et|y|e)\s|\s*$", text[tail : tail + 6]))
+            score = 0.3 + 0.2 * ("," in prior.group()) + 0.35 * (head in people) + 0.2 * near
+            if family in GIVEN or family in _PLACE_END or family in _TITLES:
                 score -= 0.3
-            if score >= LEAST_SCORE:
+            if score > LEAST_SCORE:
                 out.append(Span(head, tail, "name", score))
     return out
 
@@ -241,12 +281,13 @@ def spans(text: str | None) -> list[Span]:
     """All spans of LEAST_SCORE or more, in order, none overlapping another; none for null and empty texts."""
     if not text:
         return []
+    labels, people = anchors(text)
     found = emails(text)
-    found += identities(text)
+    found += identities(text, labels)
     if _ADDRESS_HINT.search(text):
         found += addresses(text)
         found += phones(text, found)
-    found += names(text, found)
+    found += names(text, found, people)
     found = sorted((s for s in found if s.score >= LEAST_SCORE), key=lambda s: (-s.score, s.start))
     kept: list[Span] = []
     for s in found:

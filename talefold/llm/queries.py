@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talefold.llm import leakage, neardup, splitting, tokens
+from talefold.llm import encodings, leakage, neardup, pii, residue, scans, splitting, tokens, truncation
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -30,6 +30,33 @@ def p1_pieces(spark: SparkSession, sf: str) -> DataFrame:
     return parts[0].unionByName(parts[1])
 
 
+#: Problem 2: table, column.
+RESIDUE = (("series_records", "raw_text"), ("standalone_records", "summary"))
+
+
+def p2_found(spark: SparkSession, sf: str) -> DataFrame:
+    parts = [residue.residue(_table(spark, sf, t), t, c).select("tbl", "row_id") for t, c in RESIDUE]
+    return parts[0].unionByName(parts[1])
+
+
+def p2_kinds(spark: SparkSession, sf: str) -> DataFrame:
+    parts = [residue.residue(_table(spark, sf, t), t, c) for t, c in RESIDUE]
+    return parts[0].unionByName(parts[1]).groupBy("tbl", "kind").agg(F.count("*").alias("n"), F.avg("coverage").alias("coverage"))
+
+
+def p2_clean(spark: SparkSession, sf: str) -> DataFrame:
+    parts = [residue.without_residue(_table(spark, sf, t), t, c).select(F.lit(t).alias("tbl"), "row_id", F.col(c).alias("text")) for t, c in RESIDUE]
+    return parts[0].unionByName(parts[1])
+
+
+def p3_found(spark: SparkSession, sf: str) -> DataFrame:
+    return truncation.truncated(_table(spark, sf, "standalone_records"))
+
+
+def p3_rates(spark: SparkSession, sf: str) -> DataFrame:
+    return truncation.truncation_rates(_table(spark, sf, "standalone_records"))
+
+
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     return neardup.near_duplicate_pairs(_table(spark, sf, "ingest_manifest"))
 
@@ -38,6 +65,26 @@ def p4_groups(spark: SparkSession, sf: str) -> DataFrame:
     return neardup.near_duplicate_groups(_table(spark, sf, "ingest_manifest"))
 
 
+def _scans(spark: SparkSession, sf: str) -> list[tuple[DataFrame, str, str]]:
+    return [(_table(spark, sf, t), t, c) for t, c in (("series_records", "raw_text"), ("village_chunks", "text"))]
+
+
+def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    return scans.scanned(_scans(spark, sf)).select("tbl", "row_id")
+
+
+def p5_repaired(spark: SparkSession, sf: str) -> DataFrame:
+    return scans.repaired(_scans(spark, sf))
+
+
+def p6_found(spark: SparkSession, sf: str) -> DataFrame:
+    return encodings.garbled(_table(spark, sf, "village_chunks"))
+
+
+def p6_restored(spark: SparkSession, sf: str) -> DataFrame:
+    return encodings.restored(_table(spark, sf, "village_chunks"))
+
+
 def p7_ids(spark: SparkSession, sf: str) -> DataFrame:
     return tokens.encode(_table(spark, sf, "documents"))
 
@@ -54,6 +101,14 @@ def p8_kept(spark: SparkSession, sf: str) -> DataFrame:
     return leakage.without_leaks(_table(spark, sf, "documents"), _table(spark, sf, "retrieval_cases"))
 
 
+def p9_found(spark: SparkSession, sf: str) -> DataFrame:
+    return pii.personal(_table(spark, sf, "documents")).select("doc_id", "kind")
+
+
+def p9_redacted(spark: SparkSession, sf: str) -> DataFrame:
+    return pii.redacted(_table(spark, sf, "documents"))
+
+
 _BLANKS = r"[\s\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
 
 
