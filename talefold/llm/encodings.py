@@ -62,24 +62,29 @@ class Chain:
                 except UnicodeDecodeError:
                     self.table[ord(char)] = LOST
 
-    def _run(self, run: str) -> str:
+    def _once(self, run: str) -> str:
         try:
             return bytes(map(self.byte.__getitem__, run)).decode("utf-8")
         except (KeyError, UnicodeDecodeError):
             return run
 
-    def __call__(self, text: str) -> str | None:
-        """The text before the wrong reading, None where the chain can't have been at work."""
+    def run(self, run: str) -> str | None:
+        """A run of characters beyond ASCII before the wrong reading; None where the chain can't have made it."""
         if self.table is not None:
-            out = text.translate(self.table)
-            return None if out == text or LOST in out else out
+            out = run.translate(self.table)
+            return None if out == run or LOST in out else out
         for _ in range(self.times):
-            out = _RUN.sub(lambda m: self._run(m.group()), text)
-            if out == text:
+            out = _RUN.sub(lambda m: self._once(m.group()), run)
+            if out == run:
                 return None
-            out = _PLAIN_SPACE.sub("à ", out) if "Ã" in out else out
-            out = _LOST_HYPHEN.sub("í", out) if "Ã" in out else out
-            text = out
+            run = out
+        return run
+
+    def __call__(self, text: str) -> str:
+        """The text before the wrong reading; runs that the chain can't have made stay."""
+        text = _RUN.sub(lambda m: self.run(m.group()) or m.group(), text)
+        if self.table is None and "Ã" in text:
+            text = _LOST_HYPHEN.sub("í", _PLAIN_SPACE.sub("à ", text))
         return text
 
 
@@ -109,35 +114,47 @@ NAMES = [c.name for c in CHAINS] + ["identity"]
 N_UTF8 = sum(c.table is None for c in CHAINS)
 
 
-def _pairs(text: str):
-    """Buckets of the neighbouring characters of which at least one isn't ASCII."""
-    for m in _RUN.finditer(text):
+def _pairs(before: str, run: str, after: str) -> list[int]:
+    """Buckets of the neighbouring characters in a run and at its edges."""
+    codes = [ord(before), *map(ord, run), ord(after)]
+    return [(a * 31421 + b * 7 + 3) % BUCKETS for a, b in zip(codes, codes[1:])]
+
+
+def _runs(unit: str):
+    """(character before, run, character after) of each run beyond ASCII; a line's edge counts as a line end."""
+    n = len(unit)
+    for m in _RUN.finditer(unit):
         a, b = m.span()
-        prev = ord(text[a - 1]) if a else 10
-        for char in text[a : b + 1]:
-            code = ord(char)
-            yield (prev * 31421 + code * 7 + 3) % BUCKETS
-            prev = code
-        if b == len(text):
-            yield (prev * 31421 + 73) % BUCKETS
+        yield unit[a - 1] if a else "\n", m.group(), unit[b] if b < n else "\n"
 
 
-def _readable(unit: str) -> bool:
-    """Could most of the unit be UTF-8 read wrongly? Chance makes few such texts."""
-    runs = _RUN.findall(unit)
-    return any(sum(chain._run(run) != run for run in runs) * 2 >= len(runs) for chain in CHAINS[:N_UTF8])
+#: Runs of characters that a task remembers; emptied beyond that, which changes no result.
+MEMORY = 200_000
 
 
 def pair_model(rows: DataFrame) -> np.ndarray:
-    """Log frequencies of character pairs, from all units that can't be UTF-8 read wrongly."""
+    """Log frequencies of character pairs, from all units that aren't mostly readable as UTF-8 read wrongly: chance makes few such texts."""
 
     def make():
+        memory: dict[tuple[str, str, str], tuple[np.ndarray, list[int]]] = {}
+
+        def look(key: tuple[str, str, str]) -> tuple[np.ndarray, list[int]]:
+            if (known := memory.get(key)) is None:
+                if len(memory) > MEMORY:
+                    memory.clear()
+                known = memory[key] = np.array([c._once(key[1]) != key[1] for c in CHAINS[:N_UTF8]], np.int32), _pairs(*key)
+            return known
+
         def step(batch: pa.RecordBatch) -> np.ndarray:
             found: list[int] = []
             for t in batch.column(2).to_pylist():
                 for unit in _UNIT.findall(t):
-                    if not unit.isascii() and LOST not in unit and not _readable(unit):
-                        found.extend(_pairs(unit))
+                    if unit.isascii() or LOST in unit:
+                        continue
+                    runs = [look(key) for key in _runs(unit)]
+                    if 2 * sum(flags for flags, _ in runs).max() < len(runs):
+                        for _, pairs in runs:
+                            found += pairs
             return np.bincount(np.array(found, np.int64), minlength=BUCKETS)
 
         return step
@@ -146,36 +163,64 @@ def pair_model(rows: DataFrame) -> np.ndarray:
     return (np.log((counts + 0.3) / max(1, counts.sum())) - NEVER * (counts == 0)).astype(np.float32)
 
 
-def _score(unit: str, model: list[float]) -> float:
-    return WEIGHT * sum(map(model.__getitem__, _pairs(unit)))
-
-
-UNITS = "row_id bigint, pool string, unit int, chains array<int>, scores array<double>"
+#: Chains whose likelihood is below the identity's by this much (in logarithms) are left out of a unit.
+PRUNE = 8.0
+UNITS = "row_id bigint, pool string, unit int, chains array<int>, scores array<double>, n bigint"
 
 
 def scored_units(rows: DataFrame, model: np.ndarray) -> DataFrame:
-    """Of each unit with letters beyond ASCII: the chains that may have been at work and the likelihood of what they give."""
+    """Of each unit with letters beyond ASCII: the chains that may have been at work and the likelihood of what they give.
+
+    Units that no chain explains nearly as well as the identity come as one row for a batch and pool, with their number n.
+    """
     shared = rows.sparkSession.sparkContext.broadcast(model)
 
     def make():
         table = shared.value.tolist()
+        memory: dict[tuple[str, str, str], tuple[np.ndarray, np.ndarray]] = {}
+
+        def score(before: str, run: str, after: str) -> float:
+            return WEIGHT * sum(map(table.__getitem__, _pairs(before, run, after)))
+
+        def look(key: tuple[str, str, str]) -> tuple[np.ndarray, np.ndarray]:
+            """Scores of the run under each chain (the identity last), and which chains change it."""
+            if (known := memory.get(key)) is None:
+                if len(memory) > MEMORY:
+                    memory.clear()
+                before, run, after = key
+                scores, changed = np.full(IDENTITY + 1, score(*key)), np.zeros(IDENTITY + 1, bool)
+                for k, chain in enumerate(CHAINS):
+                    if (out := chain.run(run)) is not None:
+                        scores[k], changed[k] = score(before, out, after), True
+                    elif chain.table is not None:
+                        scores[k] = -np.inf
+                known = memory[key] = scores, changed
+            return known
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            cols: list[list] = [[] for _ in range(5)]
+            cols: list[list] = [[] for _ in range(6)]
+            plain: dict[str, int] = {}
             for row_id, pool, t in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 for no, unit in enumerate(_UNIT.findall(t)):
                     if unit.isascii():
                         continue
-                    options = {IDENTITY: unit}
-                    for k, chain in enumerate(CHAINS):
-                        if (out := chain(unit)) is not None and out not in options.values():
-                            options[k] = out
-                    if len(options) == 1 and LOST not in unit:
+                    total, changed = 0.0, False
+                    for key in _runs(unit):
+                        scores, some = look(key)
+                        total, changed = total + scores, changed | some
+                    near = np.flatnonzero(changed & (total >= total[IDENTITY] - PRUNE)).tolist()
+                    if not near and LOST not in unit:
+                        plain[pool] = plain.get(pool, 0) + 1
                         continue
-                    for col, value in zip(cols, (row_id, pool, no, list(options), [_score(o, table) for o in options.values()])):
+                    options = {float(total[k]): k for k in reversed(near)}  # chains that give the same text have the same score; the first counts
+                    values = (row_id, pool, no, [IDENTITY, *options.values()], [float(total[IDENTITY]), *options], 1)
+                    for col, value in zip(cols, values):
                         col.append(value)
-            kinds = (pa.int64(), pa.string(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.float64()))
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["row_id", "pool", "unit", "chains", "scores"])
+            for pool, n in plain.items():
+                for col, value in zip(cols, (None, pool, None, [IDENTITY], [0.0], n)):
+                    col.append(value)
+            kinds = (pa.int64(), pa.string(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.float64()), pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["row_id", "pool", "unit", "chains", "scores", "n"])
 
         return step
 
@@ -204,9 +249,9 @@ def estimate(units: DataFrame, rounds: int = ROUNDS) -> tuple[dict[str, list[flo
     for _ in range(rounds):
         sums = (
             _posterior(units, prior, start)
-            .select("pool", F.explode(F.arrays_zip("chains", "posterior")).alias("x"))
+            .select("pool", "n", F.explode(F.arrays_zip("chains", "posterior")).alias("x"))
             .groupBy("pool", F.col("x.chains").alias("chain"))
-            .agg(F.sum("x.posterior").alias("weight"))
+            .agg(F.sum(F.col("x.posterior") * F.col("n")).alias("weight"))
             .collect()
         )
         weights: dict[str, list[float]] = {}
@@ -232,7 +277,7 @@ def garbled_units(df: DataFrame, text: str = "text", pool: str = "lang", key: st
     prior, start = estimate(units)
     best = F.array_max(F.arrays_zip(F.col("posterior").alias("p"), F.col("chains").alias("c")))
     names = F.array(*[F.lit(n) for n in NAMES])
-    judged = _posterior(units, prior, start).select("row_id", "unit", best["c"].alias("c"), (F.size("chains") == 1).alias("lost"))
+    judged = _posterior(units.where("row_id is not null"), prior, start).select("row_id", "unit", best["c"].alias("c"), (F.size("chains") == 1).alias("lost"))
     return judged.where(F.col("lost") | (F.col("c") != IDENTITY)).select("row_id", "unit", F.when(~F.col("lost"), F.element_at(names, F.col("c") + 1)).alias("chain"))
 
 
@@ -259,7 +304,7 @@ def restored(df: DataFrame, text: str = "text", pool: str = "lang", key: str = "
             for t, fix in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 fix = dict(fix or ())
                 units = _UNIT.findall(t)
-                texts.append("".join(by_name[fix[k]](u) or u if k in fix else u for k, u in enumerate(units)))
+                texts.append("".join(by_name[fix[k]](u) if k in fix else u for k, u in enumerate(units)))
                 chains.append(sorted(set(fix.values())))
             whole = [LOST not in t for t in texts]
             return pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array(chains, pa.list_(pa.string())), pa.array(whole)], ["row_id", "restored", "chains", "complete"])
