@@ -6,12 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from talefold.plans import retrieval
+
 Query = Callable[[SparkSession, str], DataFrame]
+_PARTS = (retrieval,)
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return {name: f for part in _PARTS for name, f in part.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: text for part in _PARTS for name, text in part.ORACLE.items()}
