@@ -7,6 +7,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 _BREAK = re.compile(r"\n\s*\n+")
 _SENTENCE = re.compile(r"\n+|[.!?]\s+")
@@ -148,6 +149,6 @@ def format_extracted(text: str | None, full: int = 400) -> str:
     return re.sub(r"[ \t]+", " ", "\n\n".join(" ".join(p) for p in out if p))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def formatted(texts: pd.Series) -> pd.Series:
     return texts.map(format_extracted)

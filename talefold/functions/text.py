@@ -138,11 +138,15 @@ def short_sections(c: Column, least: int, expected: int = 5) -> Column:
     return F.filter(counted, lambda s: s["sentences"] < least)
 
 
+#: Edges of a word in any script, alike in every Java version.
+_EDGE = (r"(?<![\p{L}\p{N}_])", r"(?![\p{L}\p{N}_])")
+
+
 def entities(c: Column) -> Column:
     """Capitalised words and runs of them, without stop words and words of up to two letters; sorted."""
     t = strip(F.regexp_replace(c, rf"[{SPACE}]+", " "))
-    phrases = F.regexp_extract_all(t, F.lit(r"\b(?:[A-Z][a-z]+(?: [A-Z][a-z]+)*)\b"), F.lit(0))
-    tokens = F.regexp_extract_all(t, F.lit(r"\b[A-Z][a-z]+\b"), F.lit(0))
+    phrases = F.regexp_extract_all(t, F.lit(rf"{_EDGE[0]}[A-Z][a-z]+(?: [A-Z][a-z]+)*{_EDGE[1]}"), F.lit(0))
+    tokens = F.regexp_extract_all(t, F.lit(rf"{_EDGE[0]}[A-Z][a-z]+{_EDGE[1]}"), F.lit(0))
     kept = F.array_except(F.array_union(phrases, tokens), F.array(*[F.lit(s) for s in STOP]))
     return F.array_sort(F.filter(kept, lambda e: F.length(e) > 2))
 

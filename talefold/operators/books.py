@@ -41,5 +41,12 @@ def not_yet(docs: DataFrame, files: DataFrame) -> DataFrame:
 
 def picked_file(files: Column, formats: list[str] = FORMATS) -> Column:
     """The name of the first file (name, format) of the first format that has one, by its ending or its format."""
-    options = [F.get(F.filter(files, lambda f, fmt=fmt: F.lower(f["name"]).endswith(f".{fmt.lower()}") | (f["format"] == fmt.upper() if fmt.lower() in FORMATS else F.lit(False))), F.lit(0))["name"] for fmt in formats]
-    return F.coalesce(*options)
+
+    def first(fmt: str) -> Column:
+        def fits(f: Column) -> Column:
+            by_name = F.lower(f["name"]).endswith(f".{fmt}")
+            return by_name | (f["format"] == fmt.upper()) if fmt in FORMATS else by_name
+
+        return F.get(F.filter(files, fits), F.lit(0))["name"]
+
+    return F.coalesce(*[first(fmt.lower()) for fmt in formats])

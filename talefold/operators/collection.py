@@ -40,8 +40,8 @@ def updated(existing: DataFrame, changes: DataFrame) -> DataFrame:
     """New documents (id, document) for ids that exist; the rest of each row stays. `changed` asks for a new embedding."""
     new = changes.groupBy("id").agg(F.max("document").alias("_document"))
     rows = existing.join(new, "id", "left")
-    document = F.coalesce("_document", "document")
-    return rows.withColumn("changed", F.coalesce(document != F.col("document"), F.col("_document").isNotNull())).withColumn("document", document).drop("_document")
+    changed = F.col("_document").isNotNull() & ~F.col("_document").eqNullSafe(F.col("document"))
+    return rows.withColumn("changed", changed).withColumn("document", F.coalesce("_document", "document")).drop("_document")
 
 
 def deleted(existing: DataFrame, ids: DataFrame) -> DataFrame:

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from talefold.plans import retrieval
+from talefold.plans import checks, ingest, retrieval, texts
 
 Query = Callable[[SparkSession, str], DataFrame]
-_PARTS = (retrieval,)
+_PARTS = (retrieval, texts, ingest, checks)
 
 
 def queries() -> dict[str, Query]:

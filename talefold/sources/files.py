@@ -28,7 +28,7 @@ def _stem(suffix: str):
 
 def stories(spark: SparkSession, folder: str) -> DataFrame:
     """title, text of each .txt file of one folder; bytes that aren't UTF-8 become U+FFFD."""
-    files = spark.read.option("wholetext", True).option("pathGlobFilter", "*.[tT][xX][tT]").text(folder)
+    files = spark.read.option("pathGlobFilter", "*.[tT][xX][tT]").text(folder, wholetext=True)
     return files.select(_stem("txt").alias("title"), F.col("value").alias("text"))
 
 
@@ -46,7 +46,7 @@ def manifest(spark: SparkSession, path: str) -> DataFrame:
 
 def cases(spark: SparkSession, path: str) -> DataFrame:
     """Evaluation cases: a list or {cases: [...]}; one fact may stand for a list; cases without query or title are dropped."""
-    raw = spark.read.option("wholetext", True).text(path).select(F.try_parse_json("value").alias("v"))
+    raw = spark.read.text(path, wholetext=True).select(F.try_parse_json("value").alias("v"))
     listed = F.coalesce(F.try_variant_get("v", "$.cases", "array<variant>"), F.try_variant_get("v", "$", "array<variant>"))
     c = raw.select(F.explode(listed).alias("c"))
     text = lambda name: F.trim(F.try_variant_get("c", f"$.{name}", "string"))

@@ -13,7 +13,7 @@ from talefold.plans.pipeline import collection_rows
 
 def story_stream(spark: SparkSession, folder: str, files_per_batch: int = 1000) -> DataFrame:
     """title, text of .txt files as they arrive in a folder."""
-    lines = spark.readStream.option("wholetext", True).option("pathGlobFilter", "*.[tT][xX][tT]").option("maxFilesPerTrigger", files_per_batch).text(folder)
+    lines = spark.readStream.option("pathGlobFilter", "*.[tT][xX][tT]").option("maxFilesPerTrigger", files_per_batch).text(folder, wholetext=True)
     return lines.select(F.regexp_replace(F.url_decode(F.col("_metadata.file_name")), r"(?i)\.txt\z", "").alias("title"), F.col("value").alias("text"))
 
 
