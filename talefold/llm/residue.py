@@ -202,5 +202,8 @@ def residue(df: DataFrame, tbl: str, text: str, key: str = "row_id") -> DataFram
 
 def without_residue(df: DataFrame, tbl: str, text: str, key: str = "row_id") -> DataFrame:
     """df without its residue rows; rows of null key or text stay."""
-    bad = residue(df, tbl, text, key).select(F.col("row_id").alias("_residue_row")).distinct()
-    return df.join(bad, F.col(key) == F.col("_residue_row"), "left_anti")
+    name = "_residue_row"
+    while name in df.columns:
+        name += "_"
+    bad = residue(df, tbl, text, key).select(F.col("row_id").alias(name)).distinct()
+    return df.join(bad, F.col(key) == F.col(name), "left_anti")
