@@ -5,11 +5,13 @@ Nulls give nulls unless the docstring says otherwise; an empty text is a text.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: White space as Python sees it, as a Java character class body.
-SPACE = r"\s\x{b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+#: White space as Python sees it.
+BLANKS = "".join(map(chr, [*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 
 # Words that are no entities.
 STOP = ["The", "A", "An", "And", "But", "Or", "In", "On", "At", "To", "For", "Of", "With", "As", "When", "Then", "After", "Before", "Once", "Section", "SECTION", "WHO", "WHERE", "WHEN", "WHAT", "HOW", "WHY", "OUTCOME"]
@@ -25,8 +27,19 @@ OUTLINE = [
 ]
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value computed once however often body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, rf"^[{SPACE}]+|[{SPACE}]+\z", "")
+    """White space off both ends; only the ends are looked at."""
+    return F.btrim(c, F.lit(BLANKS))
+
+
+def plain_space(c: Column) -> Column:
+    """Each white space as a blank."""
+    return F.translate(c, BLANKS, " " * len(BLANKS))
 
 
 def newline_trim(c: Column) -> Column:
@@ -46,7 +59,7 @@ def first_of(*columns: Column, default: str | None = None) -> Column:
 
 
 def words(c: Column) -> Column:
-    return F.filter(F.split(c, rf"[{SPACE}]+"), lambda w: w != "")
+    return F.filter(F.split(plain_space(c), " "), lambda w: w != "")
 
 
 def word_count(c: Column) -> Column:
@@ -59,7 +72,7 @@ def sentence_count(c: Column) -> Column:
 
 def sentences(c: Column) -> Column:
     """Parts between white space that follows . ! or ?"""
-    return F.filter(F.transform(F.split(strip(c), rf"(?<=[.!?])[{SPACE}]+"), strip), lambda s: s != "")
+    return F.filter(F.transform(F.split(strip(c), rf"(?<=[.!?])[{BLANKS}]+"), strip), lambda s: s != "")
 
 
 def strip_think(c: Column) -> Column:
@@ -78,14 +91,12 @@ def outer_braces(c: Column) -> Column:
 
 def repair_json(c: Column) -> Column:
     """Fences off, the outermost object, no trailing commas."""
-    body = strip_fences(c)
-    return F.regexp_replace(F.coalesce(outer_braces(body), body), r",\s*([}\]])", "$1")
+    return let(strip_fences(c), lambda body: F.regexp_replace(F.coalesce(outer_braces(body), body), r",\s*([}\]])", "$1"))
 
 
 def parse_object(c: Column) -> Column:
     """A JSON object as VARIANT; null for anything else."""
-    v = F.try_parse_json(c)
-    return F.when(F.schema_of_variant(v).startswith("OBJECT"), v)
+    return let(F.try_parse_json(c), lambda v: F.when(F.schema_of_variant(v).startswith("OBJECT"), v))
 
 
 def safe_title(c: Column) -> Column:
@@ -133,37 +144,42 @@ def section_bodies(c: Column) -> Column:
 
 def short_sections(c: Column, least: int, expected: int = 5) -> Column:
     """(n, sentences) of the expected sections with fewer than `least` sentences."""
-    bodies = section_bodies(c)
-    counted = F.transform(F.sequence(F.lit(1), F.lit(expected)), lambda n: F.struct(n.alias("n"), sentence_count(F.coalesce(F.try_element_at(bodies, n), F.lit(""))).alias("sentences")))
-    return F.filter(counted, lambda s: s["sentences"] < least)
 
+    def counted(bodies: Column) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.lit(expected)), lambda n: F.struct(n.alias("n"), sentence_count(F.coalesce(F.try_element_at(bodies, n), F.lit(""))).alias("sentences")))
 
-#: Edges of a word in any script, alike in every Java version.
-_EDGE = (r"(?<![\p{L}\p{N}_])", r"(?![\p{L}\p{N}_])")
+    return F.filter(let(section_bodies(c), counted), lambda s: s["sentences"] < least)
+
+
+#: Edges of a word in any script, alike in every Java version; the first is tested after a capital has been read.
+_CAPITAL, _EDGE = r"[A-Z](?<![\p{L}\p{N}_][A-Z])[a-z]+", r"(?![\p{L}\p{N}_])"
 
 
 def entities(c: Column) -> Column:
     """Capitalised words and runs of them, without stop words and words of up to two letters; sorted."""
-    t = strip(F.regexp_replace(c, rf"[{SPACE}]+", " "))
-    phrases = F.regexp_extract_all(t, F.lit(rf"{_EDGE[0]}[A-Z][a-z]+(?: [A-Z][a-z]+)*{_EDGE[1]}"), F.lit(0))
-    tokens = F.regexp_extract_all(t, F.lit(rf"{_EDGE[0]}[A-Z][a-z]+{_EDGE[1]}"), F.lit(0))
-    kept = F.array_except(F.array_union(phrases, tokens), F.array(*[F.lit(s) for s in STOP]))
-    return F.array_sort(F.filter(kept, lambda e: F.length(e) > 2))
+
+    def found(t: Column) -> Column:
+        phrases = F.regexp_extract_all(t, F.lit(rf"{_CAPITAL}(?: [A-Z][a-z]+)*{_EDGE}"), F.lit(0))
+        tokens = F.regexp_extract_all(t, F.lit(rf"{_CAPITAL}{_EDGE}"), F.lit(0))
+        kept = F.array_except(F.array_union(phrases, tokens), F.array(*[F.lit(s) for s in STOP]))
+        return F.array_sort(F.filter(kept, lambda e: F.length(e) > 2))
+
+    return let(strip(F.regexp_replace(plain_space(c), "  +", " ")), found)
 
 
 def clean_story(c: Column) -> Column:
     """Small repairs of a generated story: leaked prompt lines, quotation marks, doubled words and spaces."""
-    t = strip(c)
-    head = F.regexp_extract(t, r"(?is)^(.*?)\[SECTION", 1)
-    few = F.size(F.regexp_extract_all(head, F.lit(r"[.!?]"), F.lit(0))) <= 2
-    t = F.when((F.length(head) > 0) & few, F.substring(t, F.length(head) + 1, F.length(t))).otherwise(t)
+    def headless(t: Column) -> Column:
+        head = F.regexp_extract(t, r"(?is)^(.*?)\[SECTION", 1)
+        few = F.size(F.regexp_extract_all(head, F.lit(r"[.!?]"), F.lit(0))) <= 2
+        return F.when((F.length(head) > 0) & few, F.substring(t, F.length(head) + 1, F.length(t))).otherwise(t)
 
     def closed(p: Column) -> Column:
         rest = F.substring(p, 2, F.length(p))
         unclosed = p.rlike(r'^["“]') & ~rest.rlike(r'["”]') & p.rlike(r"[.!?,]\z")
         return F.when(unclosed, F.concat(p, F.when(p.startswith("“"), F.lit("”")).otherwise(F.lit('"')))).otherwise(p)
 
-    paragraphs = F.filter(F.transform(F.split(t, r"\n{2,}"), strip), lambda p: p != "")
+    paragraphs = F.filter(F.transform(F.split(let(strip(c), headless), r"\n{2,}"), strip), lambda p: p != "")
     t = F.array_join(F.transform(paragraphs, closed), "\n\n")
     t = F.regexp_replace(t, r'(?<=[”"])(?=[A-Za-z])', " ")
     t = F.regexp_replace(t, r'(^|[\s(\[])(["“])\s+([A-Za-z])', "$1$2$3")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from talefold.functions.text import ends_clean, missing_sections, outer_braces, parse_object, searchable, short_sections, strip, strip_fences, word_count
+from talefold.functions.text import ends_clean, let, missing_sections, outer_braces, parse_object, searchable, short_sections, strip, strip_fences, word_count
 
 # Keys of an evaluation that are no criteria.
 NO_CRITERIA = ["conclusion", "suggestions", "average_score", "scores", "summary", "metadata", "success", "provider", "model"]
@@ -14,8 +14,7 @@ NUMBERS = "^(?:BIGINT|INT|SMALLINT|TINYINT|DOUBLE|FLOAT|DECIMAL)"
 
 def parse_evaluation(c: Column) -> Column:
     """An evaluation as VARIANT: the whole answer, else its outermost object; null where neither is an object."""
-    body = strip_fences(c)
-    return F.coalesce(parse_object(body), parse_object(outer_braces(body)))
+    return let(strip_fences(c), lambda body: F.coalesce(parse_object(body), parse_object(outer_braces(body))))
 
 
 def number(v: Column) -> Column:
@@ -49,21 +48,27 @@ def average(v: Column) -> Column:
 
 def completeness(story: Column, min_words: int = 250, expected: int = 5, min_sentences: int = 0) -> Column:
     """struct of ok, word_count, missing_sections, ends_clean, reasons; a null story is empty."""
-    t = F.coalesce(strip(story), F.lit(""))
-    n, missing, clean = word_count(t), missing_sections(t, expected), ends_clean(t)
-    short = F.array().cast("array<struct<n:int,sentences:int>>")
-    if min_sentences > 0:
-        short = F.when(F.size(missing) == 0, short_sections(t, min_sentences, expected)).otherwise(short)
-    lines = F.transform(short, lambda s: F.concat(F.lit("SECTION "), s["n"].cast("string"), F.lit(" has "), s["sentences"].cast("string"), F.lit(f" sentence(s) < {min_sentences}")))
-    reasons = F.array_compact(
-        F.array(
-            F.when(F.size(missing) > 0, F.concat(F.lit("missing sections: ["), F.array_join(missing.cast("array<string>"), ", "), F.lit("]"))),
-            F.when(~clean, "does not end on terminal punctuation"),
-            F.when(n < min_words, F.concat(F.lit("too short ("), n.cast("string"), F.lit(f" < {min_words} words)"))),
-            F.when(F.size(short) > 0, F.concat(F.lit("sections below sentence minimum: "), F.array_join(lines, "; "))),
+
+    def facts_of(t: Column) -> Column:
+        short = F.array().cast("array<struct<n:int,sentences:int>>")
+        missing = missing_sections(t, expected)
+        if min_sentences > 0:
+            short = let(missing, lambda m: F.when(F.size(m) == 0, short_sections(t, min_sentences, expected)).otherwise(F.array().cast("array<struct<n:int,sentences:int>>")))
+        return F.struct(word_count(t).alias("n"), missing.alias("missing"), ends_clean(t).alias("clean"), short.alias("short"))
+
+    def report(f: Column) -> Column:
+        lines = F.transform(f["short"], lambda s: F.concat(F.lit("SECTION "), s["n"].cast("string"), F.lit(" has "), s["sentences"].cast("string"), F.lit(f" sentence(s) < {min_sentences}")))
+        reasons = F.array_compact(
+            F.array(
+                F.when(F.size(f["missing"]) > 0, F.concat(F.lit("missing sections: ["), F.array_join(f["missing"].cast("array<string>"), ", "), F.lit("]"))),
+                F.when(~f["clean"], "does not end on terminal punctuation"),
+                F.when(f["n"] < min_words, F.concat(F.lit("too short ("), f["n"].cast("string"), F.lit(f" < {min_words} words)"))),
+                F.when(F.size(f["short"]) > 0, F.concat(F.lit("sections below sentence minimum: "), F.array_join(lines, "; "))),
+            )
         )
-    )
-    return F.struct((F.size(reasons) == 0).alias("ok"), n.alias("word_count"), missing.alias("missing_sections"), clean.alias("ends_clean"), reasons.alias("reasons"))
+        return let(reasons, lambda r: F.struct((F.size(r) == 0).alias("ok"), f["n"].alias("word_count"), f["missing"].alias("missing_sections"), f["clean"].alias("ends_clean"), r.alias("reasons")))
+
+    return let(let(F.coalesce(strip(story), F.lit("")), facts_of), report)
 
 
 def decision(has_eval: Column, avg: Column, faith: Column, complete: Column, facts: Column, accept: float = 7.0, min_faith: float = 6.0, min_facts: int = 3) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from talefold.functions.text import entities, parse_object, repair_json, sentences, strip
+from talefold.functions.text import entities, let, parse_object, repair_json, sentences, strip
 
 FACT = "struct<fact:string,type:string,source_chunk_ids:array<string>,quote:string>"
 
@@ -24,7 +24,7 @@ def _sources(v: Column) -> Column:
 
 def parse_facts(c: Column) -> Column:
     """Array of FACT from a model's answer; facts without text or sources are dropped, what can't be parsed is an empty array."""
-    listed = F.try_variant_get(parse_object(repair_json(c)), "$.facts", "array<variant>")
+    listed = F.try_variant_get(parse_object(repair_json(c)), "$.facts", "array<variant>")  # parsed once: see let()
 
     def fact(v: Column) -> Column:
         text = strip(F.coalesce(F.try_variant_get(v, "$.fact", "string"), F.lit("")))
@@ -67,11 +67,15 @@ def violations(story: Column, facts_text: Column) -> Column:
 def gate(story: Column, facts_text: Column, truncate: bool = False, threshold: int = 8, ratio: float = 0.6, keep: int = 6) -> Column:
     """struct of found, novel, ratio and the story, cut to `keep` paragraphs where truncation is on and too much is novel."""
     body = F.regexp_replace(story, r"(?m)^\[SECTION \d+:.*?\][ \t\r]*\n?", "")
-    found, novel = F.size(entities(body)), F.size(violations(body, facts_text))
-    share = novel / F.greatest(found, F.lit(1))
     paragraphs = F.slice(F.filter(F.transform(F.split(story, "\n\n"), strip), lambda p: p != ""), 1, keep)
-    cut = F.lit(truncate) & (novel > 0) & ((novel > threshold) | (share > ratio))
-    return F.struct(found.alias("found"), novel.alias("novel"), share.alias("ratio"), F.when(cut, F.array_join(paragraphs, "\n\n")).otherwise(story).alias("story"))
+
+    def judged(n: Column) -> Column:
+        share = n["novel"] / F.greatest(n["found"], F.lit(1))
+        cut = F.lit(truncate) & (n["novel"] > 0) & ((n["novel"] > threshold) | (share > ratio))
+        return F.struct(n["found"].alias("found"), n["novel"].alias("novel"), share.alias("ratio"), F.when(cut, F.array_join(paragraphs, "\n\n")).otherwise(story).alias("story"))
+
+    counts = let(entities(body), lambda e: F.struct(F.size(e).alias("found"), F.size(F.array_except(e, entities(facts_text))).alias("novel")))
+    return let(counts, judged)
 
 
 def tagged_sentences(story: Column, ids: Column) -> Column:

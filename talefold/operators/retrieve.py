@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from talefold.functions.text import words
+from talefold.session import stage
 
 #: Query vectors that one scan of the corpus compares at once; their size is what is broadcast.
 QUERY_BLOCK = 4096
@@ -112,22 +113,24 @@ def bm25(docs: DataFrame, queries: DataFrame, pooled: bool = False) -> DataFrame
     """
     by = ["query_id"] if pooled else []
     docs = docs.select(*by, "id", _terms(F.coalesce("text", F.lit(""))).alias("w"))
-    sizes = docs.select(*by, "id", F.size("w").alias("n"))
-    tf = docs.select(*by, "id", F.explode("w").alias("term")).groupBy(*by, "id", "term").agg(F.count("*").alias("tf"))
-    df = tf.groupBy(*by, "term").agg(F.count("*").alias("df"))
-    whole = sizes.groupBy(*by).agg(F.count("*").alias("N"), F.avg("n").alias("avgdl"))
+    # one pass gives document frequencies and, in the row of the null term, the number and the mean size of documents
+    counted = docs.select(*by, F.size("w").alias("n"), F.explode(F.array_append(F.array_distinct("w"), F.lit(None))).alias("term")).groupBy(*by, "term").agg(F.count("*").alias("df"), F.avg("n").alias("mean"))
+    df = counted.where("term is not null").select(*by, "term", "df")
+    whole = counted.where("term is null").select(*by, F.col("df").alias("N"), F.col("mean").alias("avgdl"))
     asked = queries.select("query_id", F.explode(_terms(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qf"))
     link = lambda left, right: left.join(right, by) if pooled else left.crossJoin(F.broadcast(right))  # noqa: E731  # one row
     idf = link(df, whole).withColumn("raw", F.ln((F.col("N") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
     floor = idf.groupBy(*by).agg((IDF_FLOOR * F.avg("raw")).alias("floor"))
     named = idf.join(asked if pooled else asked.select("term").distinct(), [*by, "term"], "left_semi")
     weights = link(named, floor).select(*by, "term", "avgdl", F.when(F.col("raw") < 0, F.col("floor")).otherwise(F.col("raw")).alias("idf"))
-    hits = tf.join(weights, [*by, "term"]).join(asked, [*by, "term"]).join(sizes, [*by, "id"])
+    terms = asked.select(*by, "term").distinct()
+    tf = docs.select(*by, "id", F.size("w").alias("n"), F.explode("w").alias("term")).join(terms, [*by, "term"], "left_semi").groupBy(*by, "id", "n", "term").agg(F.count("*").alias("tf"))
+    hits = tf.join(weights, [*by, "term"]).join(asked, [*by, "term"])
     part = F.col("qf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("n") / F.col("avgdl")))
     scores = hits.groupBy("query_id", "id").agg(F.sum(part).alias("score"))
     if not pooled:
         return scores
-    return sizes.select("query_id", "id").join(scores, ["query_id", "id"], "left").select("query_id", "id", F.coalesce("score", F.lit(0.0)).alias("score"))
+    return docs.select("query_id", "id").join(scores, ["query_id", "id"], "left").select("query_id", "id", F.coalesce("score", F.lit(0.0)).alias("score"))
 
 
 def ranked(scores: DataFrame, by: list[Column], name: str = "rank") -> DataFrame:
@@ -183,20 +186,26 @@ def rerank(hits: DataFrame, top_n: int, score: Column | None = None) -> DataFram
     return ranked(hits, order, "rank_after").where(F.col("rank_after") <= top_n)
 
 
+def candidate_pool(corpus: DataFrame, queries: DataFrame, k: int, where: dict | None = None) -> DataFrame:
+    """The k nearest rows of each query with text and title. Written out once: what follows reads it, not the corpus, again and again."""
+    hits = dense_topk(corpus, queries, k, where, "embedding", "id")
+    return stage(hits.join(corpus.select("id", "text", "title"), "id"), "retrieve-pool")
+
+
 def hybrid(corpus: DataFrame, queries: DataFrame, k: int, n_titles: int = 3, per_title: int = 2, weight: float = 0.3, rrf_k: int = 60, use_bm25: bool = True, where: dict | None = None) -> DataFrame:
     """Composed retrieval over corpus (id, text, title, embedding) for queries (query_id, query, query_vector).
 
     Dense pool of k, BM25 over each pool, fusion by text, diversity selection:
     query_id, pick, id, title, text, score.
     """
-    pool = dense_topk(corpus, queries, k, where, "embedding", "id").join(corpus.select("id", "text", "title"), "id")
+    pool = candidate_pool(corpus, queries, k, where)
     if use_bm25:
         scores = bm25(pool, queries, pooled=True).join(pool.select("query_id", "id", "text", "rank"), ["query_id", "id"])
         lexical = ranked(scores.withColumnRenamed("rank", "dense"), [F.desc(F.round("score", 9)), F.col("dense")])
         fused = rrf(pool, lexical, weight, rrf_k)
     else:
         fused = rrf(pool, pool, weight, rrf_k)
-    picked = diverse(fused.join(corpus.select("id", "title"), "id"), n_titles, per_title)
+    picked = diverse(fused.join(pool.select("query_id", "id", "title"), ["query_id", "id"]), n_titles, per_title)
     return picked.select("query_id", "pick", "id", "title", "text", F.round("score", 9).alias("score"))
 
 

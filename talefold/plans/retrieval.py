@@ -51,8 +51,7 @@ def bm25_topk(spark, sf):
 
 
 def _pool(spark, sf) -> DataFrame:
-    corpus = _corpus(spark, sf)
-    return retrieve.dense_topk(corpus, _queries(spark, sf), POOL, key="id").join(corpus.select("id", "text", "title"), "id")
+    return retrieve.candidate_pool(_corpus(spark, sf), _queries(spark, sf), POOL)
 
 
 def _lexical(pool: DataFrame, queries: DataFrame) -> DataFrame:
