@@ -68,7 +68,7 @@ _SHORT_LABEL = {"ni", "nie", "sin", "tin", "rg", "identity", "nir", "nif"}
 _ID_VALUE = re.compile(r"[A-Z0-9](?:[ ./-]?[A-Z0-9])*")
 
 # street addresses
-_TOWN = r"(?:,?\s+\d{4,5}\s+[A-ZÀ-Þ][\w'’-]+(?:[ -][A-ZÀ-Þ][\w'’-]+)?|,?\s+[A-ZÀ-Þ][\w'’-]+\s+\d{4,5}\b|,\s+[A-ZÀ-Þ][\w'’-]+(?:-[\w'’-]+)*)?"
+_TOWN = r"(?:,?\s+\d{4,5}\s+[A-ZÀ-Þ][\w'’-]+(?:[ -][A-ZÀ-Þ][\w'’-]+)?|,?\s+[A-ZÀ-Þ][\w'’-]+\s+\d{4,5}\b(?![ -]?\d)|,\s+[A-ZÀ-Þ][\w'’-]+(?:-[\w'’-]+)*)?"
 _HOUSE = r"\d{1,4}\s?(?:[a-hA-H]\b)?"
 _FLAT = r"(?:(?:Flat|Apt\.?|Apartment|Unit|Suite|Room)\s?\d+[a-zA-Z]?,?\s+)?"
 _CAPS = r"[A-ZÀ-Þ][\w'’-]*"
@@ -253,6 +253,19 @@ def names(text: str, taken: list[Span], people: set[int]) -> list[Span]:
             continue
         if any(s.start < end and start < s.end for s in taken):
             continue
+        tail = end + (lambda i: len(i.group()) if i else 0)(_INITIAL.match(text, end))
+        follows = any(0 <= s.start - tail <= 3 for s in taken)  # an address, a number: contact lines
+        prior = _BEFORE.search(text[max(0, start - 40) : start]) if given else None
+        if prior:
+            head = start - len(prior.group())
+            family = prior.group("family").lower()
+            near = follows or bool(_PERSON_AFTER.match(text[tail : tail + 40])) or bool(re.match(r"\s*[\])>.;:|]|[ \t]*\n|\s+(?:and|und|et|y|e)\s|\s*$", text[tail : tail + 6]))
+            reverse = 0.3 + 0.2 * ("," in prior.group()) + 0.35 * (head in people) + 0.2 * near
+            if family in GIVEN or family in _PLACE_END or family in _TITLES or (out and head < out[-1].end):
+                reverse = 0.0
+            if "," in prior.group() and head in people and reverse > LEAST_SCORE:
+                out.append(Span(head, tail, "name", reverse))
+                continue
         after = _AFTER.match(text, end)
         if after and after.group("family").lower() not in _PLACE_END and not any(s.start < after.end() and start < s.end for s in taken):
             stop = after.end()
@@ -264,16 +277,8 @@ def names(text: str, taken: list[Span], people: set[int]) -> list[Span]:
             if score >= LEAST_SCORE:
                 out.append(Span(start, stop, "name", score))
                 continue
-        if given and (prior := _BEFORE.search(text[max(0, start - 40) : start])) and (not out or start - len(prior.group()) >= out[-1].end):
-            head = start - len(prior.group())
-            family = prior.group("family").lower()
-            tail = end + (lambda i: len(i.group()) if i else 0)(_INITIAL.match(text, end))
-            near = bool(_PERSON_AFTER.match(text[tail : tail + 40])) or bool(re.match(r"\s*[\])>.;:|]|[ \t]*\n|\s+(?:and|und|et|y|e)\s|\s*$", text[tail : tail + 6]))
-            score = 0.3 + 0.2 * ("," in prior.group()) + 0.35 * (head in people) + 0.2 * near
-            if family in GIVEN or family in _PLACE_END or family in _TITLES:
-                score -= 0.3
-            if score > LEAST_SCORE:
-                out.append(Span(head, tail, "name", score))
+        if prior and reverse > LEAST_SCORE:
+            out.append(Span(head, tail, "name", reverse))
     return out
 
 
