@@ -53,7 +53,7 @@ PHRASES = {
     "order": """
         insert summary|insert text|insert title|insert ending here|insert chapter|insert here|insert name|more text|rest of text|your text|your text here|your summary here|your summary goes here|goes here|
         summary goes here|text goes here|enter a short description|enter a description|enter text|enter summary|enter title|paste the chapter here|paste text here|paste here|
-        summary to follow|text to follow|to follow (tbd)|write summary|write two sentences|write a summary|about the plot here|todo: finish|todo: write|todo: add|finish this chapter|finish this summary|to do:|tbd - add|add closing paragraph|add text here|
+        replace this text|replace this text with the|replace this text with the chapter|replace this text with the summary|replace with your text|delete this line|summary to follow|text to follow|to follow (tbd)|write summary|write two sentences|write a summary|about the plot here|todo: finish|todo: write|todo: add|finish this chapter|finish this summary|to do:|tbd - add|add closing paragraph|add text here|
         chapter body missing|body missing|fill in|fill me in|to be written|to be completed|to be added|coming soon|chapter body|object object|
         résumé à compléter|à compléter|introduzca aquí|introduzca aquí el resumen|resumen aquí|insira aqui o resumo|insira aqui|a completar|a preencher|bitte ausfüllen|noch auszufüllen|zusammenfassung folgt|введите текст|введите описание|заполнить позже|
         hier text einfügen|text hier einfügen|zusammenfassung einfügen|insérer le texte|insérer le résumé|texte à venir|insertar texto|insertar resumen|inserir texto|inserir resumo|вставьте текст|вставить текст""",
