@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from talefold.llm.arrow import map_rows, sum_counts
+from talefold.llm.arrow import map_rows, may_be_in, sum_counts
 from talefold.session import stage
 
 #: Character pairs are counted in so many buckets (2 MB).
@@ -295,7 +295,9 @@ def restored(df: DataFrame, text: str = "text", pool: str = "lang", key: str = "
     found = garbled_units(df, text, pool, key).where("chain is not null")
     fixes = found.groupBy("row_id").agg(F.map_from_entries(F.collect_list(F.struct("unit", "chain"))).alias("fixes"))
     lost = F.col("t").contains(LOST)
-    rows = df.select(F.col(key).cast("bigint").alias("row_id"), F.col(text).alias("t")).join(fixes, "row_id", "left").where(F.col("fixes").isNotNull() | lost)
+    rows = df.select(F.col(key).cast("bigint").alias("row_id"), F.col(text).alias("t")).where(F.col("t").isNotNull())
+    # most other texts stay out of the join
+    rows = rows.where(may_be_in(found.select("row_id"))(F.col("row_id")) | lost).join(fixes, "row_id", "left").where(F.col("fixes").isNotNull() | lost)
     by_name = {c.name: c for c in CHAINS}
 
     def make():

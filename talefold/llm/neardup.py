@@ -29,12 +29,11 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from talefold.llm.arrow import add_slices
+from talefold.llm.arrow import add_slices, may_be_in
 from talefold.session import stage
 
 WORD = re.compile(r"[^\W_]+")
@@ -501,7 +500,7 @@ def verified(rows: DataFrame, members: DataFrame, pairs: DataFrame, t: float, sh
     named = pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct()
     chosen = members.join(named, "set_id").groupBy("set_id").agg(F.min("row_id").alias("row_id"))
     chosen = stage(chosen, "neardup-chosen")
-    texts = rows.where(_may_be_in(chosen)(F.col("row_id"))).join(chosen, "row_id").select("set_id", "title", "text")
+    texts = rows.where(may_be_in(chosen)(F.col("row_id"))).join(chosen, "row_id").select("set_id", "title", "text")
 
     def sets(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make = Shingler(shingle, least_words)
@@ -519,32 +518,6 @@ def verified(rows: DataFrame, members: DataFrame, pairs: DataFrame, t: float, sh
     return scored.where(F.col("similarity") >= t - 1e-12)
 
 
-#: Bits of the filter that keeps most other texts out of a join (1 MB, whatever the number of rows).
-FILTER_BITS = 1 << 23
-
-
-def _may_be_in(chosen: DataFrame):
-    """A test on row_id, never false for a row of `chosen`."""
-    from pyspark.sql.functions import pandas_udf
-
-    bit = F.pmod(F.col("row_id"), F.lit(FILTER_BITS)) + 1  # the bitmap functions count from 1
-    words = chosen.groupBy(F.bitmap_bucket_number(bit).alias("no")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bits")).collect()
-    bits = np.zeros(FILTER_BITS, bool)
-    for row in words:
-        low = (row["no"] - 1) * 32768
-        part = np.unpackbits(np.frombuffer(bytes(row["bits"]), np.uint8), bitorder="little")
-        at = low + np.flatnonzero(part)
-        bits[at % FILTER_BITS] = True
-    packed = chosen.sparkSession.sparkContext.broadcast(np.packbits(bits))
-
-    @pandas_udf("boolean")
-    def test(row_id: pd.Series) -> pd.Series:
-        x = row_id.to_numpy().astype(np.int64) % FILTER_BITS
-        return pd.Series((packed.value[x >> 3] >> (7 - (x & 7)).astype(np.uint8)) & 1).astype(bool)
-
-    return test
-
-
 def near_duplicate_pairs(df: DataFrame, t: float = THRESHOLD, shingle: int = SHINGLE, least_words: int = LEAST_WORDS) -> DataFrame:
     """row_id_a < row_id_b: each pair of rows at similarity `t` or more, pairs of equal texts too.
 

@@ -45,7 +45,7 @@ def p2_kinds(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p2_clean(spark: SparkSession, sf: str) -> DataFrame:
-    parts = [residue.without_residue(_table(spark, sf, t), t, c).select(F.lit(t).alias("tbl"), "row_id", F.col(c).alias("text")) for t, c in RESIDUE]
+    parts = [residue.without_residue(_table(spark, sf, t), c).select(F.lit(t).alias("tbl"), "row_id", F.col(c).alias("text")) for t, c in RESIDUE]
     return parts[0].unionByName(parts[1])
 
 

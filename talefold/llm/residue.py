@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -180,7 +181,7 @@ def residue(df: DataFrame, tbl: str, text: str, key: str = "row_id") -> DataFram
     rows = df.select(F.col(key).cast("bigint").alias("row_id"), F.col(text).alias("t")).where(F.col("t").isNotNull())
 
     def make():
-        detect = Detector()
+        detect = _detector()
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             ids, kinds, shares, units = [], [], [], []
@@ -200,10 +201,22 @@ def residue(df: DataFrame, tbl: str, text: str, key: str = "row_id") -> DataFram
     return map_rows(rows, HIT, make)
 
 
-def without_residue(df: DataFrame, tbl: str, text: str, key: str = "row_id") -> DataFrame:
-    """df without its residue rows; rows of null key or text stay."""
-    name = "_residue_row"
-    while name in df.columns:
-        name += "_"
-    bad = residue(df, tbl, text, key).select(F.col("row_id").alias(name)).distinct()
-    return df.join(bad, F.col(key) == F.col(name), "left_anti")
+_DETECTORS: list[Detector] = []
+
+
+def _detector() -> Detector:
+    """One detector per worker process."""
+    if not _DETECTORS:
+        _DETECTORS.append(Detector())
+    return _DETECTORS[0]
+
+
+def without_residue(df: DataFrame, text: str) -> DataFrame:
+    """df without its residue rows, all columns kept; rows of null text stay. A filter, so nothing is shuffled."""
+
+    @F.pandas_udf("boolean")
+    def is_residue(texts: pd.Series) -> pd.Series:
+        detect = _detector()
+        return texts.map(lambda t: detect(t) is not None).astype(bool)
+
+    return df.where(F.col(text).isNull() | ~is_residue(F.col(text)))
