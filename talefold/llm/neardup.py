@@ -46,8 +46,8 @@ BUCKETS = 1 << 20
 BITMAP = 4
 #: Keys that one task joins, about; the number of key ranges follows from it.
 KEYS_PER_TASK = 6_000_000
-#: Expected candidates weighed as much as one key when a width is chosen.
-CANDIDATES_PER_KEY = 4
+#: A key (made, shuffled, sorted) costs about as much as so many candidates that are checked by their bitmaps, as measured.
+CANDIDATES_PER_KEY = 12
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 #: Sets of one batch at most, so that a set's number and a 52-bit hash make one sortable word.
 BATCH = 4096
@@ -265,7 +265,7 @@ def choose_widths(cost: np.ndarray) -> np.ndarray:
     return widths
 
 
-def join_keys(packed: np.ndarray, name: np.ndarray, size: np.ndarray, bitmap: np.ndarray, t: float, block: int = 2_000_000) -> Iterator[np.ndarray]:
+def join_keys(packed: np.ndarray, name: np.ndarray, size: np.ndarray, bitmap: np.ndarray, t: float, block: int = 500_000) -> Iterator[np.ndarray]:
     """Candidate pairs among entries that share a key, packed as two entries; each key's list is taken in blocks.
 
     `packed` is sorted: 31 bits of the key, the index flag, and 32 bits of the entry.
@@ -378,8 +378,8 @@ def candidates(rows: DataFrame, frequency: np.ndarray, widths: np.ndarray, range
         for part in parts:
             for no, blob in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
                 by_range.setdefault(no, []).append(blob)
-        for blobs in by_range.values():
-            packed, name, size, bitmap = unpack_blocks(blobs)
+        while by_range:
+            packed, name, size, bitmap = unpack_blocks(by_range.popitem()[1])
             for pair in merged(join_keys(packed, name, size, bitmap, t)):
                 a, b = (pair >> np.uint64(32)).astype(np.int64), (pair & _LOW).astype(np.int64)  # names are sorted, so a's is the smaller
                 yield pa.RecordBatch.from_arrays([pa.array(name[a]), pa.array(name[b])], ["a", "b"])
