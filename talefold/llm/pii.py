@@ -83,16 +83,15 @@ _ADDRESS = [
 ]
 _ADDRESS_HINT = re.compile(r"\d")
 
-# Given names of people as they occur around books; the rest is left to context.
+# A short list of given names of our own; the rest is left to context.
 GIVEN = set(
-    """aisha alan albert alejandro alex alexander alice amara amelia amina ana andrea andreas andrei andrés andré ángel anna anne anton antonio arthur astrid barbara beatrice beatriz ben bernard bianca boris
-    brigitte carla carlo carlos carmen caroline catherine charles charlotte chloé chloe christian christine clara claire claude colette daniel david diana diego dieter dmitri dmitry dorothea edith eduardo elena elise
-    elisabeth elizabeth ella emil emily emma eric erik esther eva fatima felix fernando florian françois francesca frank frida gabriel george georg gerhard giulia greta guillaume gustav hana hannah hans hassan heidi helen
-    helena henri henrik henry hugo ian ibrahim igor ines inês inga ingrid irene irina isabel isabelle ivan jack jacob james jan jane javier jean jens joan joana joão john jonas jorge josé jose juan julia julian julie jürgen jurgen
-    karim karin karl katarina katherine kenji klara klaus lars laura lena leo leon leonie liam lina louis louise luca lucas lucia lúcia lucy luis luisa lukas magda manuel marc marco marek margaret maria marie mario mark markus marta
-    martin mary mateo matthias maya mehmet michael miguel mikhail mila mohamed monika nadia natalia nicolas nina noah noémie noemie nora olena olga oliver oscar oskar otto pablo paolo patricia paul paula pavel pedro peter petra philip
-    pierre priya rafael ralf ramón raquel renata richard rita robert rosa ruben ruth samuel sandra sara sarah sergei silvia simon sofia sofie sophie stefan stella susan sven tariq tatiana teresa thomas tobias tomas tomás tomasz ursula valentina
-    vera victor viktor wanda werner william yasmin yuki yusuf yvonne zoë zoe zofia анна борис вера дмитрий елена иван ирина мария михаил николай ольга павел пётр светлана сергей татьяна""".split()
+    """aisha alan albert alex alexander amara amelia amina andrea andreas andrés andré anna anne anton arthur astrid beatrice beatriz bernard bianca boris carla carlo carlos caroline catherine
+    charlotte chloé christian christine clara claude daniel david diego dieter dmitri dorothea edith elena elise elisabeth ella emil emma eric esther eva felix fernando florian francesca frank
+    gabriel george gerhard giulia greta gustav hana hannah hassan helen helena henrik henry hugo ibrahim igor inês inga ingrid irina isabel ivan jack james jan javier jean joan joana john jonas
+    jorge josé juan julia julie jürgen jurgen karin katarina katherine kenji klaus lars lena leo leonie liam lina louise luca lucia lúcia lucy luisa lukas manuel marc marek margaret maria mario
+    mark marta martin mary mateo maya mehmet miguel mikhail mohamed nadia natalia nicolas noah noémie noemie olena olga oliver oskar otto pablo patricia paul pavel pedro peter philip pierre
+    priya rafael ramón raquel richard rita rosa ruben ruth sandra sara sergei silvia sofia sofie stefan stella sven tariq teresa thomas tobias tomas tomasz ursula vera victor wanda werner
+    william yuki yusuf yvonne zoë zofia анна вера дмитрий иван ирина михаил николай павел пётр сергей""".split()
 )
 _CAP = r"(?:[A-ZÀ-ÞА-ЯЁ][a-zß-ÿа-яё]+(?:[-'’][A-ZÀ-Þa-zß-ÿ]+)*|[A-ZÀ-ÞА-ЯЁ]{3,}(?:[-'’][A-ZÀ-Þ]{2,})*)"
 _TOKEN = re.compile(r"[A-ZÀ-ÞА-ЯЁ][A-Za-zÀ-ÿА-Яа-яЁё]+")

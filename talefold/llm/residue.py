@@ -17,7 +17,7 @@ UNIT_SHARE = 0.5
 #: Filler words that make a sentence filler: their share of its words, and how many at least.
 FILLER_SHARE, FILLER_WORDS = 0.6, 3
 
-# Phrases of error pages, programs, script notices, filler and orders to fill in. Numbers are written as 0.
+# Phrases of our own choice: error pages, programs, script notices, filler and orders to fill in. Numbers are written as 0.
 PHRASES = {
     "error": """
         404 not found|403 forbidden|401 unauthorized|400 bad request|500 internal server error|502 bad gateway|503 service unavailable|504 gateway timeout|
