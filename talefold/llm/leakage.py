@@ -23,6 +23,16 @@ def words(text: str) -> list[str]:
     return WORD.findall(text.lower())
 
 
+def places(text: str) -> list[tuple[int, int]]:
+    """Where each of `words(text)` begins and ends in the text."""
+    low = text.lower()
+    at = [m.span() for m in WORD.finditer(low)]
+    if len(low) == len(text):
+        return at
+    origin = [k for k, c in enumerate(text) for _ in c.lower()]  # a letter may become two
+    return [(origin[a], origin[b - 1] + 1) for a, b in at]
+
+
 class SuffixAutomaton:
     """All word runs of all items in one automaton; each state knows the items it occurs in."""
 
@@ -96,6 +106,30 @@ class SuffixAutomaton:
                 size = self.length[at]
         return found
 
+    def covered(self, text: list[str], least: int) -> list[tuple[int, int]]:
+        """The words (from, to) that stand in some shared run of at least `least` words, in order and apart."""
+        codes = list(map(self.vocabulary.get, text))
+        found: list[tuple[int, int]] = []
+        if b"\1" * least not in bytes(c is not None for c in codes):
+            return found
+        state = run = 0
+        for i, c in enumerate(codes):
+            if c is None:
+                state = run = 0
+                continue
+            while state and c not in self.next[state]:
+                state = self.link[state]
+                run = self.length[state]
+            if c in self.next[state]:
+                state = self.next[state][c]
+                run += 1
+            if run >= least:
+                start = i - run + 1
+                if found and start <= found[-1][1]:
+                    start = min(start, found.pop()[0])
+                found.append((start, i + 1))
+        return found
+
 
 def blocks(items: list[tuple[int, str | None]], least: int, block_words: int) -> list[SuffixAutomaton]:
     out, block, size = [], [], 0
@@ -111,6 +145,43 @@ def blocks(items: list[tuple[int, str | None]], least: int, block_words: int) ->
     return out + ([SuffixAutomaton(block)] if block else [])
 
 
+def united(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    out: list[tuple[int, int]] = []
+    for start, end in sorted(spans):
+        if out and start <= out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], end))
+        else:
+            out.append((start, end))
+    return out
+
+
+def cut(text: str, automata: list[SuffixAutomaton], most_words: int, most_share: float, least: int) -> str | None:
+    """The text without its leaked words; None if these are `most_words` or `most_share` of its words.
+
+    What is left is searched again, as a cut may bring two parts of a passage together.
+    """
+    total = gone = 0
+    while True:
+        held = words(text)
+        total = total or len(held)
+        spans = united([s for a in automata for s in a.covered(held, least)])
+        if not spans:
+            return text
+        gone += sum(end - start for start, end in spans)
+        if gone >= most_words or gone >= most_share * total:
+            return None
+        at = places(text)
+        for start, end in reversed(spans):
+            before, after = text[: at[start][0]], text[at[end - 1][1] :]
+            text = (before.rstrip(" \t") if after[:1].isspace() else before) + after
+
+
+def _automata(items: DataFrame, least: int, block_words: int) -> list:
+    """The items' automata as broadcasts."""
+    held = [(r[0], r[1]) for r in items.select("item_id", "passage").where("item_id is not null and passage is not null").toLocalIterator()]
+    return [items.sparkSession.sparkContext.broadcast(a) for a in blocks(held, least, block_words)]
+
+
 def leaks(docs: DataFrame, items: DataFrame, least: int = LEAST_WORDS, block_words: int = BLOCK_WORDS) -> DataFrame:
     """One row for each document and each item of which it holds `least` consecutive words (FOUND).
 
@@ -119,10 +190,8 @@ def leaks(docs: DataFrame, items: DataFrame, least: int = LEAST_WORDS, block_wor
     each. Null and short texts and passages match nothing; a repeated document
     counts under each id; an item_id that comes twice counts as one item.
     """
-    held = [(r[0], r[1]) for r in items.select("item_id", "passage").where("item_id is not null and passage is not null").toLocalIterator()]
-    spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").alias("t")).where(F.col("t").isNotNull())
-    shared = [spark.sparkContext.broadcast(a) for a in blocks(held, least, block_words)]
+    shared = _automata(items, least, block_words)
 
     def make():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -144,7 +213,27 @@ def leaks(docs: DataFrame, items: DataFrame, least: int = LEAST_WORDS, block_wor
     return map_rows(rows, FOUND, make, 1000)
 
 
-def without_leaks(docs: DataFrame, items: DataFrame, most_words: int = 50, most_share: float = 0.5, least: int = LEAST_WORDS) -> DataFrame:
-    """The documents (doc_id) to keep: no match of `most_words` words or of `most_share` of the document."""
-    bad = leaks(docs, items, least).where((F.col("longest") >= most_words) | (F.col("longest") >= most_share * F.col("words_in_doc")))
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id")).join(bad.select("doc_id").distinct(), "doc_id", "left_anti")
+def without_leaks(docs: DataFrame, items: DataFrame, most_words: int = 50, most_share: float = 0.5, least: int = LEAST_WORDS, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """doc_id, text: the documents to keep, without the words that they share with items in runs of at least `least`.
+
+    A document is dropped if all such words together, of whatever items, are
+    `most_words` or `most_share` of its words. Null texts are kept; each row is
+    judged by its own text.
+    """
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    shared = _automata(items, least, block_words)
+
+    def make():
+        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+            automata = [a.value for a in shared]
+            ids, texts = [], []
+            for doc, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                rest = None if t is None else cut(t, automata, most_words, most_share, least)
+                if t is None or rest is not None:
+                    ids.append(doc)
+                    texts.append(rest)
+            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(texts, pa.string())], ["doc_id", "text"])
+
+        return step
+
+    return map_rows(rows, "doc_id bigint, text string", make, 1000)

@@ -194,6 +194,26 @@ def test_leaks_in_blocks(spark):
     assert sorted(r[0] for r in leakage.without_leaks(docs, items).collect()) == [2, 3, 4]
 
 
+def test_leaked_words_are_cut(spark):
+    a, b = (" ".join(f"{c}{k}" for k in range(22)) for c in "ab")
+    own = [f"own{k}" for k in range(200)]
+    rest = " ".join(own)
+    short, split = " ".join(a.split()[:12]), a.split()
+    docs = [
+        (1, f"İ {rest}, {short.upper()} {own[0]}."),  # one short run
+        (2, f"{rest} {a} x {b} x {short}"),  # 56 words of two items, none of 50 by itself
+        (3, f"{' '.join(own[:20])} {short} x {' '.join(b.split()[:12])}"),  # half of the document by two runs
+        (4, f"{rest} {' '.join(split[:11])} {' '.join(b.split()[:12])} {' '.join(split[11:])} end"),  # a passage around another
+        (5, rest), (6, ""), (7, None),
+    ]
+    items = spark.createDataFrame([(1, a), (2, b)], "item_id bigint, passage string")
+    frame = spark.createDataFrame(docs, "doc_id bigint, text string")
+    for block in (10, 100_000):
+        kept = leakage.without_leaks(frame, items, block_words=block)
+        assert {r["doc_id"]: r["text"] for r in kept.collect()} == {1: f"İ {rest}, {own[0]}.", 4: f"{rest} end", 5: rest, 6: "", 7: None}
+        assert leakage.leaks(kept, items).count() == 0
+
+
 # ---- personal information
 @pytest.mark.parametrize(
     "text,kinds",
