@@ -13,6 +13,20 @@ meta struct<author:string,title:string>, chapter struct<chapter_id:string,chapte
 chunks array<struct<chunk_id:string,text:string,section:string>>"""
 
 
+#: What a record has where its template has none of these.
+NESTED = {
+    "series": ({"id": "", "series_name": ""}, "struct<id:string,series_name:string>"),
+    "volume": ({"volume_id": "", "volume_name": "", "volume_number": 0}, "struct<volume_id:string,volume_name:string,volume_number:int>"),
+    "chapter": ({"chapter_id": "", "chapter_number": 1, "chapter_name": ""}, "struct<chapter_id:string,chapter_number:int,chapter_name:string>"),
+}
+
+
+def _nested(template: dict, name: str) -> Column:
+    default, kind = NESTED[name]
+    value = template.get(name, default)
+    return F.lit(None).cast(kind).alias(name) if value is None else F.struct(*[F.lit(value.get(k)).alias(k) for k in default]).cast(kind).alias(name)
+
+
 def compact_json(c: Column) -> Column:
     """JSON without blanks, fields in order, nulls kept."""
     return F.to_json(c, {"ignoreNullFields": "false"})
@@ -59,9 +73,12 @@ def story_records(stories: DataFrame, template: dict | None = None, existing: Da
     listed = chunks.groupBy("title").agg(F.transform(F.array_sort(F.collect_list(F.struct("chunk_no", "chunk_id", "chunk"))), lambda c: F.struct(c["chunk_id"].alias("chunk_id"), c["chunk"].alias("text"), F.lit("").alias("section"))).alias("chunks"))
     return rows.join(listed, "title", "left").select(
         "title",
-        F.lit(bool(t.get("Is_series", False))).alias("Is_series"),
+        F.lit(bool(t.get("Is_series", True))).alias("Is_series"),
         (F.lit(own) if own.strip() else F.col("title")).alias("id"),
+        _nested(t, "series"),
+        _nested(t, "volume"),
         F.struct(F.lit((t.get("meta") or {}).get("author") or "").alias("author"), F.col("title").alias("title")).alias("meta"),
+        _nested(t, "chapter"),
         F.lit(t.get("summary") or "").alias("summary"),
         F.col("text").alias("raw_text"),
         F.coalesce("chunks", F.array().cast("array<struct<chunk_id:string,text:string,section:string>>")).alias("chunks"),
@@ -69,8 +86,13 @@ def story_records(stories: DataFrame, template: dict | None = None, existing: Da
 
 
 def manifest(records: DataFrame) -> DataFrame:
-    """One row for each chunk that has an id: id, text, metadata as the collection takes it."""
+    """One row for each chunk that has an id: id, text, metadata as the collection takes it.
+
+    An empty id gives way to the title; series and volume are kept for series
+    only; what a record lacks is an empty object.
+    """
     c = F.col("c")
+    nested = lambda name: F.coalesce(compact_json(F.col(name)), F.lit("{}"))
     rows = records.select("*", F.explode("chunks").alias("c")).where(~is_blank(c["chunk_id"]))
     return rows.select(
         c["chunk_id"].alias("id"),
@@ -78,11 +100,14 @@ def manifest(records: DataFrame) -> DataFrame:
         F.struct(
             F.col("meta.title").alias("Title"),
             c["chunk_id"].alias("chunk_id"),
-            F.col("id"),
+            F.when(F.length("id") > 0, F.col("id")).otherwise(F.col("meta.title")).alias("id"),
             "Is_series",
             F.lit("content").alias("query_type"),
             F.coalesce(c["section"], F.lit("")).alias("section"),
-            compact_json(F.col("meta")).alias("meta_json"),
+            nested("meta").alias("meta_json"),
+            nested("chapter").alias("chapter_json"),
+            F.when(F.col("Is_series"), nested("series")).alias("series_json"),
+            F.when(F.col("Is_series"), nested("volume")).alias("volume_json"),
         ).alias("metadata"),
     )
 

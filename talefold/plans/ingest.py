@@ -28,7 +28,7 @@ def _records(spark, sf) -> DataFrame:
     """Series records with their text as one chunk."""
     s = _table(spark, sf, "series_records")
     one = F.struct(F.when(F.col("raw_text").isNotNull(), F.concat(F.coalesce("id", F.lit("")), F.lit("_chunk_"), F.col("row_id").cast("string"))).alias("chunk_id"), F.col("raw_text").alias("text"), F.lit("setup").alias("section"))
-    return s.select("id", "Is_series", "meta", F.array(one).alias("chunks"))
+    return s.select("id", "Is_series", "series", "volume", "meta", "chapter", F.array(one).alias("chunks"))
 
 
 def ingest_manifest(spark, sf):
@@ -36,6 +36,12 @@ def ingest_manifest(spark, sf):
     return m.select("id", F.length("text").alias("n"), F.col("metadata.Title").alias("title"), "metadata.Is_series", F.col("metadata.meta_json").alias("meta_json"), F.col("metadata.section").alias("section"))
 
 
+def ingest_manifest_nested(spark, sf):
+    """What manifest rows keep of record, chapter, series and volume."""
+    m = metadata.manifest(_records(spark, sf))
+    return m.select("id", *[F.col(f"metadata.{c}").alias(c if c != "id" else "story_id") for c in ("id", "chapter_json", "series_json", "volume_json")])
+
+
 def manifest_backfill(spark, sf):
     return metadata.backfilled(_table(spark, sf, "ingest_manifest")).select("row_id", "chunk_id")
 
@@ -176,6 +182,11 @@ def tpch_q5(spark, sf):
 _BLANK = f"[{SPACE}]*"
 ORACLE = {
     "ingest_manifest": """SELECT coalesce(id, '') || '_chunk_' || row_id AS id, length(raw_text) AS n, meta.title AS title, Is_series, json_object('author', meta.author, 'title', meta.title)::VARCHAR AS meta_json, 'setup' AS section
+ FROM series_records WHERE raw_text IS NOT NULL""",
+    "ingest_manifest_nested": """SELECT coalesce(id, '') || '_chunk_' || row_id AS id, coalesce(nullif(id, ''), meta.title) AS story_id,
+ CASE WHEN chapter IS NULL THEN '{}' ELSE json_object('chapter_id', chapter.chapter_id, 'chapter_number', chapter.chapter_number, 'chapter_name', chapter.chapter_name)::VARCHAR END AS chapter_json,
+ CASE WHEN Is_series THEN CASE WHEN series IS NULL THEN '{}' ELSE json_object('id', series.id, 'series_name', series.series_name)::VARCHAR END END AS series_json,
+ CASE WHEN Is_series THEN CASE WHEN volume IS NULL THEN '{}' ELSE json_object('volume_id', volume.volume_id, 'volume_name', volume.volume_name, 'volume_number', volume.volume_number)::VARCHAR END END AS volume_json
  FROM series_records WHERE raw_text IS NOT NULL""",
     "manifest_backfill": f"""SELECT row_id, coalesce(nullif({strip('metadata.chunk_id')}, ''), nullif({strip('id')}, '')) AS chunk_id FROM ingest_manifest WHERE coalesce(nullif({strip('metadata.chunk_id')}, ''), nullif({strip('id')}, '')) IS NOT NULL""",
     "manifest_metadata_merge": """SELECT row_id, coalesce(metadata.Title, '?') AS m_id, coalesce(metadata.Title, '?') AS m_title, coalesce(metadata.chunk_id, id) AS m_chunk_id, CASE WHEN metadata.Is_series THEN 'true' ELSE 'false' END AS m_is_series,
@@ -201,6 +212,6 @@ ORACLE = {
 }
 QUERIES = {
     f.__name__: f
-    for f in (story_records, ingest_manifest, manifest_backfill, manifest_metadata_merge, flat_metadata, collection_upsert, collection_insert, collection_update, collection_delete, collection_absent, collection_count, collection_ids_page,
+    for f in (story_records, ingest_manifest, ingest_manifest_nested, manifest_backfill, manifest_metadata_merge, flat_metadata, collection_upsert, collection_insert, collection_update, collection_delete, collection_absent, collection_count, collection_ids_page,
               collection_list_page, collection_get, content_rows, skip_existing, archive_pick, book_flatten, stream_ingest, batch_ingest, event_windows, tpch_q1, tpch_q5)
 }

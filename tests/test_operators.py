@@ -157,6 +157,19 @@ def test_books(spark, tmp_path):
     assert tuple(files.counters(read).first())[:2] == (2, 1)
 
 
+def test_manifest_keeps_chapter_series_and_volume(spark):
+    stories = spark.createDataFrame([("Fox", "The red fox of Marsh Hill counted lanterns.")], "title string, text string")
+    template = {"Is_series": True, "series": {"id": "s1", "series_name": "Foxes"}, "volume": {"volume_id": "v2", "volume_name": "Hill", "volume_number": 2}, "chapter": {"chapter_id": "c3", "chapter_number": 3, "chapter_name": "Lanterns"}}
+    r = metadata.story_records(stories, template)
+    got = metadata.manifest(r.withColumn("id", F.lit(""))).first()["metadata"]
+    assert got["id"] == "Fox"
+    assert [json.loads(got[f"{n}_json"]) for n in ("series", "volume", "chapter")] == [template[n] for n in ("series", "volume", "chapter")]
+    alone = metadata.manifest(metadata.story_records(stories, template | {"Is_series": False, "chapter": None})).first()["metadata"]
+    assert (alone["series_json"], alone["volume_json"], alone["chapter_json"]) == (None, None, "{}")
+    plain = metadata.manifest(metadata.story_records(stories)).first()["metadata"]
+    assert json.loads(plain["series_json"]) == {"id": "", "series_name": ""} and json.loads(plain["chapter_json"])["chapter_number"] == 1
+
+
 def test_sinks(spark, tmp_path):
     df = spark.createDataFrame([("a", "x"), ("b", " ")], "name string, text string")
     sinks.write_texts(df, f"file://{tmp_path}/t")
