@@ -83,15 +83,32 @@ _ADDRESS = [
 ]
 _ADDRESS_HINT = re.compile(r"\d")
 
-# A short list of given names of our own; the rest is left to context.
+# A list of given names of our own; other names need a context.
 GIVEN = set(
-    """aisha alan albert alex alexander amara amelia amina andrea andreas andrés andré anna anne anton arthur astrid beatrice beatriz bernard bianca boris carla carlo carlos caroline catherine
-    charlotte chloé christian christine clara claude daniel david diego dieter dmitri dorothea edith elena elise elisabeth ella emil emma eric esther eva felix fernando florian francesca frank
-    gabriel george gerhard giulia greta gustav hana hannah hassan helen helena henrik henry hugo ibrahim igor inês inga ingrid irina isabel ivan jack james jan javier jean joan joana john jonas
-    jorge josé juan julia julie jürgen jurgen karin katarina katherine kenji klaus lars lena leo leonie liam lina louise luca lucia lúcia lucy luisa lukas manuel marc marek margaret maria mario
-    mark marta martin mary mateo maya mehmet miguel mikhail mohamed nadia natalia nicolas noah noémie noemie olena olga oliver oskar otto pablo patricia paul pavel pedro peter philip pierre
-    priya rafael ramón raquel richard rita rosa ruben ruth sandra sara sergei silvia sofia sofie stefan stella sven tariq teresa thomas tobias tomas tomasz ursula vera victor wanda werner
-    william yuki yusuf yvonne zoë zofia анна вера дмитрий иван ирина михаил николай павел пётр сергей""".split()
+    """abdul abigail adam adrian agnes ahmed aisha akira alan albert alejandro alex alexander alexandra alexandre alexei alexey alfred ali alice alicia alison amanda amara amelia
+    amina amir amy ana anastasia andrea andreas andrei andrew andrzej andré andrés angela anja ann anna anne annette anthony anton antonio arjun arnaud arthur arturo astrid ayesha
+    aylin barbara barbro beatrice beatriz ben benedict benjamin bernard bernd bianca birgit björn boris brenda brian bridget brigitte bruno camille carla carlo carlos carmen carol
+    caroline catherine cecilia charles charlie charlotte chen chiara chinedu chioma chloe chloé christian christina christine christoph christopher cindy claire clara claude
+    claudia colette colin cornelia craig cristina cédric damian daniel danielle david deborah denis dennis derek diana diane diego dieter dirk dmitri dmitry dominik dominique
+    donald dorothea dorothy douglas duncan ebba edgar edith edmund eduardo edward eileen eleanor elena elias elisabeth elise elizabeth ella emeka emil emilia emilie emily emma
+    emmanuel enrique eric erik erika ernest ernst esther eugene eva evelyn ewa fabian fatima federico felix fernando fiona florian francesca francis francisco frank franz françois
+    fred frederick frida friedrich fritz gabriel galina gareth geoffrey georg george gerald gerard gerhard gertrud gilles giovanni giulia gloria gordon graham greg gregor gregory
+    greta guillaume gustav günter hana hannah hans harold harriet harry hassan heather heidi heinrich heinz helen helena helga henri henriette henrik henry herbert hiroshi holger
+    horst howard hubert huda hugo ian ibrahim igor ilse imran ines inga ingeborg ingo ingrid inês irene irina isaac isabel isabelle ivan ivana jack jacob jakob jamal james jan
+    jane janet janine jason javier jean jeanne jeff jennifer jens jeremy jerzy jessica jill joachim joan joana joanna johan johann johannes john jonas jonathan jorge jose josef
+    joseph josé joão juan judith julia julian julie jurgen jutta jürgen kamal karen karim karin karl katarina kate katherine kathleen keith kenji kevin khadija kim
+    klara klaus kofi krzysztof kumar kwame lakshmi lars laura laurent lawrence layla leila lena leo leon leonie leslie liam lina linda lorenzo lothar louis louise luca lucas lucia
+    lucy luigi luis luisa lukas lydia lynn lúcia mads magda magdalena maja malcolm manfred manuel marc marcel marco marcus marek margaret margarita margot maria mariana marianne
+    marie marina mario marion mark markus marlene marta martin mary mateo mathieu matthew matthias maureen maurice maximilian maya mehmet mei melanie michael michel michelle
+    miguel mikhail mila miriam mohamed mohammad mohammed monica monika mustafa nadia nancy naomi nasreen natalia natalie neil ngozi nicholas nicolas nicole nigel nikolai nils nina
+    nkechi noah noemie nora norbert norman noémie oleg olena olga oliver oluwaseun omar orla oscar oskar otto pablo pamela paolo pascal patricia patrick paul paula pauline pavel
+    pedro peter petr petra philip philippe pierre piotr priya rachel rafael raj ralf ralph ramón raquel raymond rebecca reinhard renata renate rené reza richard rita robert
+    rodrigo roger roland ronald rosa rosemary roy ruben rudolf ruth rüdiger sabine salma sam samir samira samuel sandeep sandra sara sarah sasha sean sergei sergey sergio shirley
+    sigrid silvia simon simone sofia sofie solveig sophie stanislav stefan stella stephanie stephen steve steven stuart stéphane sunita susan susanne suzanne sven sylvia sylvie
+    sébastien søren tadeusz takashi tamara tariq tatiana tatjana ted teresa theodor theresa thierry thomas tim timothy tina tobias tom tomas tomasz tomás toni ulrich ulrike ursula
+    uwe valentina valerie vanessa vera veronica victor viktor vincent viola virginia vivian vladimir volker véronique walter wanda wang wei wendy werner wilhelm willem william
+    wolfgang xavier xin yan yasmin yasmina yolanda yuki yusuf yves yvonne zahra zainab zoe zofia zoë ángel александр алексей андрей анна антон борис вера виктор владимир дмитрий
+    евгений екатерина елена иван ирина мария михаил наталья николай ольга павел пётр светлана сергей татьяна юлия""".split()
 )
 _CAP = r"(?:[A-ZÀ-ÞА-ЯЁ][a-zß-ÿа-яё]+(?:[-'’][A-ZÀ-Þa-zß-ÿ]+)*|[A-ZÀ-ÞА-ЯЁ]{3,}(?:[-'’][A-ZÀ-Þ]{2,})*)"
 _TOKEN = re.compile(r"[A-ZÀ-ÞА-ЯЁ][A-Za-zÀ-ÿА-Яа-яЁё]+")
@@ -102,12 +119,20 @@ _INITIAL = re.compile(r"\s+[A-Z]\.(?![a-z])")
 _PERSON_PHRASES = """thanks to|thank you|typed by|letter from|translated by|submitted by|received from|signed by|confirmed by|edited by|sent by|read by|found by|proofread by|illustrated by|collected by|told by|desk of|neighbour|neighbor|friend|colleague|editor|
     translator|sincerely|regards|wishes|contact|kontakt|contacto|contato|author's file|author’s file|written by|it was|dear|attn|c/o|goes to|freundlichen grüßen|cordialement|atentamente|atenciosamente|спасибо|редактор|переводчик|dr|prof|mr|mrs|ms|mme|herr|frau|sr|sra|sir|lady|
     rev|madame|monsieur|übersetzt von|eingereicht von|traduit par|envoyé par|traducido por|enviado por|traduzido por""".replace("\n", "")
+#: Those of them after which two names are somebody by themselves.
+_STRONG_PHRASES = set(
+    """thanks to|typed by|letter from|translated by|submitted by|signed by|edited by|sent by|read by|proofread by|illustrated by|collected by|written by|desk of|sincerely|regards|wishes|dear|attn|c/o|author's file|author’s file|freundlichen grüßen|cordialement|
+    atentamente|atenciosamente|übersetzt von|eingereicht von|traduit par|envoyé par|traducido por|enviado por|traduzido por""".replace("\n    ", "").split("|")
+)
+#: Capitalised words that begin no name.
+_NOT_GIVEN = set("the a an our my your his her their its this that all old new saint der die das dem den ein eine le la les un une el los las o os as um uma reader readers friends".split())
 _LEAD = re.compile(r"[\s,:.—–-]*(?:(?:Dr|Prof|Mr|Mrs|Ms|Mme|Herr|Frau|Sr|Sra)\b\.?\s+)?")
 _TITLES = set("dr prof mr mrs ms mme herr frau sr sra sir lady rev hon madame monsieur".split())
 _PERSON_AFTER = re.compile(r"^[\s,;:—–(<\[-]*(?:<|[\w.+-]+@|\+?\(?\d{2,}|for reading|told me|who found|on the telephone|[\w.+-]+ (?:\[at\]|\(at\)|at) |\((?:tel|dni|passport|social|national|ni|driving|tax|ssn)|passport|social security|national insurance|dni|ssn|ni number|driving)", re.I)
 #: Given-name-like words that begin sentences or name places.
 _MONTHS = set("january february march april may june july august september october november december monday tuesday wednesday thursday friday saturday sunday".split())
 _PLACE_END = _MONTHS | set("steps hollow weir ferry quay common barrow chantry hill moor street road lane way close court avenue place square house hall bridge gate".split())
+_NOT_GIVEN |= _PLACE_END
 
 
 def luhn(digits: str) -> bool:
@@ -207,18 +232,19 @@ class Anchors:
 
         self.automaton = ahocorasick.Automaton()
         labels = {re.sub(r"\W.*", "", x) for x in _ID_LABEL.split("|")}
-        for kind, words in (("id", labels), ("person", {x.strip() for x in _PERSON_PHRASES.split("|")})):
+        people = {x.strip() for x in _PERSON_PHRASES.split("|")}
+        for kind, words in (("id", labels), ("person", people - _STRONG_PHRASES), ("strong", _STRONG_PHRASES)):
             for word in words:
                 known = self.automaton.get(word, ())
                 self.automaton.add_word(word, (*known, (kind, len(word))))
         self.automaton.make_automaton()
 
-    def __call__(self, text: str) -> tuple[list[int], set[int]]:
-        """Where labels begin, and where names after phrases would begin."""
+    def __call__(self, text: str) -> tuple[list[int], dict[int, bool]]:
+        """Where labels begin, and where names after phrases would begin (true after a strong one)."""
         low = text.lower()
         if len(low) != len(text):
             low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
-        labels, people = [], set()
+        labels, people = [], {}
         n = len(low)
         for end, kinds in self.automaton.iter(low):
             for kind, size in kinds:
@@ -228,20 +254,21 @@ class Anchors:
                 if kind == "id":
                     labels.append(start)
                 elif end + 1 == n or not low[end + 1].isalnum():
-                    people.add(_LEAD.match(text, end + 1).end())
+                    at = _LEAD.match(text, end + 1).end()
+                    people[at] = people.get(at, False) or kind == "strong"
         return labels, people
 
 
 _ANCHORS: list[Anchors] = []
 
 
-def anchors(text: str) -> tuple[list[int], set[int]]:
+def anchors(text: str) -> tuple[list[int], dict[int, bool]]:
     if not _ANCHORS:
         _ANCHORS.append(Anchors())
     return _ANCHORS[0](text)
 
 
-def names(text: str, taken: list[Span], people: set[int]) -> list[Span]:
+def names(text: str, taken: list[Span], people: dict[int, bool]) -> list[Span]:
     """Given and family name in either order: a known given name, or two names in a context that is about people around the book."""
     out: list[Span] = []
     for m in _TOKEN.finditer(text):
@@ -270,6 +297,7 @@ def names(text: str, taken: list[Span], people: set[int]) -> list[Span]:
             stop = after.end()
             score = 0.6 * given + 0.35 * about
             if not given:  # the family name first
+                score += 0.2 * (people[start] and low not in _NOT_GIVEN)
                 score += 0.4 * (after.group("family").lower() in GIVEN) + 0.2 * bool(_PERSON_AFTER.match(text[stop : stop + 40]))
             elif after.group("family").lower() in GIVEN and not about:
                 score -= 0.2

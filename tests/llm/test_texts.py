@@ -228,6 +228,16 @@ def test_personal(text, kinds):
     assert {s.kind for s in pii.spans(text)} == kinds
 
 
+@pytest.mark.parametrize("text", ["It was translated by Michael Schneider.", "With thanks to Zyxel Okafor for the maps.", "Best regards,\nOkwudili Brandt", "The book by Laura Holkeholt is here."])
+def test_names_after_strong_phrases_and_names_put_back(text):
+    assert [s.kind for s in pii.spans(text)] == ["name"]
+
+
+@pytest.mark.parametrize("text", ["It was edited by The Miller of Otterholm.", "Signed by March Hill.", "Dear Old Weir, said Daka."])
+def test_no_names_after_strong_phrases(text):
+    assert pii.spans(text) == []
+
+
 def test_redaction_keeps_the_rest():
     text = "Thanks to Marek Holkeholt (tel 555-0185), 34A Juniper Ave., for help."
     assert pii.redact(text, pii.spans(text)) == "Thanks to [NAME] (tel [PHONE]), [ADDRESS], for help."
