@@ -120,7 +120,7 @@ def chunked(df: DataFrame, title: str, text: str, max_chars: int = 1800, overlap
 
 
 def packed_paragraphs(text: Column, max_chars: int = 1800) -> Column:
-    """The packing rule alone, in the JVM, for texts whose paragraphs are all within the limit."""
+    """The packing rule alone, in the JVM; a paragraph over the limit is a piece of its own."""
     paragraphs = F.filter(F.transform(F.split(text, r"\n\s*\n+"), F.trim), lambda p: p != "")
     empty = F.array().cast("array<string>")
 

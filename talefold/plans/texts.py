@@ -108,6 +108,12 @@ def chunk_paragraph_pack(spark, sf):
     return d.select("doc_id", F.size(chunk.packed_paragraphs(F.col("t"), 600)).alias("n_chunks"))
 
 
+def chunk_paragraph_pack_all(spark, sf):
+    """All documents with a text; pieces of up to 1,800 characters, a longer paragraph is a piece of its own."""
+    d = _docs(spark, sf, text.newline_trim(F.col("text")).alias("t")).where("t is not null")
+    return d.select("doc_id", F.size(chunk.packed_paragraphs(F.col("t"))).alias("n_chunks"))
+
+
 def section_tag(spark, sf):
     """Positional labels of the chunks of each record."""
     v = _table(spark, sf, "village_chunks").where("record_id is not null")
@@ -170,6 +176,11 @@ ORACLE = {
  p AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(t, '\\n\\s*\\n+'), lambda x: trim(x)), lambda x: x <> '') AS p FROM t WHERE list_max(list_transform(regexp_split_to_array(t, '\\n\\s*\\n+'), lambda x: length(x))) <= 600),
  s AS (SELECT doc_id, p, 0 AS i, 0 AS n, 0 AS size FROM p UNION ALL
   SELECT doc_id, p, i + 1, CASE WHEN n > 0 AND size + length(p[i + 1]) + 2 <= 600 THEN n ELSE n + 1 END, CASE WHEN n > 0 AND size + length(p[i + 1]) + 2 <= 600 THEN size + length(p[i + 1]) + 2 ELSE length(p[i + 1]) END FROM s WHERE i < len(p))
+ SELECT doc_id, n AS n_chunks FROM s WHERE i = len(p)""",
+    "chunk_paragraph_pack_all": f"""WITH RECURSIVE t AS (SELECT doc_id, {strip("replace(text, chr(13) || chr(10), chr(10))")} AS t FROM documents WHERE text IS NOT NULL),
+ p AS (SELECT doc_id, list_transform(list_filter(list_transform(regexp_split_to_array(t, '\\n\\s*\\n+'), lambda x: trim(x)), lambda x: x <> ''), lambda x: length(x)) AS p FROM t),
+ s AS (SELECT doc_id, p, 0 AS i, 0 AS n, 0 AS size FROM p UNION ALL
+  SELECT doc_id, p, i + 1, CASE WHEN n > 0 AND size + p[i + 1] + 2 <= 1800 THEN n ELSE n + 1 END, CASE WHEN n > 0 AND size + p[i + 1] + 2 <= 1800 THEN size + p[i + 1] + 2 ELSE p[i + 1] END FROM s WHERE i < len(p))
  SELECT doc_id, n AS n_chunks FROM s WHERE i = len(p)""",
     "section_tag": """WITH v AS (SELECT row_id, row_number() OVER (PARTITION BY record_id ORDER BY row_id) AS i, count(*) OVER (PARTITION BY record_id) AS n FROM village_chunks WHERE record_id IS NOT NULL)
  SELECT row_id, CASE WHEN n <= 1 OR i = 1 THEN 'setup' WHEN i = 2 THEN CASE WHEN n >= 4 THEN 'inciting_incident' ELSE 'rising_action' END WHEN i >= n THEN 'resolution' WHEN i = n - 1 THEN CASE WHEN n >= 5 THEN 'climax' ELSE 'confrontation' END ELSE 'rising_action' END AS section FROM v""",
@@ -183,5 +194,5 @@ ORACLE = {
 QUERIES = {
     f.__name__: f
     for f in (word_count, completeness, completeness_sections, section_bodies, short_sections, entities, strip_think, repair_json, searchable_text, safe_title, story_types, label_cleanup, format_extracted, clean_story, sentence_split,
-              merge_paragraphs, url_quote, chunk_documents, chunk_paragraph_pack, section_tag, label_streak, embed_documents, summaries, listed_models)
+              merge_paragraphs, url_quote, chunk_documents, chunk_paragraph_pack, chunk_paragraph_pack_all, section_tag, label_streak, embed_documents, summaries, listed_models)
 }

@@ -94,3 +94,12 @@ def test_format_extracted():
     assert format_extracted("one\r\ntwo\n\nCHAPTER ONE\nthree\n12\nfour") == "one two\n\nCHAPTER ONE three\n\n12 four"
     assert format_extracted("a" * 400 + ".\nnext") == "a" * 400 + ".\n\nnext"
     assert format_extracted(None) == ""
+
+
+def test_all_documents_are_packed(spark, tmp_path):
+    from talefold.plans import registry
+
+    docs = [(1, "a" * 2000 + "\n\nb\n\nc"), (2, "a" * 900 + "\n\n" + "b" * 898 + "\n\nc"), (3, "x"), (4, None), (5, "  ")]
+    spark.createDataFrame(docs, "doc_id bigint, text string").write.parquet(f"file://{tmp_path}/documents.parquet")
+    got = registry.queries()["chunk_paragraph_pack_all"](spark, f"file://{tmp_path}")
+    assert {r["doc_id"]: r["n_chunks"] for r in got.collect()} == {1: 2, 2: 2, 3: 1, 5: 0}
