@@ -3,7 +3,8 @@
 Misread words are looked up in a trie of the collection's own vocabulary by a
 Levenshtein automaton: a walk over trie and word at once that allows a bounded
 cost of edits, where a confusion that scanners make (e for c, m for rn) costs
-one and any other edit two. Such a walk finds every word within the bound.
+one and any other edit two. Such a walk finds every word within the bound; for
+words of letters only it takes the scanners' confusions alone.
 """
 
 from __future__ import annotations
@@ -29,6 +30,8 @@ RATIO = 40
 MOST_COST = 2
 #: Misread words without digits or signs that make a case by themselves, and their least length.
 LEAST_MISREAD, MISREAD_LENGTH = 1, 4
+#: The ratio for capitalised words, and for words one letter shorter than that, which are oftener rare words of their own.
+STRICT_RATIO = 200
 CONTEXT_BUCKETS = 1 << 20
 
 # What a scanner reads, and what was printed.
@@ -151,6 +154,18 @@ class Reader:
             self.memory[word] = known
         return known
 
+    def misread(self, word: str) -> bool:
+        """Does a word of letters alone show a scan? Capitalised and short ones by STRICT_RATIO."""
+        low = word.lower()
+        if len(word) < MISREAD_LENGTH - 1 or low in self.common or not word[1:].islower():
+            return False
+        if word.islower() and len(word) >= MISREAD_LENGTH:
+            return bool(self.printed(low))
+        if not word.islower() and len(word) < MISREAD_LENGTH:
+            return False  # abbreviations and short names
+        floor = STRICT_RATIO * max(self.count.get(low, 0), self.least - 1)
+        return any(self.count[w] >= floor for w, _ in self.printed(low))
+
     def split(self, m: re.Match) -> bool:
         """Is a word split at this line's end, rather than a compound that has its hyphen there?"""
         sign, gap, right = m.groups()
@@ -172,7 +187,7 @@ class Reader:
                     continue
                 whole = (letters.isascii() and letters.isupper()) or letters[1:].islower() or len(letters) < 2  # other cases come from wrong encodings
                 mixed += whole and not _ORDINAL.match(word) and (len(word) > 3 or bool(self.printed(word.lower())))
-            elif len(word) >= MISREAD_LENGTH and word not in self.common and word.islower() and self.printed(word):
+            elif self.misread(word):
                 misread += 1
         return splits, mixed, misread, lines
 

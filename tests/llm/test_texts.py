@@ -83,6 +83,12 @@ def test_scan_repair(reader):
     assert reader.repair(raw) == "the miller counted every lantern twice before dawn\n\nand came home"
 
 
+@pytest.mark.parametrize("text,wanted", [("over tbe hill", True), ("lanterns aud nets", True), ("Tbere came nobody", True), ("a bad hill", False), ("Bad hill", False), ("Daka came", False), ("TBE", False)])
+def test_short_and_capitalised_words_count(text, wanted):
+    count = {"the": 5000, "and": 5000, "had": 5000, "there": 1000, "bad": 40, "daka": 30}
+    assert scans.Reader(count, 2).is_scan(text) is wanted
+
+
 def test_trie_finds_all_within_the_bound():
     words = ["came", "cane", "lantern", "mend", "dawn", "down", "home"]
     trie = scans.Trie(words)
