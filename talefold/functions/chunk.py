@@ -1,79 +1,109 @@
-"""The story chunker and the formatter of extracted text: sequential rules, run as Arrow-batched functions."""
+"""The story chunker and the formatter of extracted text: sequential rules, run as Arrow-batched functions.
+
+Both lay out a text once as sorted arrays of places (where words, runs of signs,
+sentences and lines begin and end) and then find each cut by binary search, so a
+text of any length costs its length plus a logarithm for each piece.
+"""
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+# What separates paragraphs, marks that no chunk begins with, dashes, the least reach for a sentence's start, and the least piece.
 _BREAK = re.compile(r"\n\s*\n+")
-_SENTENCE = re.compile(r"\n+|[.!?]\s+")
-# Marks that no chunk begins with, and dashes.
 _LEADING = "\"'`“”‘’.,;:!?)-–—"
 _DASHES = "-–—"
+_LEAST_REACH, _LEAST_PIECE = 60, 50
 
 
-class _Window:
-    """Places in one long paragraph where a piece may begin or end."""
+class Runs:
+    """Runs of characters of one kind, by their sorted begins and ends."""
 
-    def __init__(self, text: str, limit: int, overlap: int):
-        self.text, self.n, self.limit, self.overlap = text, len(text), limit, overlap
+    def __init__(self, pattern: str, text: str):
+        spans = [m.span() for m in re.finditer(pattern, text)]
+        self.begins, self.ends, self.n = [a for a, _ in spans], [b for _, b in spans], len(text)
+
+    def around(self, at: int) -> tuple[int, int]:
+        """Begin and end of the run whose characters lie on both sides of `at`; (at, at) where none does."""
+        k = bisect_left(self.begins, at) - 1
+        return (self.begins[k], self.ends[k]) if k >= 0 and at < self.ends[k] else (at, at)
+
+    def end_at(self, at: int) -> int:
+        """The end of the run that holds the character at `at`; `at` where none does."""
+        k = bisect_right(self.begins, at) - 1
+        return self.ends[k] if k >= 0 and at < self.ends[k] else at
+
+    def first_from(self, at: int) -> int:
+        """The first place from `at` on that lies in a run; the text's end where none follows."""
+        k = bisect_right(self.ends, at)
+        return max(at, self.begins[k]) if k < len(self.ends) else self.n
 
-    def spaces(self, at: int) -> int:
-        while at < self.n and self.text[at].isspace():
-            at += 1
-        return at
 
-    def inside_word(self, at: int) -> bool:
-        return 0 < at < self.n and self.text[at].isalnum() and self.text[at - 1].isalnum()
+class Layout:
+    """One long paragraph: its words, its solid (unspaced) stretches, its leading marks, and the spaces after which a sentence may begin."""
 
-    def sentence(self, at: int, reach: int) -> int:
-        """In the middle of a sentence, on to the next one if it begins within reach."""
+    def __init__(self, text: str):
+        self.text, self.n = text, len(text)
+        self.words, self.solid, self.marks = Runs(r"[^\W_]+", text), Runs(r"\S+", text), Runs(f"[{re.escape(_LEADING)}]+", text)
+        self.gaps = [m.start() for m in re.finditer(r"\n|(?<=[.!?])\s", text)]
+
+    def resumed(self, at: int, reach: int) -> int:
+        """A lower-case start within a sentence gives way to the next sentence, if that one begins before `reach`."""
         if at < reach and self.text[at].islower() and self.text[at - 1] not in "\n\r.!?":
-            if found := _SENTENCE.search(self.text, at, reach):
-                return self.spaces(found.end())
+            k = bisect_left(self.gaps, at)
+            if k < len(self.gaps) and self.gaps[k] < reach:
+                return self.solid.first_from(self.gaps[k])
         return at
 
-    def begin(self, at: int) -> int:
-        while self.inside_word(at):
-            at += 1
-        at = self.spaces(at)
-        reach = min(self.n, at + max(60, self.overlap))
-        at = self.sentence(at, reach)
-        while at < reach and self.text[at] in _LEADING:
-            at += 1
-        return self.sentence(self.spaces(at), reach)
-
-    def end(self, start: int, at: int) -> int:
+    def opening(self, at: int, overlap: int) -> int:
+        """Where a later piece begins that may begin at `at`: at a word, a sentence if one is near, and no leading mark."""
+        at = self.solid.first_from(self.words.around(at)[1])
+        reach = min(self.n, at + max(_LEAST_REACH, overlap))
+        at = self.resumed(at, reach)
+        if at < reach:
+            at = min(self.marks.end_at(at), reach)
+        return self.resumed(self.solid.first_from(at), reach)
+
+    def closing(self, start: int, at: int, limit: int) -> int:
+        """Where a piece from `start` ends that may end at `at`: at a word's end, and before a word whose hyphen would dangle."""
         if at >= self.n:
-            return at
-        while at > start and self.inside_word(at):
-            at -= 1
+            return self.n
+        at = max(start, self.words.around(at)[0])
         if at > start + 1 and self.text[at - 1] in _DASHES and self.text[at].isalpha():
-            at -= 1
-            while at > start + 1 and not self.text[at - 1].isspace():
-                at -= 1
-        return min(self.n, start + self.limit) if at <= start + 50 else at
-
-    def pieces(self) -> list[str]:
-        out: list[str] = []
-        start = last = 0
-        while start < self.n:
-            edge = min(self.n, start + self.limit)
-            if start > 0:
-                start = self.begin(start)
-            end = self.end(start, edge)
-            if piece := self.text[start:end].strip():
-                out.append(piece)
-            if end >= self.n:
+            at = max(start + 1, self.solid.around(at)[0])
+        return at if at > start + _LEAST_PIECE else min(self.n, start + limit)
+
+    def pieces(self, limit: int, overlap: int) -> list[str]:
+        spans: list[tuple[int, int]] = []
+        at = 0
+        while not spans or spans[-1][1] < self.n:
+            start = self.opening(at, overlap) if spans else 0
+            if start >= self.n:
                 break
+            spans.append((start, self.closing(start, min(self.n, at + limit), limit)))
+            back = spans[-1][1] - overlap
             # an endless word could hold the window back; then it goes on without an overlap
-            start = end - self.overlap if end - self.overlap > last else max(end, last + 1)
-            last = start
-        return out
+            at = back if back > at else max(spans[-1][1], at + 1)
+        return [piece for a, b in spans if (piece := self.text[a:b].strip())]
+
+
+def _packs(sizes: list[int], most: int) -> list[tuple[int, int]]:
+    """(from, to) of paragraphs that go into one chunk, two line ends between each; one over the limit stands alone."""
+    filled = [0, *accumulate(size + 2 for size in sizes)]
+    out: list[tuple[int, int]] = []
+    first = 0
+    while first < len(sizes):
+        last = max(first + 1, bisect_right(filled, filled[first] + most + 2) - 1)
+        out.append((first, last))
+        first = last
+    return out
 
 
 def chunk_text(text: str | None, max_chars: int = 1800, overlap_chars: int = 200, least_words: int = 20) -> list[str]:
@@ -83,24 +113,11 @@ def chunk_text(text: str | None, max_chars: int = 1800, overlap_chars: int = 200
     and blank texts have no chunks.
     """
     text = (text or "").replace("\r\n", "\n").strip()
+    paragraphs = [p for p in map(str.strip, _BREAK.split(text)) if p]
     chunks: list[str] = []
-    held: list[str] = []
-    size = 0
-    for paragraph in filter(None, map(str.strip, _BREAK.split(text))):
-        joined = size + len(paragraph) + (2 if held else 0)
-        if len(paragraph) <= max_chars and joined <= max_chars:
-            held.append(paragraph)
-            size = joined
-            continue
-        if held:
-            chunks.append("\n\n".join(held))
-        held, size = [], 0
-        if len(paragraph) > max_chars:
-            chunks += _Window(paragraph, max_chars, overlap_chars).pieces()
-        else:
-            held, size = [paragraph], len(paragraph)
-    if held:
-        chunks.append("\n\n".join(held))
+    for first, last in _packs([len(p) for p in paragraphs], max_chars):
+        whole = "\n\n".join(paragraphs[first:last])
+        chunks += [whole] if len(whole) <= max_chars else Layout(whole).pieces(max_chars, overlap_chars)
     return [c for c in chunks if len(c.split()) >= least_words] or chunks
 
 
@@ -132,21 +149,32 @@ def packed_paragraphs(text: Column, max_chars: int = 1800) -> Column:
     return F.aggregate(paragraphs, empty, add)
 
 
-_HEADING = re.compile(r"[A-Z0-9][A-Z0-9\s\-–—]{5,}")
-_PAGE = re.compile(r"\d{1,4}")
+# Headings and page numbers of extracted books.
+_OPENER = re.compile(r"[A-Z0-9][A-Z0-9\s\-–—]{5,}|\d{1,4}")
 
 
 def format_extracted(text: str | None, full: int = 400) -> str:
-    """Paragraphs of extracted book text: a heading or page number opens one, a sentence end closes a long one."""
-    lines = [line for line in map(str.strip, (text or "").replace("\r\n", "\n").replace("\r", "\n").split("\n")) if line]
-    out: list[list[str]] = [[]]
-    for line in lines:
-        if out[-1] and (_HEADING.fullmatch(line) or _PAGE.fullmatch(line)):
-            out.append([])
-        out[-1].append(line)
-        if line[-1] in ".?!" and sum(map(len, out[-1])) + len(out[-1]) - 1 >= full:
-            out.append([])
-    return re.sub(r"[ \t]+", " ", "\n\n".join(" ".join(p) for p in out if p))
+    """Paragraphs of extracted book text: a heading or page number opens one, a sentence end closes a long one.
+
+    Lines are trimmed, blank ones dropped. A paragraph of lines i to j has
+    ends[j] - ends[i] - 1 characters; the first sentence end that makes it long
+    enough is found in the sorted list of such ends. Null texts give "".
+    """
+    lines = [line for line in map(str.strip, re.split(r"\r\n?|\n", text or "")) if line]
+    ends = [0, *accumulate(len(line) + 1 for line in lines)]
+    openers = [k for k, line in enumerate(lines) if _OPENER.fullmatch(line)] + [len(lines)]
+    stops = [k + 1 for k, line in enumerate(lines) if line[-1] in ".?!"]
+    stop_ends = [ends[k] for k in stops]
+    out: list[str] = []
+    first = 0
+    while first < len(lines):
+        last = openers[bisect_right(openers, first)]
+        k = bisect_left(stop_ends, ends[first] + full + 1)
+        if k < len(stops):
+            last = min(last, stops[k])
+        out.append(re.sub(r"[ \t]+", " ", " ".join(lines[first:last])))
+        first = last
+    return "\n\n".join(out)
 
 
 @F.pandas_udf(StringType())
