@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: White space as Python sees it.
 BLANKS = "".join(map(chr, [*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+#: A run of them, as ranges: quicker than one character after the other.
+BLANK_RUN = r"[\x09-\x0d\x1c-\x20\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
 
 # Words that are no entities.
 STOP = ["The", "A", "An", "And", "But", "Or", "In", "On", "At", "To", "For", "Of", "With", "As", "When", "Then", "After", "Before", "Once", "Section", "SECTION", "WHO", "WHERE", "WHEN", "WHAT", "HOW", "WHY", "OUTCOME"]
@@ -59,7 +61,8 @@ def first_of(*columns: Column, default: str | None = None) -> Column:
 
 
 def words(c: Column) -> Column:
-    return F.filter(F.split(plain_space(c), " "), lambda w: w != "")
+    """Runs of characters between white space."""
+    return F.array_remove(F.split(c, BLANK_RUN), "")
 
 
 def word_count(c: Column) -> Column:
@@ -123,7 +126,8 @@ def url_quote(c: Column) -> Column:
 
 
 def found_sections(c: Column) -> Column:
-    return F.transform(F.regexp_extract_all(c, F.lit(r"(?i)\[SECTION\s+(\d+)"), F.lit(1)), lambda x: x.cast("int"))
+    """Numbers of the section headers in order; one too large for an int is null."""
+    return F.transform(F.regexp_extract_all(c, F.lit(r"(?i)\[SECTION\s+(\d+)"), F.lit(1)), lambda x: x.try_cast("int"))
 
 
 def missing_sections(c: Column, expected: int = 5) -> Column:
@@ -136,10 +140,17 @@ def ends_clean(c: Column) -> Column:
 
 
 def section_bodies(c: Column) -> Column:
-    """Map from a section's number to its text; of equal numbers the last counts."""
+    """Map from a section's number to its text; of equal numbers the last counts, a number too large for an int has no entry.
+
+    A null text gives null. No session setting changes the outcome.
+    """
     parts = F.filter(F.split(c, r"(?im)(?=^\[SECTION\s+\d+.*?\][ \t]*$)"), lambda p: p.rlike(r"^(?i)\[SECTION\s+\d+"))
-    numbered = F.transform(parts, lambda p: F.struct(F.regexp_extract(p, r"^(?i)\[SECTION\s+(\d+)", 1).cast("int").alias("n"), strip(F.regexp_replace(p, r"^[^\n]*(?:\n|\z)", "")).alias("body")))
-    return F.map_from_entries(numbered)
+    numbered = F.transform(parts, lambda p: F.struct(F.regexp_extract(p, r"^(?i)\[SECTION\s+(\d+)", 1).try_cast("int").alias("n"), strip(F.regexp_replace(p, r"^[^\n]*(?:\n|\z)", "")).alias("body")))
+
+    def last_of_each(entries: Column) -> Column:
+        return F.filter(entries, lambda e, i: e["n"].isNotNull() & ~F.exists(F.slice(entries, i + 2, F.size(entries)), lambda later: later["n"] == e["n"]))
+
+    return F.map_from_entries(let(numbered, last_of_each))
 
 
 def short_sections(c: Column, least: int, expected: int = 5) -> Column:
@@ -167,24 +178,49 @@ def entities(c: Column) -> Column:
     return let(strip(F.regexp_replace(plain_space(c), "  +", " ")), found)
 
 
+# Repairs of a generated story, in the order in which they apply (what is found, what takes its place).
+STORY_REPAIRS = [
+    (r'(?<=[”"])(?=[A-Za-z])', " "),  # a word right after a closing quotation mark
+    (r'(^|[\s(\[])(["“])\s+([A-Za-z])', "$1$2$3"),  # white space right after an opening one
+    (r"(?i)\b([A-Za-z]+)(\s+\1\b)+", "$1"),  # a word again and again
+    (r"  +", " "),
+]
+# Opening and closing quotation marks, and the marks at which an unclosed paragraph of speech gets one.
+QUOTES = {'"': '"', "“": "”"}
+SPEECH_ENDS = ".!?,"
+#: Sentence marks before the first section up to which that text is a leaked prompt line.
+MOST_LEAKED = 2
+
+
+def without_leaked_prompt(c: Column) -> Column:
+    """A short text before the first section header goes."""
+    at = F.regexp_instr(c, F.lit(r"(?i)\[SECTION"))
+
+    def judged(n: Column) -> Column:
+        marks = F.length(F.regexp_replace(F.left(c, n - 1), r"[^.!?]", ""))
+        return F.when((n > 1) & (marks <= MOST_LEAKED), F.substr(c, n)).otherwise(c)
+
+    return let(at, judged)
+
+
+def closed_speech(paragraph: Column) -> Column:
+    """A paragraph that opens a quotation and never closes it gets its closing mark after a sentence end."""
+    closing = F.replace(F.replace(F.left(paragraph, F.lit(1)), F.lit('"'), F.lit(QUOTES['"'])), F.lit("“"), F.lit(QUOTES["“"]))
+    open_alone = paragraph.rlike(rf'\A["“][^"”]*[{SPEECH_ENDS}]\z')
+    return F.when(open_alone, F.concat(paragraph, closing)).otherwise(paragraph)
+
+
 def clean_story(c: Column) -> Column:
-    """Small repairs of a generated story: leaked prompt lines, quotation marks, doubled words and spaces."""
-    def headless(t: Column) -> Column:
-        head = F.regexp_extract(t, r"(?is)^(.*?)\[SECTION", 1)
-        few = F.size(F.regexp_extract_all(head, F.lit(r"[.!?]"), F.lit(0))) <= 2
-        return F.when((F.length(head) > 0) & few, F.substring(t, F.length(head) + 1, F.length(t))).otherwise(t)
-
-    def closed(p: Column) -> Column:
-        rest = F.substring(p, 2, F.length(p))
-        unclosed = p.rlike(r'^["“]') & ~rest.rlike(r'["”]') & p.rlike(r"[.!?,]\z")
-        return F.when(unclosed, F.concat(p, F.when(p.startswith("“"), F.lit("”")).otherwise(F.lit('"')))).otherwise(p)
-
-    paragraphs = F.filter(F.transform(F.split(let(strip(c), headless), r"\n{2,}"), strip), lambda p: p != "")
-    t = F.array_join(F.transform(paragraphs, closed), "\n\n")
-    t = F.regexp_replace(t, r'(?<=[”"])(?=[A-Za-z])', " ")
-    t = F.regexp_replace(t, r'(^|[\s(\[])(["“])\s+([A-Za-z])', "$1$2$3")
-    t = F.regexp_replace(t, r"(?i)\b([A-Za-z]+)(\s+\1\b)+", "$1")
-    return F.regexp_replace(t, r"  +", " ")
+    """A generated story without leaked prompt lines, with quotations closed and STORY_REPAIRS made; null gives null, blank gives "".
+
+    Paragraphs are the parts between empty lines; blank ones go.
+    """
+    bare = let(strip(c), without_leaked_prompt)
+    paragraphs = F.filter(F.transform(F.split(bare, r"\n{2,}"), strip), lambda p: p != "")
+    out = F.array_join(F.transform(paragraphs, closed_speech), "\n\n")
+    for found, instead in STORY_REPAIRS:
+        out = F.regexp_replace(out, found, instead)
+    return out
 
 
 def merge_paragraphs(c: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from talefold.functions.chunk import chunked
+from talefold.functions.chunk import chunks_of
 from talefold.functions.text import falsy, is_blank, strip
 
 RECORD = """Is_series boolean, id string, series struct<id:string,series_name:string>, volume struct<volume_id:string,volume_name:string,volume_number:int>,
@@ -46,10 +46,19 @@ def without_hidden(c: Column) -> Column:
     return F.map_filter(c, lambda k, v: ~k.startswith("_"))
 
 
+def overlaid(*maps: Column) -> Column:
+    """One map of several, a later one's entry in place of an earlier one's, whatever the session does with equal keys."""
+
+    def without(earlier: Column, later: tuple[Column, ...]) -> Column:
+        return F.map_filter(earlier, lambda k, v: ~F.exists(F.array(*[F.map_contains_key(m, k) for m in later]), lambda x: x))
+
+    return F.map_concat(*[without(m, maps[i + 1 :]) if i + 1 < len(maps) else m for i, m in enumerate(maps)])
+
+
 def merged(template: Column, defaults: Column, override: Column, title: Column, chunk_id: Column) -> Column:
     """Metadata of a chunk: template, defaults and the title's own entries, later ones winning; texts left out; id falls back to the title."""
     empty = F.create_map().cast("map<string,string>")
-    base = F.map_concat(*[F.coalesce(m, empty) for m in (template, defaults, override)])
+    base = overlaid(*[F.coalesce(m, empty) for m in (template, defaults, override)])
     series = ~falsy(F.try_element_at(base, F.lit("Is_series")))
     dropped = ["raw_text", "chunks", "extracted", "Title", "chunk_id", "Is_series", "id"]
     kept = F.map_filter(base, lambda k, v: v.isNotNull() & ~k.isin(*dropped) & (series | ~k.isin("series_json", "volume_json")))
@@ -62,16 +71,16 @@ def story_records(stories: DataFrame, template: dict | None = None, existing: Da
     """One record for each story (title, text): the template's values, blank ids replaced by the title, and its chunks.
 
     Titles that have a record already are left out unless `overwrite`; `only`
-    restricts to some titles. Null texts have no chunks.
+    restricts to some titles. Null texts have no chunks. Each story keeps its own
+    chunks, also where two have one title; nothing is shuffled.
     """
     t = template or {}
     rows = stories.where(F.col("title").isin(only)) if only else stories
     if existing is not None and not overwrite:
         rows = rows.join(existing.select("title").distinct(), "title", "left_anti")
     own = t.get("id") or ""
-    chunks = chunked(rows.select("title", "text"), "title", "text")
-    listed = chunks.groupBy("title").agg(F.transform(F.array_sort(F.collect_list(F.struct("chunk_no", "chunk_id", "chunk"))), lambda c: F.struct(c["chunk_id"].alias("chunk_id"), c["chunk"].alias("text"), F.lit("").alias("section"))).alias("chunks"))
-    return rows.join(listed, "title", "left").select(
+    numbered = F.transform(chunks_of(F.col("text")), lambda c, i: F.struct(F.concat(F.col("title"), F.lit("_chunk_"), (i + 1).cast("string")).alias("chunk_id"), c.alias("text"), F.lit("").alias("section")))
+    return rows.withColumn("chunks", numbered).select(
         "title",
         F.lit(bool(t.get("Is_series", True))).alias("Is_series"),
         (F.lit(own) if own.strip() else F.col("title")).alias("id"),

@@ -5,12 +5,17 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-from talefold.session import session  # noqa: E402
+from talefold.session import configure  # noqa: E402
 
 
 @pytest.fixture(scope="session")
 def spark():
-    s = session("tests", "local[4]", 4)
+    """A session as users have it; with TALEFOLD_TEST_SESSION=engine one with the engine's settings."""
+    from pyspark.sql import SparkSession
+
+    s = SparkSession.builder.master("local[4]").appName("tests").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "4").getOrCreate()
+    if os.environ.get("TALEFOLD_TEST_SESSION") == "engine":
+        configure(s)
     s.sparkContext.setLogLevel("ERROR")
     yield s
     s.stop()
