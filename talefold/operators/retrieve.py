@@ -6,7 +6,8 @@ scores rounded to 9 digits, then the id.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -29,11 +30,43 @@ def cosine_distance(a: Column, b: Column) -> Column:
     return 1 - same / F.nullif(F.sqrt(dot(a, a) * dot(b, b)), F.lit(0.0))
 
 
+#: Comparisons of a metadata filter.
+_COMPARE = {
+    "$eq": lambda c, v: c.isNull() if v is None else c == F.lit(v),
+    "$ne": lambda c, v: c.isNotNull() if v is None else ~c.eqNullSafe(F.lit(v)),
+    "$gt": lambda c, v: c > F.lit(v),
+    "$gte": lambda c, v: c >= F.lit(v),
+    "$lt": lambda c, v: c < F.lit(v),
+    "$lte": lambda c, v: c <= F.lit(v),
+    "$in": lambda c, v: c.isin(list(v)),
+    "$nin": lambda c, v: ~F.coalesce(c.isin(list(v)), F.lit(False)),
+}
+
+
+def condition(where: dict, column: Callable[[str], Column] = F.col) -> Column:
+    """A filter as a column: {name: value} or {name: {comparison: value}}, all of them together; $and and $or take lists of filters.
+
+    `column` says where a name is found. Unknown comparisons are an error. What
+    compares with null is false, but for `$ne` and `$nin`.
+    """
+    parts = []
+    for name, wanted in where.items():
+        if name in ("$and", "$or"):
+            if not wanted:
+                raise ValueError(f"{name} needs filters")
+            join = (lambda a, b: a & b) if name == "$and" else (lambda a, b: a | b)
+            parts.append(reduce(join, [condition(w, column) for w in wanted]))
+            continue
+        for how, value in (wanted if isinstance(wanted, dict) else {"$eq": wanted}).items():
+            if how not in _COMPARE:
+                raise ValueError(f"unknown comparison: {how}")
+            parts.append(_COMPARE[how](column(name), value))
+    return reduce(lambda a, b: a & b, parts, F.lit(True))
+
+
 def filtered(df: DataFrame, where: dict | None) -> DataFrame:
-    """Equality on every given column; pushed down to the scan."""
-    for column, value in (where or {}).items():
-        df = df.where(F.col(column).isNull() if value is None else F.col(column) == F.lit(value))
-    return df
+    """The rows that meet a filter (see condition()) on their columns; pushed down to the scan."""
+    return df.where(condition(where)) if where else df
 
 
 def dense_topk(corpus: DataFrame, queries: DataFrame, k: int, where: dict | None = None, vector: str = "embedding", key: str = "vec_id") -> DataFrame:
@@ -103,34 +136,70 @@ def _terms(text: Column) -> Column:
     return words(F.lower(text))
 
 
-def bm25(docs: DataFrame, queries: DataFrame, pooled: bool = False) -> DataFrame:
+#: Asked terms up to which their list goes to all tasks; beyond it, documents' words are shuffled to them.
+LISTED_TERMS = 100_000
+
+
+def _asked(queries: DataFrame) -> DataFrame:
+    """query_id, term, qf: each term of each query and how often the query has it."""
+    return queries.select("query_id", F.explode(_terms(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qf"))
+
+
+def _part(tf: Column, n: Column, avgdl: Column, idf: Column) -> Column:
+    return idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * n / avgdl))
+
+
+def _raw_idf(n_docs: Column, df: Column) -> Column:
+    return F.ln((n_docs - df + 0.5) / (df + 0.5))
+
+
+def bm25(docs: DataFrame, queries: DataFrame) -> DataFrame:
     """query_id, id, score of documents (id, text) by Okapi BM25 for queries (query_id, query).
 
-    With `pooled`, docs has query_id, and each query's statistics are those of
-    its own pool; otherwise they are those of the whole table. A repeated query
-    term counts each time. Documents without a query term score 0: they have a
-    row in a pool, none otherwise. Null texts are empty.
+    The statistics are those of the whole table. A repeated query term counts
+    each time. Null texts are empty; documents without a query term have no row.
+
+    One pass gives document frequencies and, in the row of the null term, number
+    and mean size of documents; another counts the asked words of each document.
+    Neither shuffles (document, word) pairs beyond what the queries ask for.
+    """
+    asked = _asked(queries)
+    terms = asked.select("term").distinct()
+    if terms.limit(LISTED_TERMS + 1).count() <= LISTED_TERMS:
+        terms = F.broadcast(terms)
+    rows = docs.select("id", _terms(F.coalesce("text", F.lit(""))).alias("w"))
+    counted = rows.select(F.size("w").alias("n"), F.explode(F.array_append(F.array_distinct("w"), F.lit(None))).alias("term")).groupBy("term").agg(F.count("*").alias("df"), F.avg("n").alias("mean"))
+    whole = counted.where("term is null").select(F.col("df").alias("n_docs"), F.col("mean").alias("avgdl"))
+    idf = counted.where("term is not null").crossJoin(F.broadcast(whole)).select("term", "avgdl", _raw_idf(F.col("n_docs"), F.col("df")).alias("raw"))
+    floor = idf.agg((IDF_FLOOR * F.avg("raw")).alias("floor"))
+    weights = idf.join(terms, "term", "left_semi").crossJoin(F.broadcast(floor)).select("term", "avgdl", F.when(F.col("raw") < 0, F.col("floor")).otherwise(F.col("raw")).alias("idf"))
+    hits = rows.select("id", F.size("w").alias("n"), F.explode("w").alias("term")).join(terms, "term", "left_semi").groupBy("id", "n", "term").agg(F.count("*").alias("tf"))
+    scored = hits.join(weights, "term").select("id", "term", _part(F.col("tf"), F.col("n"), F.col("avgdl"), F.col("idf")).alias("part"))
+    return scored.join(asked, "term").groupBy("query_id", "id").agg(F.sum(F.col("qf") * F.col("part")).alias("score"))
+
+
+def bm25_pools(pool: DataFrame, queries: DataFrame) -> DataFrame:
+    """The rows of each query's pool (query_id, id, text, rank and others) with their BM25 `score` and `lexical_rank`.
+
+    Each query's statistics are those of its own pool. A document without a query
+    term scores 0. Equal scores keep the pool's order. The pool is partitioned
+    by query once; all counts and ranks are taken within that partitioning.
     """
-    by = ["query_id"] if pooled else []
-    docs = docs.select(*by, "id", _terms(F.coalesce("text", F.lit(""))).alias("w"))
-    # one pass gives document frequencies and, in the row of the null term, the number and the mean size of documents
-    counted = docs.select(*by, F.size("w").alias("n"), F.explode(F.array_append(F.array_distinct("w"), F.lit(None))).alias("term")).groupBy(*by, "term").agg(F.count("*").alias("df"), F.avg("n").alias("mean"))
-    df = counted.where("term is not null").select(*by, "term", "df")
-    whole = counted.where("term is null").select(*by, F.col("df").alias("N"), F.col("mean").alias("avgdl"))
-    asked = queries.select("query_id", F.explode(_terms(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qf"))
-    link = lambda left, right: left.join(right, by) if pooled else left.crossJoin(F.broadcast(right))  # noqa: E731  # one row
-    idf = link(df, whole).withColumn("raw", F.ln((F.col("N") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
-    floor = idf.groupBy(*by).agg((IDF_FLOOR * F.avg("raw")).alias("floor"))
-    named = idf.join(asked if pooled else asked.select("term").distinct(), [*by, "term"], "left_semi")
-    weights = link(named, floor).select(*by, "term", "avgdl", F.when(F.col("raw") < 0, F.col("floor")).otherwise(F.col("raw")).alias("idf"))
-    terms = asked.select(*by, "term").distinct()
-    tf = docs.select(*by, "id", F.size("w").alias("n"), F.explode("w").alias("term")).join(terms, [*by, "term"], "left_semi").groupBy(*by, "id", "n", "term").agg(F.count("*").alias("tf"))
-    hits = tf.join(weights, [*by, "term"]).join(asked, [*by, "term"])
-    part = F.col("qf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("n") / F.col("avgdl")))
-    scores = hits.groupBy("query_id", "id").agg(F.sum(part).alias("score"))
-    if not pooled:
-        return scores
-    return docs.select("query_id", "id").join(scores, ["query_id", "id"], "left").select("query_id", "id", F.coalesce("score", F.lit(0.0)).alias("score"))
+    asked = _asked(queries).groupBy("query_id").agg(F.map_from_entries(F.collect_list(F.struct("term", "qf"))).alias("asked"))
+    rows = pool.repartition("query_id").withColumn("w", _terms(F.coalesce("text", F.lit(""))))
+    of_query = Window.partitionBy("query_id")
+    rows = rows.withColumn("n", F.size("w")).withColumn("n_docs", F.count("*").over(of_query)).withColumn("avgdl", F.avg("n").over(of_query))
+    rows = rows.join(asked, "query_id", "left")
+    distinct = rows.select("query_id", "id", "n_docs", "avgdl", "n", F.col("asked"), "w", F.explode_outer(F.array_distinct("w")).alias("term"))
+    qf = F.coalesce(F.try_element_at("asked", F.col("term")), F.lit(0))
+    tf = F.when(qf > 0, F.size(F.filter("w", lambda x: x == F.col("term")))).otherwise(0)
+    t = distinct.select("query_id", "id", "n_docs", "avgdl", "n", "term", qf.alias("qf"), tf.alias("tf"))
+    t = t.withColumn("df", F.count("term").over(Window.partitionBy("query_id", "term"))).withColumn("raw", F.when(F.col("term").isNotNull(), _raw_idf(F.col("n_docs"), F.col("df"))))
+    mean = F.sum(F.col("raw") / F.col("df")).over(of_query) / F.sum(F.when(F.col("term").isNotNull(), 1 / F.col("df"))).over(of_query)
+    idf = F.when(F.col("raw") < 0, IDF_FLOOR * mean).otherwise(F.col("raw"))
+    t = t.withColumn("idf", idf)
+    scores = t.groupBy("query_id", "id").agg(F.coalesce(F.sum(F.when(F.col("qf") > 0, F.col("qf") * _part(F.col("tf"), F.col("n"), F.col("avgdl"), F.col("idf")))), F.lit(0.0)).alias("score"))
+    return ranked(pool.join(scores, ["query_id", "id"]), [F.desc(F.round("score", 9)), F.col("rank")], "lexical_rank")
 
 
 def ranked(scores: DataFrame, by: list[Column], name: str = "rank") -> DataFrame:
@@ -138,15 +207,19 @@ def ranked(scores: DataFrame, by: list[Column], name: str = "rank") -> DataFrame
 
 
 def rrf(dense: DataFrame, lexical: DataFrame, weight: float = 0.3, k: int = 60) -> DataFrame:
-    """Reciprocal-rank fusion of two lists (query_id, id, text, rank), by text.
+    """Reciprocal-rank fusion of two lists (query_id, id, text, rank), by text; a title in both lists is carried along.
 
     Of rows with equal text the first of the dense list (else of the other)
     stands for them, with the last rank each list gives the text. A text that
     one list lacks has, there, the number of fused texts plus k as its rank.
     """
-    both = dense.select("query_id", "id", "text", "rank", F.lit(0).alias("list")).unionByName(lexical.select("query_id", "id", "text", "rank", F.lit(1).alias("list")))
-    texts = both.groupBy("query_id", "text").agg(
-        F.min(F.struct("list", "rank", "id")).alias("first"),
+    extra = ["title"] if "title" in dense.columns and "title" in lexical.columns else []
+    columns = ["query_id", "id", "text", "rank", *extra]
+    both = dense.select(*columns, F.lit(0).alias("list")).unionByName(lexical.select(*columns, F.lit(1).alias("list")))
+    # partitioned by query once; texts are told apart by their hash, and by themselves only where hashes agree
+    both = both.repartition("query_id").withColumn("hash", F.xxhash64("text"))
+    texts = both.groupBy("query_id", "hash", "text").agg(
+        F.min(F.struct("list", "rank", "id", *extra)).alias("first"),
         F.max(F.when(F.col("list") == 0, F.col("rank"))).alias("dense_rank"),
         F.max(F.when(F.col("list") == 1, F.col("rank"))).alias("lexical_rank"),
     )
@@ -154,7 +227,7 @@ def rrf(dense: DataFrame, lexical: DataFrame, weight: float = 0.3, k: int = 60)
     absent = n + k
     dense_rank, lexical_rank = F.coalesce("dense_rank", absent), F.coalesce("lexical_rank", absent)
     score = (1 - weight) / (dense_rank + k) + weight / (lexical_rank + k)
-    fused = texts.select("query_id", F.col("first.id").alias("id"), "text", "dense_rank", "lexical_rank", score.alias("score"), "first")
+    fused = texts.select("query_id", F.col("first.id").alias("id"), "text", *[F.col(f"first.{c}").alias(c) for c in extra], "dense_rank", "lexical_rank", score.alias("score"), "first")
     order = [F.desc(F.round("score", 12)), F.col("first.list"), F.col("first.rank")]
     return ranked(fused, order).drop("first")
 
@@ -187,25 +260,41 @@ def rerank(hits: DataFrame, top_n: int, score: Column | None = None) -> DataFram
 
 
 def candidate_pool(corpus: DataFrame, queries: DataFrame, k: int, where: dict | None = None) -> DataFrame:
-    """The k nearest rows of each query with text and title. Written out once: what follows reads it, not the corpus, again and again."""
-    hits = dense_topk(corpus, queries, k, where, "embedding", "id")
-    return stage(hits.join(corpus.select("id", "text", "title"), "id"), "retrieve-pool")
+    """The k nearest rows of each query with text and title. Written out once: what follows reads it, not the corpus, again and again.
 
-
-def hybrid(corpus: DataFrame, queries: DataFrame, k: int, n_titles: int = 3, per_title: int = 2, weight: float = 0.3, rrf_k: int = 60, use_bm25: bool = True, where: dict | None = None) -> DataFrame:
+    Ids of another type than a number are searched by their hash; where two ids
+    have one hash, the distance tells which of them was meant.
+    """
+    numeric = dict(corpus.dtypes)["id"] in ("bigint", "int", "smallint", "tinyint")
+    keyed = corpus if numeric else corpus.withColumn("_key", F.xxhash64("id"))
+    hits = dense_topk(keyed, queries, k, where, "embedding", "id" if numeric else "_key")
+    if numeric:
+        return stage(hits.join(corpus.select("id", "text", "title"), "id"), "retrieve-pool")
+    found = hits.withColumnRenamed("id", "_key").join(keyed.select("_key", "id", "text", "title", "embedding"), "_key").join(queries.select("query_id", "query_vector"), "query_id")
+    same = F.abs(cosine_distance(F.col("embedding"), F.col("query_vector")) - F.col("distance")) < 1e-6
+    once = F.row_number().over(Window.partitionBy("query_id", "id").orderBy("rank"))
+    found = found.where(same).withColumn("_once", once).where("_once = 1").select("query_id", "id", "text", "title", "distance")
+    return stage(ranked(found, [F.round("distance", 9), F.col("id")]), "retrieve-pool")
+
+
+def hybrid(
+    corpus: DataFrame, queries: DataFrame, k: int, n_titles: int = 3, per_title: int = 2, weight: float = 0.3, rrf_k: int = 60, use_bm25: bool = True, where: dict | None = None,
+    top_n: int | None = None, pair_score: Callable[[Column, Column], Column] | None = None,
+) -> DataFrame:
     """Composed retrieval over corpus (id, text, title, embedding) for queries (query_id, query, query_vector).
 
     Dense pool of k, BM25 over each pool, fusion by text, diversity selection:
-    query_id, pick, id, title, text, score.
+    query_id, pick, id, title, text, score. With `pair_score`, a scorer of
+    (query, text), the picks are ordered again by it and the first `top_n` kept
+    (all where top_n is null).
     """
     pool = candidate_pool(corpus, queries, k, where)
-    if use_bm25:
-        scores = bm25(pool, queries, pooled=True).join(pool.select("query_id", "id", "text", "rank"), ["query_id", "id"])
-        lexical = ranked(scores.withColumnRenamed("rank", "dense"), [F.desc(F.round("score", 9)), F.col("dense")])
-        fused = rrf(pool, lexical, weight, rrf_k)
-    else:
-        fused = rrf(pool, pool, weight, rrf_k)
-    picked = diverse(fused.join(pool.select("query_id", "id", "title"), ["query_id", "id"]), n_titles, per_title)
+    lexical = bm25_pools(pool, queries).drop("rank", "score").withColumnRenamed("lexical_rank", "rank") if use_bm25 else pool
+    picked = diverse(rrf(pool, lexical, weight, rrf_k), n_titles, per_title)
+    if pair_score is not None:
+        asked = queries.select("query_id", "query")
+        scored = picked.drop("rank").withColumnRenamed("pick", "rank").join(asked, "query_id").withColumn("pair", pair_score(F.col("query"), F.col("text")))
+        picked = rerank(scored, top_n or n_titles * max(1, per_title), F.col("pair")).withColumnRenamed("rank_after", "pick")
     return picked.select("query_id", "pick", "id", "title", "text", F.round("score", 9).alias("score"))
 
 

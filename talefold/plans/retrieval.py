@@ -55,8 +55,7 @@ def _pool(spark, sf) -> DataFrame:
 
 
 def _lexical(pool: DataFrame, queries: DataFrame) -> DataFrame:
-    scores = retrieve.bm25(pool, queries, pooled=True).join(pool.select("query_id", "id", "text", F.col("rank").alias("dense")), ["query_id", "id"])
-    return retrieve.ranked(scores, [F.desc(F.round("score", 9)), F.col("dense")])
+    return retrieve.bm25_pools(pool, queries).withColumnRenamed("rank", "dense").withColumnRenamed("lexical_rank", "rank")
 
 
 def bm25_pool_rank(spark, sf):
@@ -87,6 +86,18 @@ def hybrid_retrieve(spark, sf):
     return retrieve.hybrid(_corpus(spark, sf), _queries(spark, sf), POOL).select("query_id", "pick", "id", "title", "score")
 
 
+def hybrid_rerank(spark, sf):
+    """Composed retrieval whose picks a pair scorer orders again; the first four stay."""
+    out = retrieve.hybrid(_corpus(spark, sf), _queries(spark, sf), POOL, top_n=4, pair_score=retrieve.overlap_score)
+    return out.select("query_id", "pick", "id", "title")
+
+
+def dense_topk_where(spark, sf):
+    """A filter of several comparisons."""
+    where = {"$or": [{"label": {"$in": [1, 2]}}, {"$and": [{"label": {"$gte": 7}}, {"vec_id": {"$lt": 500}}]}], "label": {"$ne": 2}}
+    return _shown(retrieve.dense_topk(_table(spark, sf, "embeddings"), _vectors(spark, sf), 10, where))
+
+
 def rerank_topn(spark, sf):
     hits = _pool(spark, sf).join(_queries(spark, sf).select("query_id", "query"), "query_id")
     score = retrieve.overlap_score(F.col("query"), F.col("text"))
@@ -176,8 +187,12 @@ ORACLE = {
     "hybrid_retrieve": f"WITH {_fused()}, titled AS (SELECT fused.*, title FROM fused JOIN c USING (id)), {_diverse('titled', 3, 2)} SELECT query_id, pick, id, title, round(score, 9) AS score FROM picks WHERE pick <= 6",
     "rerank_topn": f"""WITH {_POOL}, s AS (SELECT *, len(list_intersect(list_distinct({words('lower(query)')}), list_distinct({words('lower(text)')})))::DOUBLE / greatest(len(list_distinct({words('lower(query)')})), 1) AS score FROM pool),
  r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, rank) AS rank_after FROM s) SELECT query_id, id, round(score, 6) AS score, rank_after FROM r WHERE rank_after <= 5""",
+    "dense_topk_where": _dense("(label IN (1, 2) OR (label >= 7 AND vec_id < 500)) AND label <> 2"),
+    "hybrid_rerank": f"""WITH {_fused()}, titled AS (SELECT fused.*, title FROM fused JOIN c USING (id)), {_diverse('titled', 3, 2)},
+ s AS (SELECT picks.*, len(list_intersect(list_distinct({words('lower(query)')}), list_distinct({words('lower(text)')})))::DOUBLE / greatest(len(list_distinct({words('lower(query)')})), 1) AS pair FROM picks JOIN q USING (query_id) WHERE pick <= 6),
+ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(pair, 9) DESC, pick) AS after FROM s) SELECT query_id, after AS pick, id, title FROM r WHERE after <= 4""",
     "context_string": f"WITH {_POOL} SELECT query_id, string_agg('[' || {_TITLE} || ']' || chr(10) || text, chr(10) || chr(10) ORDER BY rank) AS context, string_agg('[CHUNK ' || id || ' | ' || {_TITLE} || ']' || chr(10) || text, chr(10) || chr(10) ORDER BY rank) AS prompt FROM pool GROUP BY query_id",
     "retrieval_case_eval": f"WITH {_CASES} SELECT item_id, title_rank, top1_match, topk_match, round(fact_coverage, 6) AS fact_coverage FROM results",
     "retrieval_summary": f"WITH {_CASES} SELECT count(*) AS total, round(coalesce(avg(top1_match::INT), 0), 6) AS top1_accuracy, round(coalesce(avg(topk_match::INT), 0), 6) AS topk_accuracy, round(avg(fact_coverage), 6) AS fact_coverage FROM results",
 }
-QUERIES = {f.__name__: f for f in (dense_topk, dense_topk_filtered, bm25_topk, bm25_pool_rank, rrf_fuse, rrf_fuse_missing_rank, diverse_select, diverse_select_fill, hybrid_retrieve, rerank_topn, context_string, retrieval_case_eval, retrieval_summary)}
+QUERIES = {f.__name__: f for f in (dense_topk, dense_topk_filtered, dense_topk_where, bm25_topk, bm25_pool_rank, rrf_fuse, rrf_fuse_missing_rank, diverse_select, diverse_select_fill, hybrid_retrieve, hybrid_rerank, rerank_topn, context_string, retrieval_case_eval, retrieval_summary)}
