@@ -12,9 +12,6 @@ from pyspark.sql import functions as F
 
 #: White space as Python sees it.
 BLANKS = "".join(map(chr, [*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
-#: A run of them, as ranges: quicker than one character after the other.
-BLANK_RUN = r"[\x09-\x0d\x1c-\x20\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
-
 # Words that are no entities.
 STOP = ["The", "A", "An", "And", "But", "Or", "In", "On", "At", "To", "For", "Of", "With", "As", "When", "Then", "After", "Before", "Once", "Section", "SECTION", "WHO", "WHERE", "WHEN", "WHAT", "HOW", "WHY", "OUTCOME"]
 # Marks that end a story well.
@@ -62,7 +59,7 @@ def first_of(*columns: Column, default: str | None = None) -> Column:
 
 def words(c: Column) -> Column:
     """Runs of characters between white space."""
-    return F.array_remove(F.split(c, BLANK_RUN), "")
+    return F.array_remove(F.split(plain_space(c), " "), "")
 
 
 def word_count(c: Column) -> Column:
