@@ -64,6 +64,13 @@ _ID = re.compile(
     r"(?P<value>(?=[A-Z0-9./ -]*\d)[A-Z0-9](?:[ ./-]?[A-Z0-9]){4,23})(?![\w])",
     re.I,
 )
+# Labels that may stand before other numbers too: only a check digit makes what follows an identity number.
+_GENERIC_LABEL = r"id|identification|document|documento|dokument|ausweis|pièce|doc|personal"
+_ID = re.compile(_ID.pattern.replace(_ID_LABEL, f"{_ID_LABEL}|{_GENERIC_LABEL}", 1), re.I)
+_GENERIC = set(_GENERIC_LABEL.split("|"))
+#: Number of other things: orders, books, pages.
+_OTHER_NUMBER = re.compile(r"\b(?:order|isbn|issn|catalogue|catalog|shelf|invoice|edition|page|chapter|lot|item|reference|parcel|ticket|archive)\b", re.I)
+_ID_WORDS = re.compile(r"\b(?:born|holder|issued|citizen|resident|nationality|date of birth|payment|tax|insured|geboren|ausgestellt|née?|nacid[oa]|nascid[oa]|expedid[oa])\b", re.I)
 _SHORT_LABEL = {"ni", "nie", "sin", "tin", "rg", "identity", "nir", "nif"}
 _ID_VALUE = re.compile(r"[A-Z0-9](?:[ ./-]?[A-Z0-9])*")
 
@@ -114,24 +121,29 @@ _CAP = r"(?:[A-ZÀ-ÞА-ЯЁ][a-zß-ÿа-яё]+(?:[-'’][A-ZÀ-Þa-zß-ÿ]+)*|[
 _TOKEN = re.compile(r"[A-ZÀ-ÞА-ЯЁ][A-Za-zÀ-ÿА-Яа-яЁё]+")
 _AFTER = re.compile(rf"(?:[ \t]+|[ \t]*\r?\n[ \t]*)(?:(?:[A-Z]\.\s*){{1,2}})?(?:(?:van|von|de|da|di|del|der|la|le)\s+)*(?P<family>{_CAP})")
 _BEFORE = re.compile(rf"(?P<family>{_CAP})(?:,\s*|[ \t]+)$")
+#: Two names, in either order, right before contact details or what such a line calls them.
+_CALLED = rf"(?:{_ID_LABEL}|tel|phone|telephone|mobile|mail|e-mail|address|flat)"
+_PAIR_BEFORE = re.compile(rf"(?<![\w'’-])(?P<a>{_CAP})(?:,[ \t]*|[ \t]+)(?:[A-Z]\.[ \t]*)?(?P<b>{_CAP})[ \t]*(?:[,;:(<\[—–|-]|\r?\n|[ \t])[ \t(<\[]*(?:(?i:{_CALLED})\b[^.\n]{{0,14}}?)?$")
+_PAIR = re.compile(rf"(?P<a>{_CAP})(?:,[ \t]*|[ \t]+)(?:[A-Z]\.[ \t]*)?(?P<b>{_CAP})(?=[ \t]*(?:[.;:)\]]|\r?\n|$))")
+_MADE_BY = re.compile(r"\b\w+(?:ed|en|wn|nt|pt|ad|ght|ld|nd) by (?=[A-ZÀ-ÞА-ЯЁ])")
 _INITIAL = re.compile(r"\s+[A-Z]\.(?![a-z])")
 # Phrases before the name of someone around the book.
-_PERSON_PHRASES = """thanks to|thank you|typed by|letter from|translated by|submitted by|received from|signed by|confirmed by|edited by|sent by|read by|found by|proofread by|illustrated by|collected by|told by|desk of|neighbour|neighbor|friend|colleague|editor|
+_PERSON_PHRASES = """thanks to|thank you|letter from|translated by|submitted by|received from|signed by|confirmed by|edited by|sent by|read by|found by|proofread by|illustrated by|collected by|told by|neighbour|neighbor|friend|colleague|editor|
     translator|sincerely|regards|wishes|contact|kontakt|contacto|contato|author's file|author’s file|written by|it was|dear|attn|c/o|goes to|freundlichen grüßen|cordialement|atentamente|atenciosamente|спасибо|редактор|переводчик|dr|prof|mr|mrs|ms|mme|herr|frau|sr|sra|sir|lady|
     rev|madame|monsieur|übersetzt von|eingereicht von|traduit par|envoyé par|traducido por|enviado por|traduzido por""".replace("\n", "")
 #: Those of them after which two names are somebody by themselves.
 _STRONG_PHRASES = set(
-    """thanks to|typed by|letter from|translated by|submitted by|signed by|edited by|sent by|read by|proofread by|illustrated by|collected by|written by|desk of|sincerely|regards|wishes|dear|attn|c/o|author's file|author’s file|freundlichen grüßen|cordialement|
+    """thanks to|letter from|translated by|submitted by|signed by|edited by|sent by|read by|proofread by|illustrated by|collected by|written by|sincerely|regards|wishes|dear|attn|c/o|author's file|author’s file|freundlichen grüßen|cordialement|
     atentamente|atenciosamente|übersetzt von|eingereicht von|traduit par|envoyé par|traducido por|enviado por|traduzido por""".replace("\n    ", "").split("|")
 )
 #: Capitalised words that begin no name.
 _NOT_GIVEN = set("the a an our my your his her their its this that all old new saint der die das dem den ein eine le la les un une el los las o os as um uma reader readers friends".split())
 _LEAD = re.compile(r"[\s,:.—–-]*(?:(?:Dr|Prof|Mr|Mrs|Ms|Mme|Herr|Frau|Sr|Sra)\b\.?\s+)?")
 _TITLES = set("dr prof mr mrs ms mme herr frau sr sra sir lady rev hon madame monsieur".split())
-_PERSON_AFTER = re.compile(r"^[\s,;:—–(<\[-]*(?:<|[\w.+-]+@|\+?\(?\d{2,}|for reading|told me|who found|on the telephone|[\w.+-]+ (?:\[at\]|\(at\)|at) |\((?:tel|dni|passport|social|national|ni|driving|tax|ssn)|passport|social security|national insurance|dni|ssn|ni number|driving)", re.I)
+_PERSON_AFTER = re.compile(r"^[\s,;:—–(<\[-]*(?:<|[\w.+-]+@|\+?\(?\d{2,}|for reading|told me|on the telephone|[\w.+-]+ (?:\[at\]|\(at\)|at) |\((?:tel|dni|passport|social|national|ni|driving|tax|ssn)|passport|social security|national insurance|dni|ssn|ni number|driving)", re.I)
 #: Given-name-like words that begin sentences or name places.
 _MONTHS = set("january february march april may june july august september october november december monday tuesday wednesday thursday friday saturday sunday".split())
-_PLACE_END = _MONTHS | set("steps hollow weir ferry quay common barrow chantry hill moor street road lane way close court avenue place square house hall bridge gate".split())
+_PLACE_END = _MONTHS | set("hill moor street road lane way close court avenue place square house hall bridge gate harbour river lake valley church station town village north south east west".split())
 _NOT_GIVEN |= _PLACE_END
 
 
@@ -153,6 +165,41 @@ def dni(value: str) -> bool:
     return len(value) == 9 and value[:8].isdigit() and "TRWAGMYFPDXBNJZSQVHLCKE"[int(value[:8]) % 23] == value[8].upper()
 
 
+def nie(value: str) -> bool:
+    """A foreigner's number: X, Y or Z stands for a first digit."""
+    return len(value) == 9 and value[0].upper() in "XYZ" and dni(str("XYZ".index(value[0].upper())) + value[1:])
+
+
+def cpf(value: str) -> bool:
+    """Eleven digits, the last two weighted sums of those before."""
+    if len(value) != 11 or not value.isdigit() or len(set(value)) == 1:
+        return False
+    d = list(map(int, value))
+    return all(d[n] == sum((n + 1 - k) * d[k] for k in range(n)) * 10 % 11 % 10 for n in (9, 10))
+
+
+def nir(value: str) -> bool:
+    """Thirteen digits and a key of two, mod 97."""
+    return len(value) == 15 and value.isdigit() and 97 - int(value[:13]) % 97 == int(value[13:])
+
+
+#: Shapes that have check digits, with their check and what it says when it passes: a check that one number in ten passes says little.
+CHECKS = [
+    (re.compile(r"\d{8}[A-Za-z]"), dni, 0.35), (re.compile(r"[XYZxyz]\d{7}[A-Za-z]"), nie, 0.35), (re.compile(r"\d{15}"), nir, 0.35),
+    (re.compile(r"[A-Za-z]{2}\d{2}[A-Za-z0-9]{11,30}"), lambda v: mod97(v.upper()), 0.35), (re.compile(r"\d{11}"), cpf, 0.35),
+    (re.compile(r"\d{9}|\d{13}|\d{16}"), luhn, 0.15),
+]
+#: Taken off where a shape has check digits and none of its checks passes.
+FAILED = 0.1
+
+
+def checked(value: str) -> float:
+    """What check digits add to or take off the score of a number without blanks and signs; 0 for shapes without any."""
+    asked = [(check, gain) for shape, check, gain in CHECKS if shape.fullmatch(value)]
+    passed = [gain for check, gain in asked if check(value)]
+    return max(passed) if passed else -FAILED if asked and max(gain for _, gain in asked) > 0.2 else 0.0
+
+
 def emails(text: str) -> list[Span]:
     out = []
     if "@" in text:
@@ -203,12 +250,19 @@ def identities(text: str, anchors: list[int]) -> list[Span]:
         plain = re.sub(r"[ ./-]", "", keep)
         if len(plain) < 6 or sum(c.isdigit() for c in plain) < 4:
             continue
-        score = 0.6 + 0.2 * (m.group("word") is not None)
         label = m.group("label").lower()
-        if label in _SHORT_LABEL and m.group("word") is None and not m.group("label").isupper():
-            score -= 0.4
-        if (plain.isdigit() and luhn(plain)) or (plain[:2].isalpha() and len(plain) > 14 and mod97(plain.upper())) or dni(plain):
-            score += 0.2
+        if label in _GENERIC:
+            score = 0.2
+        elif label in _SHORT_LABEL and m.group("word") is None and not m.group("label").isupper():
+            score = 0.2
+        else:
+            score = 0.6
+        score += checked(plain) + (0.1 if label in _GENERIC else 0.2) * (m.group("word") is not None)
+        around = text[max(0, m.start() - AROUND) : m.start()] + " " + text[m.start("value") + len(keep) : m.start("value") + len(keep) + AROUND]
+        if _ID_WORDS.search(around):
+            score += 0.1
+        if _OTHER_NUMBER.search(text[max(0, m.start() - 20) : m.start()]):
+            score -= 0.2
         out.append(Span(m.start("value"), m.start("value") + len(keep), "id_number", score))
     return out
 
@@ -231,7 +285,7 @@ class Anchors:
         import ahocorasick
 
         self.automaton = ahocorasick.Automaton()
-        labels = {re.sub(r"\W.*", "", x) for x in _ID_LABEL.split("|")}
+        labels = {re.sub(r"\W.*", "", x) for x in _ID_LABEL.split("|")} | _GENERIC
         people = {x.strip() for x in _PERSON_PHRASES.split("|")}
         for kind, words in (("id", labels), ("person", people - _STRONG_PHRASES), ("strong", _STRONG_PHRASES)):
             for word in words:
@@ -256,6 +310,9 @@ class Anchors:
                 elif end + 1 == n or not low[end + 1].isalnum():
                     at = _LEAD.match(text, end + 1).end()
                     people[at] = people.get(at, False) or kind == "strong"
+        if " by " in text:  # whatever was done by somebody: a weak phrase
+            for m in _MADE_BY.finditer(text):
+                people.setdefault(_LEAD.match(text, m.end()).end(), False)
         return labels, people
 
 
@@ -306,6 +363,33 @@ def names(text: str, taken: list[Span], people: dict[int, bool]) -> list[Span]:
                 continue
         if prior and reverse > LEAST_SCORE:
             out.append(Span(head, tail, "name", reverse))
+    return out + _by_context(text, taken + out, people)
+
+
+#: What two capitalised words are worth as a name, and what contact details after them or a strong phrase before them add.
+PAIR, CONTACT, PHRASE = 0.3, 0.3, 0.25
+
+
+def _by_context(text: str, taken: list[Span], people: dict[int, bool]) -> list[Span]:
+    """Names that no list knows: two capitalised words in either order right before contact details, or after a strong phrase."""
+    out: list[Span] = []
+
+    def add(start: int, end: int, a: str, b: str, score: float) -> None:
+        low = {a.lower(), b.lower()}
+        if low & (_NOT_GIVEN | _TITLES | _PLACE_END) or any(s.start < end and start < s.end for s in taken + out):
+            return
+        out.append(Span(start, end, "name", score))
+
+    for s in taken:
+        if s.kind == "name" or s.score < LEAST_SCORE:
+            continue
+        low = max(0, s.start - 80)
+        if m := _PAIR_BEFORE.search(text[low : s.start]):
+            start = low + m.start("a")
+            add(start, low + m.end("b"), m.group("a"), m.group("b"), PAIR + CONTACT + PHRASE * people.get(start, False))
+    for start, strong in people.items():
+        if strong and (m := _PAIR.match(text, start)):
+            add(start, m.end("b"), m.group("a"), m.group("b"), PAIR + PHRASE)
     return out
 
 
