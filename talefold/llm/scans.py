@@ -3,14 +3,17 @@
 Misread words are looked up in a trie of the collection's own vocabulary by a
 Levenshtein automaton: a walk over trie and word at once that allows a bounded
 cost of edits, where a confusion that scanners make (e for c, m for rn) costs
-one and any other edit two. Such a walk finds every word within the bound; for
-words of letters only it takes the scanners' confusions alone.
+two and any other edit three. Such a walk finds every word within the bound.
+Candidates are ranked by their frequency and by how often they stand beside the
+word's neighbours; a word counts as misread where the best of them is so many
+times likelier than the word itself.
 """
 
 from __future__ import annotations
 
 import math
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 
@@ -19,20 +22,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from talefold.llm.arrow import map_rows, sum_counts
+from talefold.llm.arrow import add_slices, batches, map_rows, sum_counts
 from talefold.session import stage
 
-#: A word of the vocabulary stands in at least this share of the texts (so at most words-per-text / share words are kept), and in two.
-LEAST_SHARE = 1e-4
-#: A word may be a misreading of one that is so many times as frequent.
-RATIO = 40
-#: Edits' cost within which words are candidates.
-MOST_COST = 2
-#: Misread words without digits or signs that make a case by themselves, and their least length.
-LEAST_MISREAD, MISREAD_LENGTH = 1, 4
-#: The ratio for capitalised words, and for words one letter shorter than that, which are oftener rare words of their own.
-STRICT_RATIO = 200
-CONTEXT_BUCKETS = 1 << 20
+#: Texts a word of the vocabulary stands in, at least: a word of one text tells nothing about others.
+LEAST_TEXTS = 2
+#: Words of the vocabulary in one trie, at most; of more words, several tries are asked one after the other.
+BLOCK = 1_000_000
+#: A word may be a misreading of one that is so many times as frequent, by confusions of scanners and by any other edit.
+RATIO, ANY_RATIO = 40, 2000
+#: The ratio for capitalised words, and for words shorter than MISREAD_LENGTH, which are oftener rare words of their own.
+STRICT_RATIO, MISREAD_LENGTH = 200, 4
+#: What a ratio is multiplied by for each neighbour that the candidate is known to stand beside (the word itself is not), or the other way round.
+BESIDE = 2.0
+#: Edits' cost within which words are candidates: two confusions or one other edit.
+CONFUSED, EDITED, MOST_COST = 2, 3, 4
+#: Buckets in which neighbouring words, and texts of any word, are counted (4 MB each, whatever the size of the collection).
+CONTEXT_BUCKETS, OWN_BUCKETS, SLICES = 1 << 20, 1 << 20, 64
 
 # What a scanner reads, and what was printed.
 CONFUSIONS = [
@@ -91,7 +97,7 @@ class Trie:
                 node = node.setdefault(c, {})
             node[""] = w
 
-    def candidates(self, word: str, most: int = MOST_COST, any_edit: bool = True) -> dict[str, int]:
+    def candidates(self, word: str, most: int = MOST_COST) -> dict[str, int]:
         """Every word of the trie within `most` of `word`, with its cost."""
         found: dict[str, int] = {}
         seen: dict[tuple[int, int], int] = {}
@@ -107,7 +113,7 @@ class Trie:
                 found[node[""]] = min(cost, found.get(node[""], cost))
             if i < n and word[i] in node:
                 stack.append((i + 1, node[word[i]], cost))
-            if cost < most and i < n:
+            if cost + CONFUSED <= most and i < n:
                 for read, printed in _BY_FIRST.get(word[i], ()):
                     if word.startswith(read, i):
                         to = node
@@ -115,56 +121,75 @@ class Trie:
                             if (to := to.get(c)) is None:
                                 break
                         else:
-                            stack.append((i + len(read), to, cost + 1))
-            if any_edit and cost + 2 <= most:
+                            stack.append((i + len(read), to, cost + CONFUSED))
+            if cost + EDITED <= most:
                 if i < n:
-                    stack.append((i + 1, node, cost + 2))
+                    stack.append((i + 1, node, cost + EDITED))
                 for c, to in node.items():
                     if c:
-                        stack.append((i, to, cost + 2))
+                        stack.append((i, to, cost + EDITED))
                         if i < n and c != word[i]:
-                            stack.append((i + 1, to, cost + 2))
+                            stack.append((i + 1, to, cost + EDITED))
         return found
 
 
+class Vocabulary:
+    """What a collection tells of words: texts of each (one block of them), texts of any word by bucket, and neighbours by bucket."""
+
+    def __init__(self, count: dict[str, int], own: np.ndarray, context: np.ndarray, most: int):
+        self.count, self.own, self.context, self.most, self.key = count, own, context, most, uuid.uuid4().hex
+
+
 class Reader:
-    """Judges and repairs texts by a vocabulary of words (with the number of texts each stands in)."""
+    """Judges and repairs texts by a vocabulary."""
 
-    def __init__(self, count: dict[str, int], least: int, context: np.ndarray | None = None):
-        self.count, self.least, self.context = count, least, context
-        self.trie = Trie(w for w in count if len(w) > 2 and "-" not in w)
+    def __init__(self, v: Vocabulary):
+        self.count, self._own, self.context, self.most = v.count, v.own, v.context, v.most
+        self.trie = Trie(w for w in v.count if len(w) > 2 and "-" not in w)
         self.memory: dict[str, list[tuple[str, int]]] = {}
-        self.most = max(count.values(), default=0)
-        self.common = {w for w, n in count.items() if n * RATIO > self.most}
+        self.common = {w for w, n in v.count.items() if n * RATIO > v.most}
+
+    def own(self, word: str) -> int:
+        """Texts that hold the word: exact if it is in the vocabulary, else never too few."""
+        n = self.count.get(word)
+        return n if n is not None else int(self._own[bucket(word, OWN_BUCKETS)])
 
     def printed(self, word: str) -> list[tuple[str, int]]:
-        """What `word` may be a misreading of, the best first; empty for a word that stands for itself."""
+        """What `word` may be a misreading of, the cheapest and most frequent first; empty for a word that stands for itself."""
         known = self.memory.get(word)
         if known is None:
-            own = self.count.get(word, 0)
             mixed = _MIXED.search(word) is not None
-            if len(word) < 3 or (mixed and _ORDINAL.match(word)) or (not mixed and own and own * RATIO > self.most):
+            own = 0 if mixed else max(1, self.own(word))
+            if len(word) < 3 or (mixed and _ORDINAL.match(word)) or own * RATIO > self.most * BESIDE**2:
                 known = []
             else:
-                floor = 0 if mixed else RATIO * max(own, self.least - 1)
-                found = self.trie.candidates(word, MOST_COST, any_edit=mixed)
-                known = sorted(((w, c) for w, c in found.items() if c and len(w) > 2 and self.count[w] >= floor), key=lambda x: (x[1], -self.count[x[0]]))
+                found = self.trie.candidates(word)
+                known = sorted(((w, c) for w, c in found.items() if c and self.count[w] * BESIDE**2 >= own * RATIO), key=lambda x: (x[1], -self.count[x[0]]))
             if len(self.memory) > 200_000:
                 self.memory.clear()
             self.memory[word] = known
         return known
 
-    def misread(self, word: str) -> bool:
+    def beside(self, before: str, word: str, after: str) -> tuple[bool, bool]:
+        """Is the word known to follow the one before it, and to precede the one after it, in other places too?"""
+        seen = lambda a, b: bool(a and b) and self.context[bucket(f"{a} {b}", CONTEXT_BUCKETS)] > 1
+        return seen(before, word), seen(word, after)
+
+    def likelihood(self, before: str, word: str, after: str, candidate: str) -> float:
+        """How many times likelier the candidate is than the word, by frequency and neighbours."""
+        gain = sum(self.beside(before, candidate, after)) - sum(self.beside(before, word, after))
+        return self.count[candidate] / max(1, self.own(word)) * BESIDE**gain
+
+    def misread(self, word: str, before: str, after: str) -> bool:
         """Does a word of letters alone show a scan? Capitalised and short ones by STRICT_RATIO."""
         low = word.lower()
         if len(word) < MISREAD_LENGTH - 1 or low in self.common or not word[1:].islower():
             return False
-        if word.islower() and len(word) >= MISREAD_LENGTH:
-            return bool(self.printed(low))
-        if not word.islower() and len(word) < MISREAD_LENGTH:
+        short = len(word) < MISREAD_LENGTH
+        if short and not word.islower():
             return False  # abbreviations and short names
-        floor = STRICT_RATIO * max(self.count.get(low, 0), self.least - 1)
-        return any(self.count[w] >= floor for w, _ in self.printed(low))
+        least = STRICT_RATIO if short or not word.islower() else RATIO
+        return any(self.likelihood(before, low, after, w) >= (least if cost != EDITED else ANY_RATIO) and (cost != EDITED or len(word) > MISREAD_LENGTH) for w, cost in self.printed(low))
 
     def split(self, m: re.Match) -> bool:
         """Is a word split at this line's end, rather than a compound that has its hyphen there?"""
@@ -178,35 +203,42 @@ class Reader:
         """Split words, words with digits or signs in them, other misread words, lines of page furniture (and margin signs)."""
         splits = sum(self.split(m) for m in _SPLIT.finditer(text)) if "\n" in text else 0
         lines = len(furniture(text)) + len(_BAR.findall(text)) + text.count("\f") if "\n" in text else 0
-        joined = _SPLIT.sub(r"\3", text) if splits else text
-        mixed = misread = 0
-        for word in set(_TOKEN.findall(joined)):
+        tokens = _TOKEN.findall(_SPLIT.sub(r"\3", text) if splits else text)
+        mixed = strange = misread = 0
+        for word in set(tokens):
             if not word.isalpha():
                 letters = _MIXED.sub("", word)
-                if not letters.isalpha() or 2 * len(letters) < len(word):
+                if not letters.isalpha() or 2 * len(letters) < len(word) or _ORDINAL.match(word):
                     continue
-                whole = (letters.isascii() and letters.isupper()) or letters[1:].islower() or len(letters) < 2  # other cases come from wrong encodings
-                mixed += whole and not _ORDINAL.match(word) and (len(word) > 3 or bool(self.printed(word.lower())))
-            elif self.misread(word):
-                misread += 1
+                if (letters.isascii() and letters.isupper()) or letters[1:].islower() or len(letters) < 2:  # other cases come from wrong encodings
+                    if self.printed(word.lower()):
+                        mixed += 1
+                    else:
+                        strange += 1
+            elif (low := word.lower()) not in self.common and self.printed(low):
+                at = tokens.index(word)
+                before, after = tokens[at - 1].lower() if at else "", tokens[at + 1].lower() if at + 1 < len(tokens) else ""
+                misread += self.misread(word, before, after)
+        if strange and (mixed or misread or splits or lines):
+            mixed += strange  # beside other traces a sign in an unknown word is one too
         return splits, mixed, misread, lines
 
     def is_scan(self, text: str) -> bool:
-        splits, mixed, misread, lines = self.traces(text)
-        return bool(splits or mixed or lines or misread >= LEAST_MISREAD)
+        return any(self.traces(text))
 
     def _best(self, before: str, word: str, after: str) -> str:
-        """The candidate that its neighbours make likeliest."""
-        found = self.printed(word.lower())
+        """The candidate that its neighbours make likeliest; the word itself where none is likely enough."""
+        low = word.lower()
+        found = self.printed(low)
+        if not _MIXED.search(word):
+            found = [x for x in found if self.likelihood(before, low, after, x[0]) >= (RATIO if x[1] != EDITED else ANY_RATIO)]
         if not found:
             return word
-        low = found[0][1]
+        cheapest = found[0][1]
 
         def rank(w: str, cost: int) -> float:
-            seen = 0.0
-            if self.context is not None:
-                seen = math.log1p(self.context[pair_bucket(before, w)]) + math.log1p(self.context[pair_bucket(w, after)])
-            return seen + 0.3 * math.log1p(self.count[w]) - 3.0 * (cost - low)
+            seen = math.log1p(self.context[bucket(f"{before} {w}", CONTEXT_BUCKETS)]) + math.log1p(self.context[bucket(f"{w} {after}", CONTEXT_BUCKETS)])
+            return seen + 0.3 * math.log1p(self.count[w]) - 1.5 * (cost - cheapest)
 
         best = max(found, key=lambda x: rank(*x))[0]
         return best.upper() if word.isupper() and len(word) > 1 else best.capitalize() if word[0].isupper() or (not word[0].isalpha() and before == "") else best
@@ -236,7 +268,7 @@ class Reader:
         for k, m in enumerate(found):
             word = m.group()
             low = word.lower()
-            if _MIXED.search(word) or (low not in self.common and word[1:].islower()):
+            if _MIXED.search(word) or (low not in self.common and word[1:].islower()):  # what `misread` may count
                 before = found[k - 1].group().lower() if k else ""
                 after = found[k + 1].group().lower() if k + 1 < len(found) else ""
                 out += [paragraph[at : m.start()], self._best(before, word, after)]
@@ -244,73 +276,80 @@ class Reader:
         return "".join(out) + paragraph[at:]
 
 
-def pair_bucket(a: str, b: str) -> int:
+def bucket(key: str, buckets: int) -> int:
     from xxhash import xxh3_64_intdigest
 
-    return xxh3_64_intdigest(f"{a} {b}") % CONTEXT_BUCKETS
+    return xxh3_64_intdigest(key) % buckets
 
 
-def vocabulary(texts: DataFrame) -> tuple[dict[str, int], int]:
-    """Words (and hyphenated compounds) in lower case with the number of texts they stand in, and the least such number.
+#: Words a task counts before it hands them on, and pairs whose bucket it remembers.
+TALLY = 500_000
+_COMPOUND = re.compile(rf"{_ALPHA}+(?:-{_ALPHA}+)?")
 
-    Counted over all texts; kept are words of at least LEAST_SHARE of them, which
-    bounds their number by the mean number of words in a text over that share.
+
+def _tally_batch(words: list[str], counts: list[int], slices: list[int | None], blobs: list[bytes | None]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(counts, pa.int64()), pa.array(slices, pa.int32()), pa.array(blobs, pa.binary())], ["w", "n", "slice", "counts"])
+
+
+def vocabularies(texts: DataFrame) -> list:
+    """The collection's Vocabulary as broadcasts, one for each block of at most BLOCK words.
+
+    One pass over all texts counts the texts of each word and the neighbours of
+    words; each task adds up its own first. A word stands in the vocabulary from
+    LEAST_TEXTS texts on, whatever the size of the collection. What the driver
+    holds at a time is one block and two arrays of fixed size.
     """
 
     def tally(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
         seen: Counter[str] = Counter()
+        pairs = np.zeros(CONTEXT_BUCKETS, np.int64)
+        memory: dict[tuple[str, str], int] = {}
         for part in parts:
-            for t in part.column(0).to_pylist():
-                words = set(_COMPOUND.findall(t.lower()))
-                seen.update(words.union(*(w.split("-") for w in words if "-" in w)))
-                seen[""] += 1  # the texts themselves
+            for piece in batches(part, 1000):
+                found: list[int] = []
+                for t in piece.column(0).to_pylist():
+                    words = _COMPOUND.findall(t.lower())
+                    once = set(words)
+                    seen.update(once.union(*(w.split("-") for w in once if "-" in w)))
+                    for pair in zip(words, words[1:]):
+                        if (b := memory.get(pair)) is None:
+                            if len(memory) > TALLY:
+                                memory.clear()
+                            b = memory[pair] = bucket(f"{pair[0]} {pair[1]}", CONTEXT_BUCKETS)
+                        found.append(b)
+                pairs += np.bincount(np.array(found, np.int64), minlength=CONTEXT_BUCKETS)
                 if len(seen) > TALLY:
-                    yield _counts(seen)
+                    yield _tally_batch(list(seen), list(seen.values()), [None] * len(seen), [None] * len(seen))
                     seen.clear()
         if seen:
-            yield _counts(seen)
-
-    # each task adds up its own texts; what is shuffled is words times tasks
-    counts = stage(texts.mapInArrow(tally, "w string, n bigint").groupBy("w").agg(F.sum("n").alias("n")), "scan-words")
-    n = next((r["n"] for r in counts.where("w = ''").collect()), 0)
-    least = max(2, math.ceil(LEAST_SHARE * n))
-    return {r["w"]: r["n"] for r in counts.where((F.col("n") >= least) & (F.col("w") != "")).toLocalIterator()}, least
+            yield _tally_batch(list(seen), list(seen.values()), [None] * len(seen), [None] * len(seen))
+        if pairs.any():
+            pack = zstandard.ZstdCompressor(3).compress
+            yield _tally_batch([""] * SLICES, [0] * SLICES, list(range(SLICES)), [pack(s.tobytes()) for s in np.split(pairs, SLICES)])
 
+    spark = texts.sparkSession
+    tallies = stage(texts.mapInArrow(tally, "w string, n bigint, slice int, counts binary"), "scan-tallies")
+    context = np.minimum(add_slices(tallies.where("slice is not null").select("slice", "counts"), CONTEXT_BUCKETS, SLICES), (1 << 31) - 1).astype(np.int32)
+    counts = stage(tallies.where("slice is null").groupBy("w").agg(F.sum("n").alias("n")), "scan-words")
 
-#: Words a task counts before it hands them on.
-TALLY = 500_000
-_COMPOUND = re.compile(rf"{_ALPHA}+(?:-{_ALPHA}+)?")
-
-
-def _counts(seen: Counter[str]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["w", "n"])
-
-
-def context_counts(texts: DataFrame, count: dict[str, int]) -> np.ndarray:
-    """How often known words follow each other, in a fixed number of buckets (4 MB)."""
-    shared = texts.sparkSession.sparkContext.broadcast(set(count))
-
-    def make():
-        known = shared.value
-        memory: dict[tuple[str, str], int] = {}
-        word = re.compile(rf"{_ALPHA}+")
-
+    def bucketed():
         def step(batch: pa.RecordBatch) -> np.ndarray:
-            found = []
-            for t in batch.column(0).to_pylist():
-                w = word.findall(t.lower())
-                for pair in zip(w, w[1:]):
-                    if (b := memory.get(pair)) is None:
-                        if len(memory) > 300_000:
-                            memory.clear()
-                        b = memory[pair] = pair_bucket(*pair) if pair[0] in known and pair[1] in known else -1
-                    if b >= 0:
-                        found.append(b)
-            return np.bincount(np.array(found, np.int64), minlength=CONTEXT_BUCKETS)
+            at = np.fromiter((bucket(w, OWN_BUCKETS) for w in batch.column(0).to_pylist()), np.int64, batch.num_rows)
+            return np.bincount(at, np.asarray(batch.column(1), np.float64), OWN_BUCKETS).astype(np.int64)
 
         return step
 
-    return np.minimum(sum_counts(texts, make, CONTEXT_BUCKETS), (1 << 31) - 1).astype(np.int32)
+    own = np.minimum(sum_counts(counts.select("w", "n"), bucketed, OWN_BUCKETS), (1 << 31) - 1).astype(np.int32)
+    known = counts.where(F.col("n") >= LEAST_TEXTS)
+    n, most = known.agg(F.count("*"), F.coalesce(F.max("n"), F.lit(0))).first()
+    blocks = max(1, math.ceil(n / BLOCK))
+    out = []
+    for k in range(blocks):
+        mine = known.where(F.pmod(F.xxhash64("w"), F.lit(blocks)) == k) if blocks > 1 else known
+        out.append(spark.sparkContext.broadcast(Vocabulary({r["w"]: r["n"] for r in mine.toLocalIterator()}, own, context, most)))
+    return out
 
 
 def _texts(parts: list[tuple[DataFrame, str, str]]) -> DataFrame:
@@ -325,20 +364,20 @@ def _texts(parts: list[tuple[DataFrame, str, str]]) -> DataFrame:
 def scanned(parts: list[tuple[DataFrame, str, str]]) -> DataFrame:
     """tbl, row_id, splits, mixed, misread, furniture: the rows of (table, its name, its text column) that show traces of a scan.
 
-    One vocabulary is counted over all given tables. Null and blank texts show
-    nothing; a repeated row counts under its own id.
+    One vocabulary is counted over all given tables; of a vocabulary of several
+    blocks, a row's traces are the most that one block shows. Null and blank
+    texts show nothing; a repeated row counts under its own id.
     """
     texts = _texts(parts)
-    shared = texts.sparkSession.sparkContext.broadcast(vocabulary(texts.select("t")))
+    shared = vocabularies(texts.select("t"))
 
     def make():
-        reader = _reader(shared, None)
-
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+            readers = [_reader(v) for v in shared]
             keep, numbers = [], []
             for k, t in enumerate(batch.column(2).to_pylist()):
-                got = reader.traces(t)
-                if got[0] or got[1] or got[3] or got[2] >= LEAST_MISREAD:
+                got = [max(x) for x in zip(*(reader.traces(t) for reader in readers))]
+                if any(got):
                     keep.append(k)
                     numbers.append(got)
             at = pa.array(keep, pa.int64())
@@ -351,22 +390,20 @@ def scanned(parts: list[tuple[DataFrame, str, str]]) -> DataFrame:
 
 
 def repaired(parts: list[tuple[DataFrame, str, str]]) -> DataFrame:
-    """tbl, row_id, repaired: the text of each scanned row as continuous paragraphs."""
+    """tbl, row_id, repaired: the text of each scanned row as continuous paragraphs; several blocks repair it one after the other."""
     texts = _texts(parts)
-    count, least = vocabulary(texts.select("t"))
-    context = context_counts(texts.select("t"), count)
-    spark = texts.sparkSession
-    shared, around = spark.sparkContext.broadcast((count, least)), spark.sparkContext.broadcast(context)
+    shared = vocabularies(texts.select("t"))
 
     def make():
-        reader = _reader(shared, around)
-
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+            readers = [_reader(v) for v in shared]
             keep, out = [], []
             for k, t in enumerate(batch.column(2).to_pylist()):
-                if reader.is_scan(t):
+                if any(reader.is_scan(t) for reader in readers):
                     keep.append(k)
-                    out.append(reader.repair(t))
+                    for reader in readers:
+                        t = reader.repair(t)
+                    out.append(t)
             at = pa.array(keep, pa.int64())
             return pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(out, pa.string())], ["tbl", "row_id", "repaired"])
 
@@ -375,13 +412,14 @@ def repaired(parts: list[tuple[DataFrame, str, str]]) -> DataFrame:
     return map_rows(texts, "tbl string, row_id bigint, repaired string", make)
 
 
-_READERS: dict[tuple, Reader] = {}
+_READERS: dict[str, Reader] = {}
 
 
-def _reader(shared, around) -> Reader:
-    """One reader per worker process and broadcast, kept for its next tasks."""
-    key = (shared.id if hasattr(shared, "id") else id(shared), around is not None)
-    if key not in _READERS:
-        _READERS.clear()
-        _READERS[key] = Reader(*shared.value, around.value if around is not None else None)
-    return _READERS[key]
+def _reader(shared) -> Reader:
+    """One reader per worker process and vocabulary, kept for its next tasks; named by the key that the driver gave it."""
+    v = shared.value
+    if v.key not in _READERS:
+        if len(_READERS) > 3:
+            _READERS.clear()
+        _READERS[v.key] = Reader(v)
+    return _READERS[v.key]
