@@ -3,9 +3,11 @@
 Each unit (sentence or line) of a text has a hidden chain of wrong readings;
 the identity is one of them. A unit's likelihood under a chain is that of the
 text the chain's inverse gives, by frequencies of neighbouring characters in
-the whole table; the chains' prior is estimated per pool (the language the row
-names) by expectation-maximization, so that weak evidence of many records
-helps to judge each of them.
+the whole table; the chains' prior is estimated per pool (the field, and the
+language or source the row names) by expectation-maximization, so that weak
+evidence of many records helps to judge each of them. Characters that a reading
+lost for good (U+FFFD) are a chain of their own, which explains them and
+restores nothing.
 """
 
 from __future__ import annotations
@@ -109,8 +111,9 @@ CHAINS = [
     Chain("cp1252 as cp1251", "cp1252", "cp1251"),
     Chain("cp1252 as cp1250", "cp1252", "cp1250"),
 ]
-IDENTITY = len(CHAINS)
-NAMES = [c.name for c in CHAINS] + ["identity"]
+#: After the chains: the reading that lost characters, and the identity.
+LOSSY, IDENTITY = len(CHAINS), len(CHAINS) + 1
+NAMES = [c.name for c in CHAINS] + ["lossy", "identity"]
 N_UTF8 = sum(c.table is None for c in CHAINS)
 
 
@@ -163,15 +166,18 @@ def pair_model(rows: DataFrame) -> np.ndarray:
     return (np.log((counts + 0.3) / max(1, counts.sum())) - NEVER * (counts == 0)).astype(np.float32)
 
 
-#: Chains whose likelihood is below the identity's by this much (in logarithms) are left out of a unit.
-PRUNE = 8.0
-UNITS = "row_id bigint, pool string, unit int, chains array<int>, scores array<double>, n bigint"
+#: A unit whose every chain is below the identity by this much (in logarithms) is added up with others of its pool: there, a
+#: chain's posterior is in proportion to its likelihood, so that the sum over such units is all that EM needs of them.
+FAR = 8.0
+UNITS = "row_id bigint, text_hash bigint, pool string, unit int, chains array<int>, scores array<double>, n bigint"
 
 
 def scored_units(rows: DataFrame, model: np.ndarray) -> DataFrame:
     """Of each unit with letters beyond ASCII: the chains that may have been at work and the likelihood of what they give.
 
-    Units that no chain explains nearly as well as the identity come as one row for a batch and pool, with their number n.
+    No chain is left out. Units that no chain explains nearly as well as the
+    identity come as one row for a batch and pool: their number n, and the mean
+    likelihood of each chain against the identity.
     """
     shared = rows.sparkSession.sparkContext.broadcast(model)
 
@@ -194,13 +200,16 @@ def scored_units(rows: DataFrame, model: np.ndarray) -> DataFrame:
                         scores[k], changed[k] = score(before, out, after), True
                     elif chain.table is not None:
                         scores[k] = -np.inf
+                if LOST in run:  # what stands beside a lost character tells nothing
+                    scores[LOSSY] = WEIGHT * sum(table[p] for p, pair in zip(_pairs(*key), zip(before + run, run + after)) if LOST not in pair)
+                    changed[LOSSY] = True
                 known = memory[key] = scores, changed
             return known
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            cols: list[list] = [[] for _ in range(6)]
-            plain: dict[str, int] = {}
-            for row_id, pool, t in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            cols: list[list] = [[] for _ in range(7)]
+            far: dict[str, list] = {}
+            for row_id, pool, t, text_hash in zip(*(batch.column(i).to_pylist() for i in range(4))):
                 for no, unit in enumerate(_UNIT.findall(t)):
                     if unit.isascii():
                         continue
@@ -208,96 +217,111 @@ def scored_units(rows: DataFrame, model: np.ndarray) -> DataFrame:
                     for key in _runs(unit):
                         scores, some = look(key)
                         total, changed = total + scores, changed | some
-                    near = np.flatnonzero(changed & (total >= total[IDENTITY] - PRUNE)).tolist()
-                    if not near and LOST not in unit:
-                        plain[pool] = plain.get(pool, 0) + 1
+                    gap = np.where(changed, total - total[IDENTITY], -np.inf)
+                    if gap.max() < -FAR:
+                        held = far.setdefault(pool, [0, np.zeros(IDENTITY + 1)])
+                        held[0] += 1
+                        held[1] += np.exp(gap)
                         continue
+                    near = np.flatnonzero(gap > -np.inf).tolist()
                     options = {float(total[k]): k for k in reversed(near)}  # chains that give the same text have the same score; the first counts
-                    values = (row_id, pool, no, [IDENTITY, *options.values()], [float(total[IDENTITY]), *options], 1)
+                    values = (row_id, text_hash, pool, no, [IDENTITY, *options.values()], [float(total[IDENTITY]), *options], 1)
                     for col, value in zip(cols, values):
                         col.append(value)
-            for pool, n in plain.items():
-                for col, value in zip(cols, (None, pool, None, [IDENTITY], [0.0], n)):
+            for pool, (n, likelihood) in far.items():
+                some = np.flatnonzero(likelihood).tolist()
+                for col, value in zip(cols, (None, None, pool, None, [IDENTITY, *some], [0.0, *np.log(likelihood[some] / n).tolist()], n)):
                     col.append(value)
-            kinds = (pa.int64(), pa.string(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.float64()), pa.int64())
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["row_id", "pool", "unit", "chains", "scores", "n"])
+            kinds = (pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.float64()), pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["row_id", "text_hash", "pool", "unit", "chains", "scores", "n"])
 
         return step
 
     return map_rows(rows, UNITS, make)
 
 
-def _posterior(units: DataFrame, prior: dict[str, list[float]], start: list[float]) -> DataFrame:
-    """units with `posterior`, an array beside `chains`."""
-    logs = lambda p: F.array(*[F.lit(math.log(max(x, 1e-9))) for x in p])
-    table = F.create_map(*[x for pool, p in prior.items() for x in (F.lit(pool), logs(p))]) if prior else F.lit(None).cast("map<string,array<double>>")
-    of_pool = F.coalesce(F.element_at(table, F.col("pool")), logs(start))
+#: Prior of the chains before anything is known, and what is added to each pool's weights.
+START = [0.1 / IDENTITY] * IDENTITY + [0.9]
+ADDED = [0.2] * IDENTITY + [2.0]
+
+
+def _posterior(units: DataFrame, prior: DataFrame | None) -> DataFrame:
+    """units with `posterior`, an array beside `chains`; prior: pool, logs."""
+    start = F.array(*[F.lit(math.log(x)) for x in START])
+    rows = units.withColumn("logs", start) if prior is None else units.join(prior, "pool", "left").withColumn("logs", F.coalesce("logs", start))
     weights = F.zip_with("chains", "scores", lambda c, s: s + F.element_at("logs", c + 1))
     return (
-        units.withColumn("logs", of_pool)
-        .withColumn("w", weights)
+        rows.withColumn("w", weights)
         .withColumn("w", F.transform("w", lambda x: F.exp(x - F.array_max("w"))))
         .withColumn("posterior", F.transform("w", lambda x: x / F.aggregate("w", F.lit(0.0), lambda a, b: a + b)))
         .drop("logs", "w")
     )
 
 
-def estimate(units: DataFrame, rounds: int = ROUNDS) -> tuple[dict[str, list[float]], list[float]]:
-    """Prior of the chains in each pool, by EM over all units; what comes to the driver is pools times chains numbers."""
-    start = [0.1 / IDENTITY] * IDENTITY + [0.9]
-    prior: dict[str, list[float]] = {}
+def estimate(units: DataFrame, rounds: int = ROUNDS) -> DataFrame | None:
+    """Prior of the chains in each pool (pool, logs), by EM over all units.
+
+    The priors are a table of one row for each pool, written once a round;
+    nothing of it comes to the driver or into a plan, however many pools there are.
+    """
+    prior = None
+    number = F.sequence(F.lit(0), F.lit(IDENTITY))
+    added = F.array(*[F.lit(x) for x in ADDED])
     for _ in range(rounds):
         sums = (
-            _posterior(units, prior, start)
+            _posterior(units, prior)
             .select("pool", "n", F.explode(F.arrays_zip("chains", "posterior")).alias("x"))
             .groupBy("pool", F.col("x.chains").alias("chain"))
             .agg(F.sum(F.col("x.posterior") * F.col("n")).alias("weight"))
-            .collect()
+            .groupBy("pool")
+            .agg(F.map_from_entries(F.collect_list(F.struct("chain", "weight"))).alias("weights"))
         )
-        weights: dict[str, list[float]] = {}
-        for row in sums:
-            weights.setdefault(row["pool"], [0.2] * IDENTITY + [2.0])[row["chain"]] += row["weight"]
-        prior = {pool: [x / sum(w) for x in w] for pool, w in weights.items()}
-    return prior, start
+        total = F.transform(number, lambda k: F.coalesce(F.try_element_at("weights", k), F.lit(0.0)) + F.element_at(added, k + 1))
+        share = F.transform("total", lambda x: F.log(F.greatest(x / F.aggregate("total", F.lit(0.0), lambda a, b: a + b), F.lit(1e-9))))
+        prior = stage(sums.select("pool", total.alias("total")).select("pool", share.alias("logs")), "encoding-prior")
+    return prior
 
 
-def _rows(df: DataFrame, text: str, pool: str, key: str) -> DataFrame:
-    chosen = df.select(F.col(key).cast("bigint").alias("row_id"), F.coalesce(F.lower(F.trim(F.col(pool))), F.lit("")).alias("pool"), F.col(text).alias("t"))
+def _rows(df: DataFrame, text: str, pool: str | list[str], key: str) -> DataFrame:
+    """row_id, pool, t, text_hash of rows with characters beyond ASCII; the pool is the field with what `pool` columns name."""
+    named = [F.coalesce(F.lower(F.trim(F.col(p).cast("string"))), F.lit("")) for p in ([pool] if isinstance(pool, str) else pool)]
+    chosen = df.select(F.col(key).cast("bigint").alias("row_id"), F.concat_ws("/", F.lit(text), *named).alias("pool"), F.col(text).alias("t"), F.xxhash64(F.col(text)).alias("text_hash"))
     return chosen.where(F.col("t").rlike(r"[^\x00-\x7F]"))
 
 
-def garbled_units(df: DataFrame, text: str = "text", pool: str = "lang", key: str = "row_id") -> DataFrame:
-    """row_id, unit, chain: each unit that most likely was read wrongly, or has lost characters (chain null).
+def garbled_units(df: DataFrame, text: str = "text", pool: str | list[str] = "lang", key: str = "row_id", rounds: int = ROUNDS) -> DataFrame:
+    """row_id, text_hash, unit, chain: each unit that most likely was read wrongly ("lossy" where characters are lost for good).
 
     Rows of null, empty or plain ASCII text have none. A repeated row counts
-    under its own id.
+    under its own id; rows of one id and different texts are told apart by the
+    hash.
     """
     rows = _rows(df, text, pool, key)
     units = stage(scored_units(rows, pair_model(rows)), "encoding-units")
-    prior, start = estimate(units)
+    prior = estimate(units, rounds)
     best = F.array_max(F.arrays_zip(F.col("posterior").alias("p"), F.col("chains").alias("c")))
     names = F.array(*[F.lit(n) for n in NAMES])
-    judged = _posterior(units.where("row_id is not null"), prior, start).select("row_id", "unit", best["c"].alias("c"), (F.size("chains") == 1).alias("lost"))
-    return judged.where(F.col("lost") | (F.col("c") != IDENTITY)).select("row_id", "unit", F.when(~F.col("lost"), F.element_at(names, F.col("c") + 1)).alias("chain"))
+    judged = _posterior(units.where("row_id is not null"), prior).select("row_id", "text_hash", "unit", best["c"].alias("c"))
+    return judged.where(F.col("c") != IDENTITY).select("row_id", "text_hash", "unit", F.element_at(names, F.col("c") + 1).alias("chain"))
 
 
-def garbled(df: DataFrame, text: str = "text", pool: str = "lang", key: str = "row_id") -> DataFrame:
-    """row_id of each row whose text was, in whole or in part, read in a wrong encoding."""
-    lost = df.where(F.col(text).contains(LOST)).select(F.col(key).cast("bigint").alias("row_id"))
-    return garbled_units(df, text, pool, key).select("row_id").unionByName(lost).distinct()
+def garbled(df: DataFrame, text: str = "text", pool: str | list[str] = "lang", key: str = "row_id", rounds: int = ROUNDS) -> DataFrame:
+    """row_id of each row whose text was, in whole or in part, read in a wrong encoding; a repeated row_id comes once."""
+    return garbled_units(df, text, pool, key, rounds).select("row_id").distinct()
 
 
-def restored(df: DataFrame, text: str = "text", pool: str = "lang", key: str = "row_id") -> DataFrame:
+def restored(df: DataFrame, text: str = "text", pool: str | list[str] = "lang", key: str = "row_id") -> DataFrame:
     """row_id, restored, chains, complete: the text of each garbled row with every unit repaired by its own chain.
 
     complete is false where characters are lost for good (U+FFFD).
     """
-    found = garbled_units(df, text, pool, key).where("chain is not null")
-    fixes = found.groupBy("row_id").agg(F.map_from_entries(F.collect_list(F.struct("unit", "chain"))).alias("fixes"))
-    lost = F.col("t").contains(LOST)
-    rows = df.select(F.col(key).cast("bigint").alias("row_id"), F.col(text).alias("t")).where(F.col("t").isNotNull())
+    found = stage(garbled_units(df, text, pool, key), "encoding-found")
+    # rows that come twice have the same units and chains; one of each is kept
+    once = found.groupBy("row_id", "text_hash", "unit").agg(F.min("chain").alias("chain"))
+    fixes = once.groupBy("row_id", "text_hash").agg(F.map_from_entries(F.collect_list(F.struct("unit", "chain"))).alias("fixes"))
+    rows = df.select(F.col(key).cast("bigint").alias("row_id"), F.col(text).alias("t"), F.xxhash64(F.col(text)).alias("text_hash")).where(F.col("t").isNotNull())
     # most other texts stay out of the join
-    rows = rows.where(may_be_in(found.select("row_id"))(F.col("row_id")) | lost).join(fixes, "row_id", "left").where(F.col("fixes").isNotNull() | lost)
+    rows = rows.where(may_be_in(found.select("row_id"))(F.col("row_id"))).join(fixes, ["row_id", "text_hash"]).select("row_id", "t", "fixes")
     by_name = {c.name: c for c in CHAINS}
 
     def make():
@@ -306,8 +330,8 @@ def restored(df: DataFrame, text: str = "text", pool: str = "lang", key: str = "
             for t, fix in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 fix = dict(fix or ())
                 units = _UNIT.findall(t)
-                texts.append("".join(by_name[fix[k]](u) if k in fix else u for k, u in enumerate(units)))
-                chains.append(sorted(set(fix.values())))
+                texts.append("".join(by_name[fix[k]](u) if fix.get(k) in by_name else u for k, u in enumerate(units)))
+                chains.append(sorted(set(fix.values()) - {"lossy"}))
             whole = [LOST not in t for t in texts]
             return pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array(chains, pa.list_(pa.string())), pa.array(whole)], ["row_id", "restored", "chains", "complete"])
 
