@@ -49,6 +49,12 @@ def p2_clean(spark: SparkSession, sf: str) -> DataFrame:
     return parts[0].unionByName(parts[1])
 
 
+def p2_without(spark: SparkSession, sf: str) -> DataFrame:
+    """The tables without all rows of p2_found, however little residue they hold."""
+    parts = [residue.without_residue(_table(spark, sf, t), c, 0.0).select(F.lit(t).alias("tbl"), "row_id") for t, c in RESIDUE]
+    return parts[0].unionByName(parts[1])
+
+
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     return truncation.truncated(_table(spark, sf, "standalone_records"))
 
