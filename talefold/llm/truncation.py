@@ -27,9 +27,9 @@ MEASURES = {
     "crlf_utf8_bytes": (lambda t: len(t.replace("\r\n", "\n").replace("\n", "\r\n").encode("utf-8", "surrogatepass")), 3),
     "lf_characters": (lambda t: len(t.replace("\r\n", "\n")), 0),
 }
-#: A limit shows where at least so many rows, and this share of the source's rows, have the same greatest length,
-#: most of them with an open ending, few open endings beyond it, and so many times the usual count of a length near it.
-LEAST_ROWS, LEAST_SHARE, OPEN_SHARE, BEYOND_SHARE, PEAK = 4, 0.01, 0.5, 0.1, 4.0
+#: A limit shows where a length has so many rows at least, most of them with an open ending, and so many times what lengths near it have,
+#: and where chance gives as many in none of a hundred sources of that size (logarithm of the odds).
+LEAST_ROWS, OPEN_SHARE, PEAK, ODDS = 4, 0.5, 4.0, 4.6
 #: The longest headline without a closing mark.
 HEADLINE = 70
 
@@ -94,11 +94,13 @@ def endings(df: DataFrame, text: str = "summary", source: str = "source", key: s
 
 
 def limits(ends: DataFrame) -> DataFrame:
-    """source, measure (its number), limit_at, rows_at: the storage limit of each source that has one.
+    """source, measure (its number), limit_at, rows_at: the storage limits of each source that has some.
 
-    Counts are grouped by source, measure and length over all rows; a limit is a
-    greatest length that piles up rows with open endings. Of several measures the
-    one with most rows at its limit tells how the source counts.
+    Counts are grouped by source, measure and length over all rows. A limit is a
+    length that piles up rows with open endings far beyond what the lengths near
+    it have; how far follows from the source's number of rows, so that a limit
+    counts however small its share of them is. A source that changed its limit
+    has several. The measure by which most rows stand at limits is the source's.
     """
     counts = (
         ends.select("source", F.posexplode("lengths").alias("m", "length"), (F.col("ending") != "closed").cast("int").alias("open"))
@@ -106,41 +108,46 @@ def limits(ends: DataFrame) -> DataFrame:
         .agg(F.count("*").alias("n"), F.sum("open").alias("n_open"))
     )
     by = Window.partitionBy("source", "m")
-    seen = counts.select(
-        "*",
-        F.sum("n").over(by).alias("n_source"),
-        F.coalesce(F.sum("n_open").over(by.orderBy(F.desc("length")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("open_beyond"),
-        (F.coalesce(F.sum("n").over(by.orderBy("length").rangeBetween(-40, -8)), F.lit(0)) / 33.0).alias("usual"),
-    )
+    near = lambda low, high: F.coalesce(F.sum("n").over(by.orderBy("length").rangeBetween(low, high)), F.lit(0))
+    seen = counts.select("*", F.sum("n").over(by).alias("n_source"), ((near(-40, -8) + near(8, 40)) / 66.0).alias("two_sided"), (near(-40, -8) / 33.0).alias("below"))
+    usual = F.greatest("two_sided", "below", F.lit(0.1))
+    odds = F.col("n") * F.ln(F.col("n") / usual) - (F.col("n") - usual)
     walls = seen.where(
         (F.col("n") >= LEAST_ROWS)
-        & (F.col("n") >= LEAST_SHARE * F.col("n_source"))
         & (F.col("n_open") >= OPEN_SHARE * F.col("n"))
-        & (F.col("open_beyond") <= BEYOND_SHARE * F.col("n_open"))
-        & (F.col("n") >= PEAK * F.col("usual"))
-    )
-    best = F.row_number().over(Window.partitionBy("source").orderBy(F.desc("n"), "m", "length"))
-    return walls.withColumn("k", best).where("k = 1").select("source", F.col("m").alias("measure"), F.col("length").alias("limit_at"), F.col("n").alias("rows_at"))
+        & (F.col("n") >= PEAK * usual)
+        & (odds >= F.ln(F.lit(float(len(MEASURES))) * F.col("n_source")) + ODDS)
+    ).select("source", "m", "length", "n")
+    of_measure = walls.withColumn("rows", F.sum("n").over(by))
+    best = F.dense_rank().over(Window.partitionBy("source").orderBy(F.desc("rows"), "m"))
+    return of_measure.withColumn("k", best).where("k = 1").select("source", F.col("m").alias("measure"), F.col("length").alias("limit_at"), F.col("n").alias("rows_at"))
+
 
+#: Kinds of ending that a cut may leave, and what each says by itself and at its source's limit.
+SCORES = {"dots": (1.0, 1.0), "comma_quote": (0.8, 1.0), "open": (0.6, 1.0), "soft_quote": (0.3, 0.7), "open_quote": (0.3, 0.7), "closed": (0.0, 0.2)}
+#: What is taken off where an open ending may be a whole headline; a value is cut from CUT on.
+MAY_BE_HEADLINE, CUT = 0.5, 0.5
 
-def judged(df: DataFrame, text: str = "summary", source: str = "source", key: str = "row_id") -> tuple[DataFrame, DataFrame]:
+
+def judged(df: DataFrame, text: str = "summary", source: str = "source", key: str = "row_id", with_limits: bool = True) -> tuple[DataFrame, DataFrame]:
     """(rows with `cut`, limits): cut is true where the value ends before its last sentence does.
 
-    A value with dots or an open ending is cut, but for whole headlines: one
-    sentence of at most HEADLINE characters whose last word is a known word
-    (one that stands inside some value) and no linking word. At its source's
-    limit, endings that only look closed (a question within quotation marks)
-    are cuts too. Null, blank and residue values are not judged.
+    Each kind of ending has a score (SCORES), a higher one where the value
+    stands at a limit of its source. It is lowered for what may be a whole
+    headline: one sentence of at most HEADLINE characters whose last word is a
+    known word (one that stands inside some value) and no linking word. At a
+    limit that is no excuse: a headline, or a question within quotation marks,
+    that ends there is cut too. Null, blank and residue values are not judged.
     """
     ends = stage(endings(df, text, source, key), "truncation-endings")
-    walls = limits(ends)
+    walls = stage(limits(ends) if with_limits else limits(ends).where("false"), "truncation-limits")
+    # a source has few limits, as each holds at least LEAST_ROWS of its rows; lengths are compared with the list of them
+    listed = walls.groupBy("source").agg(F.collect_list(F.struct("measure", "limit_at")).alias("walls")).withColumnRenamed("source", "wall_source")
     slack = F.array(*[F.lit(s) for _, s in MEASURES.values()])
-    short = F.col("limit_at") - F.element_at("lengths", F.col("measure") + 1)
-    placed = ends.join(walls.withColumnRenamed("source", "wall_source"), F.col("source").eqNullSafe(F.col("wall_source")), "left").select(
-        "row_id", "source", "ending", "one_sentence", "n_chars", "last_word", F.coalesce(short.between(0, F.element_at(slack, F.col("measure") + 1)), F.lit(False)).alias("at_limit")
-    )
+    at = F.exists("walls", lambda w: (w["limit_at"] - F.element_at("lengths", w["measure"] + 1)).between(0, F.element_at(slack, w["measure"] + 1)))
+    placed = ends.join(listed, F.col("source").eqNullSafe(F.col("wall_source")), "left").select("row_id", "source", "ending", "one_sentence", "n_chars", "last_word", F.coalesce(at, F.lit(False)).alias("at_limit"))
     # words inside a value are whole; only the last words of possible headlines are looked up
-    maybe = (F.col("ending") == "open") & F.col("one_sentence") & (F.col("n_chars") <= HEADLINE) & ~F.col("at_limit")
+    maybe = (F.col("ending") == "open") & F.col("one_sentence") & (F.col("n_chars") <= HEADLINE)
     asked = placed.where(maybe).select("last_word").distinct()
     known = (
         df.select(F.explode(F.split(F.lower(F.regexp_replace(F.col(text), r"[\p{L}\p{N}'’-]+[^\p{L}\p{N}]*$", "")), r"[^\p{L}\p{N}'’-]+")).alias("last_word"))
@@ -148,15 +155,10 @@ def judged(df: DataFrame, text: str = "summary", source: str = "source", key: st
         .join(asked, "last_word", "left_semi")
         .withColumn("known", F.lit(True))
     )
-    linking = F.col("last_word").isin(sorted(_LINKING))
-    headline = maybe & F.coalesce("known", F.lit(False)) & ~linking
-    cut = (
-        F.when(F.col("ending").isin("dots", "comma_quote"), True)
-        .when(F.col("ending") == "open", ~headline)
-        .when(F.col("ending").isin("soft_quote", "open_quote"), F.col("at_limit"))
-        .otherwise(False)
-    )
-    return placed.join(known, "last_word", "left").select("row_id", "source", "ending", "at_limit", cut.alias("cut")), walls
+    headline = maybe & F.coalesce("known", F.lit(False)) & ~F.col("last_word").isin(sorted(_LINKING))
+    table = F.create_map(*[x for kind, (free, held) in SCORES.items() for x in (F.lit(kind), F.array(F.lit(free), F.lit(held)))])
+    score = F.element_at(F.element_at(table, F.col("ending")), F.when(F.col("at_limit"), 2).otherwise(1)) - F.when(headline, MAY_BE_HEADLINE).otherwise(0.0)
+    return placed.join(known, "last_word", "left").select("row_id", "source", "ending", "at_limit", (score >= CUT).alias("cut")), walls
 
 
 def truncated(df: DataFrame, text: str = "summary", source: str = "source", key: str = "row_id") -> DataFrame:
@@ -165,12 +167,13 @@ def truncated(df: DataFrame, text: str = "summary", source: str = "source", key:
 
 
 def truncation_rates(df: DataFrame, text: str = "summary", source: str = "source", key: str = "row_id") -> DataFrame:
-    """source, n_rows, n_cut, share_cut, and the limit and measure where the source shows one; null is a source of its own."""
+    """source, n_rows, n_cut, share_cut, and where the source shows limits their measure, the one with most rows, and all of them in order; null is a source of its own."""
     rows, walls = judged(df, text, source, key)
     names = F.array(*[F.lit(m) for m in MEASURES])
     cuts = rows.where("cut").groupBy("source").agg(F.count("*").alias("n_cut")).withColumnRenamed("source", "cut_source")
+    walls = walls.groupBy("source").agg(F.max("measure").alias("measure"), F.max_by("limit_at", F.struct("rows_at", "limit_at")).alias("limit_at"), F.array_sort(F.collect_list("limit_at")).alias("limits"))
     walls = walls.withColumnRenamed("source", "wall_source")
     total = df.groupBy(F.col(source).cast("string").alias("source")).agg(F.count("*").alias("n_rows"))
     out = total.join(cuts, F.col("source").eqNullSafe(F.col("cut_source")), "left").join(walls, F.col("source").eqNullSafe(F.col("wall_source")), "left")
     n_cut = F.coalesce("n_cut", F.lit(0))
-    return out.select("source", "n_rows", n_cut.alias("n_cut"), (n_cut / F.col("n_rows")).alias("share_cut"), F.element_at(names, F.col("measure") + 1).alias("measure"), "limit_at")
+    return out.select("source", "n_rows", n_cut.alias("n_cut"), (n_cut / F.col("n_rows")).alias("share_cut"), F.when(F.col("measure").isNotNull(), F.get(names, F.col("measure"))).alias("measure"), "limit_at", "limits")
