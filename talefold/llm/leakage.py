@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import pickle
 import re
+from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from talefold.llm.arrow import map_rows
+from talefold.session import stage
 
 #: Consecutive words that make a leak.
 LEAST_WORDS = 12
-#: Words of items in one automaton; more items are matched block by block, so a broadcast never grows with them.
+#: Words of items in one automaton; more items are matched block by block.
 BLOCK_WORDS = 200_000
 FOUND = "doc_id bigint, item_id bigint, longest int, first_word int, words_in_doc int"
 WORD = re.compile(r"[^\W_]+")
@@ -155,6 +158,15 @@ def united(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
+def without(text: str, spans: list[tuple[int, int]]) -> str:
+    """The text without these words (from, to), which are in order and apart."""
+    at = places(text)
+    for start, end in reversed(spans):
+        before, after = text[: at[start][0]], text[at[end - 1][1] :]
+        text = (before.rstrip(" \t") if after[:1].isspace() else before) + after
+    return text
+
+
 def cut(text: str, automata: list[SuffixAutomaton], most_words: int, most_share: float, least: int) -> str | None:
     """The text without its leaked words; None if these are `most_words` or `most_share` of its words.
 
@@ -170,47 +182,122 @@ def cut(text: str, automata: list[SuffixAutomaton], most_words: int, most_share:
         gone += sum(end - start for start, end in spans)
         if gone >= most_words or gone >= most_share * total:
             return None
-        at = places(text)
-        for start, end in reversed(spans):
-            before, after = text[: at[start][0]], text[at[end - 1][1] :]
-            text = (before.rstrip(" \t") if after[:1].isspace() else before) + after
+        text = without(text, spans)
+
+
+#: Blocks of items with which one pass over the documents compares: the most that is broadcast at a time.
+PASS_BLOCKS = 4
+
+
+def _automata(items: DataFrame, least: int, block_words: int) -> list[DataFrame]:
+    """The items' automata in groups of PASS_BLOCKS blocks, built by the executors and written to the shared folder."""
+    rows = items.select(F.col("item_id").cast("bigint").alias("item_id"), F.col("passage").cast("string").alias("passage")).where("item_id is not null and passage is not null")
+    total = rows.agg(F.coalesce(F.sum(F.size(F.split("passage", r"[^\p{L}\p{N}]+"))), F.lit(0))).first()[0]
+    parts = max(1, -(-total // block_words))
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [x for batch in batches for x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
+        for automaton in blocks(sorted(held), least, block_words):
+            data = pickle.dumps(automaton, pickle.HIGHEST_PROTOCOL)
+            yield pa.RecordBatch.from_arrays([pa.array([data], pa.binary())], ["automaton"])
 
+    dealt = rows.repartition(parts, "item_id")
+    built = stage(dealt.mapInArrow(build, "automaton binary").withColumn("no", F.monotonically_increasing_id()), "leak-automata")
+    numbers = [r[0] for r in built.select("no").orderBy("no").toLocalIterator()]  # one number for each block
+    return [built.where(F.col("no").between(numbers[k], numbers[min(k + PASS_BLOCKS, len(numbers)) - 1])) for k in range(0, len(numbers), PASS_BLOCKS)]
 
-def _automata(items: DataFrame, least: int, block_words: int) -> list:
-    """The items' automata as broadcasts."""
-    held = [(r[0], r[1]) for r in items.select("item_id", "passage").where("item_id is not null and passage is not null").toLocalIterator()]
-    return [items.sparkSession.sparkContext.broadcast(a) for a in blocks(held, least, block_words)]
+
+def _passes(docs: DataFrame, groups: list[DataFrame], schema: str, step_of) -> DataFrame:
+    """The rows that `step_of(automata)` makes of batches of documents, for each group of automata.
+
+    With one group that is a lazy pass. With more, each pass is run and written
+    before the next group is broadcast, and its broadcast is given up, so that
+    driver and executors hold PASS_BLOCKS blocks at a time however many items
+    there are.
+    """
+    spark = docs.sparkSession
+
+    def one(group: DataFrame):
+        shared = spark.sparkContext.broadcast([bytes(r[0]) for r in group.select("automaton").collect()])
+
+        def make():
+            automata = [pickle.loads(a) for a in shared.value]
+            return lambda batch: step_of(automata, batch)
+
+        return shared, map_rows(docs, schema, make, 1000)
+
+    if len(groups) == 1:
+        return one(groups[0])[1]
+    out = spark.createDataFrame([], schema)
+    for group in groups:
+        shared, rows = one(group)
+        out = out.unionByName(stage(rows, "leak-pass"))
+        shared.destroy()
+    return out
+
+
+def _docs(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("t"))
 
 
 def leaks(docs: DataFrame, items: DataFrame, least: int = LEAST_WORDS, block_words: int = BLOCK_WORDS) -> DataFrame:
     """One row for each document and each item of which it holds `least` consecutive words (FOUND).
 
     `items` (item_id, passage) is the held-out set, a stated set against all
-    documents: it goes to the tasks as automata of at most `block_words` words
-    each. Null and short texts and passages match nothing; a repeated document
-    counts under each id; an item_id that comes twice counts as one item.
+    documents, in blocks of at most `block_words` words each. Null and short
+    texts and passages match nothing; a repeated document counts under each id;
+    an item_id that comes twice counts as one item.
     """
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").alias("t")).where(F.col("t").isNotNull())
-    shared = _automata(items, least, block_words)
-
-    def make():
-        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            cols: list[list] = [[], [], [], [], []]
-            for doc, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                text = words(t)
-                best: dict[int, tuple[int, int]] = {}
-                for automaton in shared:
-                    for item, hit in automaton.value.matches(text, least).items():
-                        best[item] = max(best.get(item, (0, 0)), hit)
-                for item, (size, first) in best.items():
-                    for col, value in zip(cols, (doc, item, size, first, len(text))):
-                        col.append(value)
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32())
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["doc_id", "item_id", "longest", "first_word", "words_in_doc"])
 
-        return step
-
-    return map_rows(rows, FOUND, make, 1000)
+    def step(automata: list[SuffixAutomaton], batch: pa.RecordBatch) -> pa.RecordBatch:
+        cols: list[list] = [[], [], [], [], []]
+        for doc, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            text = words(t)
+            best: dict[int, tuple[int, int]] = {}
+            for automaton in automata:
+                for item, hit in automaton.matches(text, least).items():
+                    best[item] = max(best.get(item, (0, 0)), hit)
+            for item, (size, first) in best.items():
+                for col, value in zip(cols, (doc, item, size, first, len(text))):
+                    col.append(value)
+        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32())
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["doc_id", "item_id", "longest", "first_word", "words_in_doc"])
+
+    return _passes(_docs(docs).where("t is not null"), _automata(items, least, block_words), FOUND, step)
+
+
+SPAN = "doc_id bigint, text_hash bigint, first_word int, end_word int, words_in_doc int"
+
+
+def _spans(docs: DataFrame, groups: list[DataFrame], least: int) -> DataFrame:
+    """SPAN rows, apart and in order within a document; those of several passes are united."""
+
+    def step(automata: list[SuffixAutomaton], batch: pa.RecordBatch) -> pa.RecordBatch:
+        cols: list[list] = [[] for _ in range(5)]
+        for doc, t, text_hash in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            text = words(t)
+            for start, end in united([s for a in automata for s in a.covered(text, least)]):
+                for col, value in zip(cols, (doc, text_hash, start, end, len(text))):
+                    col.append(value)
+        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32())
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["doc_id", "text_hash", "first_word", "end_word", "words_in_doc"])
+
+    rows = _passes(docs.where("t is not null").withColumn("text_hash", F.xxhash64("t")), groups, SPAN, step)
+    if len(groups) == 1:
+        return rows
+    by = Window.partitionBy("doc_id", "text_hash").orderBy("first_word", "end_word")
+    before = F.max("end_word").over(by.rowsBetween(Window.unboundedPreceding, -1))
+    island = F.sum(F.when(F.col("first_word") <= F.col("before"), 0).otherwise(1)).over(by)
+    rows = rows.distinct().withColumn("before", before).withColumn("island", island)
+    return rows.groupBy("doc_id", "text_hash", "island").agg(F.min("first_word").alias("first_word"), F.max("end_word").alias("end_word"), F.max("words_in_doc").alias("words_in_doc")).drop("island")
+
+
+def leaked_spans(docs: DataFrame, items: DataFrame, least: int = LEAST_WORDS, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """doc_id, first_word, end_word (past the last), words_in_doc: all words of a document that stand in runs shared with items, whichever these are.
+
+    Spans that overlap or touch are one. A document that comes twice with one id and text has its spans twice.
+    """
+    return _spans(_docs(docs), _automata(items, least, block_words), least).drop("text_hash")
 
 
 def without_leaks(docs: DataFrame, items: DataFrame, most_words: int = 50, most_share: float = 0.5, least: int = LEAST_WORDS, block_words: int = BLOCK_WORDS) -> DataFrame:
@@ -218,22 +305,44 @@ def without_leaks(docs: DataFrame, items: DataFrame, most_words: int = 50, most_
 
     A document is dropped if all such words together, of whatever items, are
     `most_words` or `most_share` of its words. Null texts are kept; each row is
-    judged by its own text.
+    judged by its own text. What is left after a cut is searched again, as it may
+    bring two parts of a passage together.
     """
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    shared = _automata(items, least, block_words)
-
-    def make():
-        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            automata = [a.value for a in shared]
-            ids, texts = [], []
-            for doc, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                rest = None if t is None else cut(t, automata, most_words, most_share, least)
-                if t is None or rest is not None:
-                    ids.append(doc)
-                    texts.append(rest)
-            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(texts, pa.string())], ["doc_id", "text"])
-
-        return step
-
-    return map_rows(rows, "doc_id bigint, text string", make, 1000)
+    groups = _automata(items, least, block_words)
+    rows = _docs(docs)
+    if len(groups) != 1:
+        return _without_in_passes(rows, groups, most_words, most_share, least) if groups else rows.withColumnRenamed("t", "text")
+
+    def step(automata: list[SuffixAutomaton], batch: pa.RecordBatch) -> pa.RecordBatch:
+        ids, texts = [], []
+        for doc, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            rest = None if t is None else cut(t, automata, most_words, most_share, least)
+            if t is None or rest is not None:
+                ids.append(doc)
+                texts.append(rest)
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(texts, pa.string())], ["doc_id", "text"])
+
+    return _passes(rows, groups, "doc_id bigint, text string", step)
+
+
+def _without_in_passes(rows: DataFrame, groups: list[DataFrame], most_words: int, most_share: float, least: int) -> DataFrame:
+    """without_leaks() where the items need several passes: documents with spans are cut and searched again until none has any."""
+
+    def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [without(t, [(s["first_word"], s["end_word"]) for s in found or []]) for t, found in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string()), batch.column(3), batch.column(4)], ["doc_id", "t", "gone", "total"])
+
+    open_rows = rows.withColumn("gone", F.lit(0)).withColumn("total", F.lit(None).cast("int"))
+    kept = rows.where("false").select("doc_id", F.col("t").alias("text"))
+    while True:
+        spans = _spans(open_rows.select("doc_id", "t").where("t is not null").distinct(), groups, least)
+        listed = spans.groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_list(F.struct("first_word", "end_word"))).alias("spans"), F.sum(F.col("end_word") - F.col("first_word")).cast("int").alias("now"), F.max("words_in_doc").alias("words_in_doc"))
+        keys = open_rows.withColumn("text_hash", F.xxhash64("t"))
+        hit = keys.join(listed.withColumnRenamed("doc_id", "hit_id"), F.col("doc_id").eqNullSafe(F.col("hit_id")) & (keys["text_hash"] == listed["text_hash"]), "left")
+        hit = stage(hit.select("doc_id", "t", "spans", (F.col("gone") + F.coalesce("now", F.lit(0))).alias("gone"), F.coalesce("total", "words_in_doc").alias("total")), "leak-hits")
+        kept = kept.unionByName(hit.where("spans is null").select("doc_id", F.col("t").alias("text")))
+        left = hit.where(F.col("spans").isNotNull() & (F.col("gone") < most_words) & (F.col("gone") < most_share * F.col("total")))
+        if left.isEmpty():
+            return kept
+        open_rows = stage(left.mapInArrow(remove, "doc_id bigint, t string, gone int, total int"), "leak-cut")

@@ -103,6 +103,10 @@ def p8_leaks(spark: SparkSession, sf: str) -> DataFrame:
     return leakage.leaks(_table(spark, sf, "documents"), _table(spark, sf, "retrieval_cases"))
 
 
+def p8_spans(spark: SparkSession, sf: str) -> DataFrame:
+    return leakage.leaked_spans(_table(spark, sf, "documents"), _table(spark, sf, "retrieval_cases"))
+
+
 def p8_kept(spark: SparkSession, sf: str) -> DataFrame:
     return leakage.without_leaks(_table(spark, sf, "documents"), _table(spark, sf, "retrieval_cases"))
 
@@ -130,6 +134,15 @@ WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w
      ig AS (SELECT DISTINCT item_id, array_to_string(w[k:k + 11], ' ') AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - 10)) AS k FROM i WHERE len(w) >= 12))
 SELECT DISTINCT doc_id, item_id FROM dg JOIN ig USING (g)
 """
+_P8_GRAMS = _P8_SQL.split("SELECT DISTINCT doc_id, item_id")[0].replace("SELECT doc_id, array_to_string", "SELECT doc_id, k, len(w) AS n, array_to_string").replace("DISTINCT item_id, array_to_string", "DISTINCT item_id, k, array_to_string")
+_P8_SPANS = f"""{_P8_GRAMS}, hit AS (SELECT DISTINCT doc_id, n, k FROM dg WHERE g IN (SELECT g FROM ig)),
+     run AS (SELECT *, CASE WHEN k <= lag(k) OVER w + 12 THEN 0 ELSE 1 END AS fresh FROM hit WINDOW w AS (PARTITION BY doc_id ORDER BY k)),
+     island AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY k) AS no FROM run)
+SELECT doc_id, (min(k) - 1)::INT AS first_word, (max(k) + 11)::INT AS end_word, max(n)::INT AS words_in_doc FROM island GROUP BY doc_id, no"""
+_P8_LEAKS = f"""{_P8_GRAMS}, hit AS (SELECT DISTINCT doc_id, item_id, n, dg.k AS k, ig.k AS i FROM dg JOIN ig USING (g)),
+     run AS (SELECT *, k - row_number() OVER (PARTITION BY doc_id, item_id, k - i ORDER BY k) AS no FROM hit),
+     runs AS (SELECT doc_id, item_id, n, min(k) - 1 AS first, count(*) + 11 AS longest FROM run GROUP BY doc_id, item_id, n, k - i, no)
+SELECT doc_id, item_id, max(longest)::INT AS longest, arg_min(first, (-longest, first))::INT AS first_word, max(n)::INT AS words_in_doc FROM runs GROUP BY doc_id, item_id"""
 
 
 def queries() -> dict[str, Query]:
@@ -140,4 +153,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "p1_found": " UNION ALL ".join(_oversized_sql(t, c, limit) for t, c, limit, _ in SPLITS),
         "p8_found": _P8_SQL,
+        "p8_spans": _P8_SPANS,
+        "p8_leaks": _P8_LEAKS,
     }
