@@ -60,7 +60,7 @@ _ID_LABEL = (
     r"driving licen[cs]e|driver['’]?s licen[cs]e|führerschein(?:nummer)?|permis de conduire|carnet de conducir|carta de condução|codice fiscale|pesel|bsn|снилс|инн|водительское удостоверение"
 )
 _ID = re.compile(
-    rf"(?<![\w-])(?P<label>{_ID_LABEL})(?P<word>\s*(?:number|numbers|no\.?|nr\.?|n[º°o]\.?|num\.?|nummer|numéro|número|номер|№|#))?\s*(?:is|:|=|-|–|—|,)?\s*"
+    rf"(?<![\w-])(?P<label>{_ID_LABEL})(?![^\W\d_])(?P<word>\s*(?:number|numbers|no\.?|nr\.?|n[º°o]\.?|num\.?|nummer|numéro|número|номер|№|#))?\s*(?:is|:|=|-|–|—|,)?\s*"
     r"(?P<value>(?=[A-Z0-9./ -]*\d)[A-Z0-9](?:[ ./-]?[A-Z0-9]){4,23})(?![\w])",
     re.I,
 )

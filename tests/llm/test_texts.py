@@ -2,7 +2,9 @@
 
 import random
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from talefold.llm import encodings, leakage, pii, residue, scans, tokens, truncation
 
@@ -16,7 +18,7 @@ STORY = "The miller counted the lanterns twice before dawn. Nobody in Marsh Hill
      ("Seite nicht gefunden.", "error"), (STORY + " Please enable JavaScript to continue reading.", "script"), ("Lorem ipsum dolor sit amet consectetur.", "filler"), ("asdf asdf asdf asdf asdf", "filler")],
 )
 def test_residue_found(text, kind):
-    assert residue.Detector()(text)[0] == kind
+    assert residue.Detector()(text).kind == kind
 
 
 @pytest.mark.parametrize(
@@ -28,6 +30,21 @@ def test_no_residue(text):
     assert residue.Detector()(text) is None
 
 
+def test_coverage_decides_what_is_excluded(spark):
+    long = STORY + " " + STORY
+    rows = [(1, long + " {{ title }}"), (2, "{{ title }}"), (3, long), (4, None), (5, ""), (6, long + "\nLorem ipsum dolor sit amet, vexa pulva tempor."), (7, "404 Not Found")]
+    df = spark.createDataFrame(rows, "row_id bigint, text string").withColumn("_cleaned", F.lit("x"))
+    kept = {r["row_id"]: r["text"] for r in residue.without_residue(df, "text").collect()}
+    assert kept == {1: long, 3: long, 4: None, 5: "", 6: long}
+    assert {r["row_id"] for r in residue.without_residue(df, "text", 0.0).collect()} == {3, 4, 5}
+
+
+@pytest.mark.parametrize("text", ["Dolor vexa pulva amet. Nibha ipsum orna.", "The page could not be found. Please try again later.", "JavaScript must be enabled.", "Die Seite wurde nicht gefunden.", "Texte d'exemple."])
+def test_residue_not_in_the_tables(text):
+    """Made-up filler among words of the usual text, and messages put together anew."""
+    assert residue.Detector()(text) is not None
+
+
 # ---- truncation
 @pytest.mark.parametrize(
     "text,wanted",
@@ -60,11 +77,41 @@ def test_limits_and_rates(spark):
     assert rates[None]["n_cut"] == 0 and rates["x"]["n_rows"] == 5 and rates["x"]["n_cut"] == 2
 
 
+def test_limits_decide(spark):
+    """A whole headline, and a question in quotation marks, are cuts only where their source has a limit."""
+    head = "How the Miller of Banmaton Lost a Rope to the Wind"
+    asked = 'Nobody in the village could tell who "had asked?"'
+    inside = "The miller of Banmaton lost a rope to the wind and had asked for it. "
+    r = random.Random(5)
+    rows = [(k, "db", (inside * 3)[k % 19 :][: len(head)]) for k in range(60)] + [(200 + k, s, inside * 2 + "x" * r.randrange(1, 90) + ".") for k in range(60) for s in ("db", "free")]
+    rows += [(1000, "db", head), (1001, "free", head), (1002, "db", asked[: len(head)].ljust(len(head), "x") if len(asked) > len(head) else asked + " " * 0), (1003, "free", asked)]
+    df = spark.createDataFrame(rows, "row_id bigint, source string, summary string")
+    cut = lambda on: {x["row_id"] for x in truncation.judged(df, with_limits=on)[0].where("cut").collect()}
+    with_limits, without = cut(True), cut(False)
+    assert 1000 in with_limits - without and not {1001, 1003} & with_limits
+
+
+def test_a_source_that_changed_its_limit(spark):
+    text = "The miller of the old town counted every lantern twice before dawn and came home with twelve new nets and some bread for all of us"
+    r = random.Random(6)
+    rows = [(k, "s", (text * 2)[r.randrange(9) :][: (60, 90)[k % 2]]) for k in range(80)] + [(100 + k, "s", text[: r.randrange(20, 120)] + ".") for k in range(200)]
+    got = truncation.truncation_rates(spark.createDataFrame(rows, "row_id bigint, source string, summary string")).collect()[0]
+    assert got["limits"] == [60, 90]
+
+
 # ---- scans
+def made(count, pairs=(), most=None):
+    """A Reader of these words and neighbours."""
+    own, context = np.zeros(scans.OWN_BUCKETS, np.int32), np.zeros(scans.CONTEXT_BUCKETS, np.int32)
+    for pair in pairs:
+        context[scans.bucket(pair, scans.CONTEXT_BUCKETS)] = 50
+    return scans.Reader(scans.Vocabulary(count, own, context, most or max(count.values())))
+
+
 @pytest.fixture(scope="module")
 def reader():
     words = "the miller counted every lantern twice before dawn and came home with twelve nets some wanted morning nobody knows".split()
-    return scans.Reader({w: 100 for w in words} | {"well-worn": 50, "rope": 3}, 2)
+    return made({w: 100 for w in words} | {"well-worn": 50, "rope": 3})
 
 
 @pytest.mark.parametrize(
@@ -86,7 +133,7 @@ def test_scan_repair(reader):
 @pytest.mark.parametrize("text,wanted", [("over tbe hill", True), ("lanterns aud nets", True), ("Tbere came nobody", True), ("a bad hill", False), ("Bad hill", False), ("Daka came", False), ("TBE", False)])
 def test_short_and_capitalised_words_count(text, wanted):
     count = {"the": 5000, "and": 5000, "had": 5000, "there": 1000, "bad": 40, "daka": 30}
-    assert scans.Reader(count, 2).is_scan(text) is wanted
+    assert made(count).is_scan(text) is wanted
 
 
 def test_trie_finds_all_within_the_bound():
@@ -105,9 +152,41 @@ def test_trie_finds_all_within_the_bound():
         w = list(r.choice(words))
         if r.random() < 0.8:
             w[r.randrange(len(w))] = r.choice("abcdefghlmnorw")
-        found = trie.candidates("".join(w), 2)
+        found = trie.candidates("".join(w))
         assert all(v in found for v in words if brute("".join(w), v) <= 1)
-    assert trie.candidates("rnerid", 2) == {"mend": 2} and trie.candidates("carne", 2, False) == {"came": 1}
+    assert trie.candidates("rnerid") == {"mend": 4} and trie.candidates("carne") == {"came": 2, "cane": 3}
+
+
+def test_a_lost_letter_is_found_by_its_edit_alone():
+    """No list of confusions has it: the walk over all edits does."""
+    count = {"the": 30_000, "lantern": 9000, "lanter": 2}
+    assert made(count).is_scan("the lanter fell") and not made(count | {"lanter": 20}).is_scan("the lanter fell")
+
+
+def test_neighbours_decide():
+    count = {"the": 5000, "home": 900, "horne": 30, "old": 3000}
+    assert not made(count).is_scan("the horne came") and made(count, ["the home", "home came"]).is_scan("the horne came")
+    assert made({"the": 5000, "hat": 400, "bat": 300, "my": 900}, ["my hat"]).repair("my 6at") == "my bat" and made({"the": 5000, "hat": 400, "bat": 300}, ["hot bat"]).repair("hot 6at") == "hot bat"
+
+
+def test_without_the_trie_rows_are_lost(reader, monkeypatch):
+    texts = ["the lan5ern came", "every lantcrn came", "the frorn miller warited nets"]
+    assert all(map(reader.is_scan, texts))
+    monkeypatch.setattr(scans.Trie, "candidates", lambda *a: {})
+    reader.memory.clear()
+    assert not any(map(reader.is_scan, texts))
+    reader.memory.clear()
+
+
+def test_a_vocabulary_in_blocks_finds_the_same_rows(spark, monkeypatch):
+    words = [f"{a}{b}" for a in ("lantern", "miller", "morning", "counted") for b in ("s", "er", "ing", "wood", "field")]
+    r = random.Random(2)
+    rows = [(k, " ".join(r.choice(words) for _ in range(30))) for k in range(300)] + [(1000, "lanternw0od " + words[0]), (1001, "mil-\nlers came"), (1002, words[1]), (1003, None), (1004, "")]
+    df = spark.createDataFrame(rows, "row_id bigint, text string")
+    whole = {tuple(x) for x in scans.scanned([(df, "t", "text")]).select("tbl", "row_id").collect()}
+    monkeypatch.setattr(scans, "BLOCK", 7)
+    assert {tuple(x) for x in scans.scanned([(df, "t", "text")]).select("tbl", "row_id").collect()} == whole == {("t", 1000), ("t", 1001)}
+    assert {x["row_id"]: x["repaired"] for x in scans.repaired([(df, "t", "text")]).collect()} == {1000: "lanternwood lanterns", 1001: "millers came"}
 
 
 # ---- encodings
@@ -139,6 +218,27 @@ def test_encodings_found_and_restored(spark):
     assert {k: v[0] for k, v in got.items() if k != 9000} == wanted and got[9000][1] is False
 
 
+def test_em_pools_weak_evidence(spark):
+    """Units that start as the identity are judged otherwise once their pool is known to be read wrongly."""
+    many = [(k, "bad", CLEAN[2].encode("cp1251").decode("koi8_r")) for k in range(40)]
+    many += [(100 + k, "bad", CLEAN[2]) for k in range(4)] + [(200 + k, "good", CLEAN[2]) for k in range(300)]
+    rows = encodings._rows(spark.createDataFrame(many, "row_id bigint, lang string, text string"), "text", "lang", "row_id")
+    units = encodings.scored_units(rows, encodings.pair_model(rows)).cache()
+    first = {r["pool"]: r["logs"] for r in encodings.estimate(units, 1).collect()}
+    last = {r["pool"]: r["logs"] for r in encodings.estimate(units, 6).collect()}
+    k = encodings.NAMES.index("cp1251 as koi8_r")
+    assert last["text/bad"][k] > first["text/bad"][k] - 1e-9 and last["text/bad"][k] > last["text/good"][k] + 3
+    weak = spark.createDataFrame([(1, 1, p, 0, [encodings.IDENTITY, k], [0.0, 1.5], 1) for p in ("text/bad", "text/good")], encodings.UNITS)
+    got = {r["pool"]: r["posterior"] for r in encodings._posterior(weak, encodings.estimate(units, 6)).collect()}
+    assert got["text/bad"][1] > 0.5 > got["text/good"][1]
+
+
+def test_repeated_ids_with_different_texts(spark):
+    good, bad = CLEAN[1], CLEAN[1].encode().decode("cp1252")
+    df = spark.createDataFrame([(k, "fr", good) for k in range(50)] + [(7, "fr", bad), (7, "fr", bad), (7, "de", bad + bad)], "row_id bigint, lang string, text string")
+    assert sorted(r["restored"] for r in encodings.restored(df).collect()) == [good, good, good + good]
+
+
 # ---- tokens
 def test_tokens_equal_the_library():
     from hypothesis import given, settings
@@ -200,6 +300,33 @@ def test_leaks_in_blocks(spark):
     assert sorted(r[0] for r in leakage.without_leaks(docs, items).collect()) == [2, 3, 4]
 
 
+def test_many_blocks_in_bounded_passes(spark, monkeypatch):
+    """A hundred blocks: as many passes as the bound asks for, each giving up its broadcast, with the rows of one block."""
+    r = random.Random(8)
+    items = [(k, " ".join(f"w{r.randrange(40)}" for _ in range(20))) for k in range(100)]
+    docs = [(k, f"start {items[k][1]} middle {' '.join(items[k + 1][1].split()[3:16])} end") for k in range(0, 90, 3)] + [(500, None), (501, "none of it")]
+    d, i = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, passage string")
+    wanted = sorted(map(tuple, leakage.leaks(d, i).collect()))
+    spans, kept = sorted(map(tuple, leakage.leaked_spans(d, i).collect())), sorted(map(repr, leakage.without_leaks(d, i, 100, 0.95).collect()))
+    monkeypatch.setattr(leakage, "PASS_BLOCKS", 20)
+    live, most = set(), []
+    make, drop = spark.sparkContext.broadcast, []
+
+    def counted(value):
+        b = make(value)
+        live.add(id(b))
+        most.append(len(value))
+        destroy = b.destroy
+        b.destroy = lambda: (live.discard(id(b)), destroy())
+        return b
+
+    monkeypatch.setattr(spark.sparkContext, "broadcast", counted)
+    assert sorted(map(tuple, leakage.leaks(d, i, block_words=20).collect())) == wanted
+    assert len(most) >= 5 and max(most) <= 20 and not live
+    assert sorted(map(tuple, leakage.leaked_spans(d, i, block_words=20).collect())) == spans
+    assert sorted(map(repr, leakage.without_leaks(d, i, 100, 0.95, block_words=20).collect())) == kept
+
+
 def test_leaked_words_are_cut(spark):
     a, b = (" ".join(f"{c}{k}" for k in range(22)) for c in "ab")
     own = [f"own{k}" for k in range(200)]
@@ -244,6 +371,17 @@ def test_no_names_after_strong_phrases(text):
     assert pii.spans(text) == []
 
 
+@pytest.mark.parametrize("text,found", [("see id 12345678Z", True), ("see id 12345678A", False), ("his nie X1234567L", True), ("his nie X1234567A", False), ("document 11144477735", True), ("document 11144477736", False), ("DNI 12345678A", True), ("order document 11144477735", False), ("parcel id 79927398713", False)])
+def test_check_digits_decide(text, found):
+    assert bool(pii.spans(text)) is found
+
+
+@pytest.mark.parametrize("text", ["Zyxel Okwudili, tel +44 20 7946 0018", "Reply to Brandtmere, Xoriane <x@mail.example.org>", "Translated by Zyxel Okwudili."])
+def test_context_decides_names_that_no_list_knows(text):
+    assert "name" in {s.kind for s in pii.spans(text)}
+    assert "name" not in {s.kind for s in pii.spans("Zyxel Okwudili crossed the bridge")}
+
+
 def test_redaction_keeps_the_rest():
     text = "Thanks to Marek Holkeholt (tel 555-0185), 34A Juniper Ave., for help."
     assert pii.redact(text, pii.spans(text)) == "Thanks to [NAME] (tel [PHONE]), [ADDRESS], for help."
