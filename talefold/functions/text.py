@@ -118,8 +118,16 @@ def label(c: Column) -> Column:
     return F.lower(strip(F.split(strip(c), "\n")[0]))
 
 
+#: How a form encodes characters that a path keeps or escapes otherwise.
+_FORM_TO_PATH = (("+", "%20"), ("*", "%2A"), ("%7E", "~"), ("%2F", "/"))
+
+
 def url_quote(c: Column) -> Column:
-    return F.replace(F.replace(F.url_encode(c), F.lit("+"), F.lit("%20")), F.lit("%2F"), F.lit("/"))
+    """Percent-encoded UTF-8; letters, digits, - . _ ~ and / stay."""
+    out = F.url_encode(c)
+    for form, path in _FORM_TO_PATH:
+        out = F.replace(out, F.lit(form), F.lit(path))
+    return out
 
 
 def found_sections(c: Column) -> Column:
@@ -151,12 +159,12 @@ def section_bodies(c: Column) -> Column:
 
 
 def short_sections(c: Column, least: int, expected: int = 5) -> Column:
-    """(n, sentences) of the expected sections with fewer than `least` sentences."""
+    """(n, sentences) of the expected sections with fewer than `least` sentences; a section that isn't there has none. Null for a null text."""
 
     def counted(bodies: Column) -> Column:
         return F.transform(F.sequence(F.lit(1), F.lit(expected)), lambda n: F.struct(n.alias("n"), sentence_count(F.coalesce(F.try_element_at(bodies, n), F.lit(""))).alias("sentences")))
 
-    return F.filter(let(section_bodies(c), counted), lambda s: s["sentences"] < least)
+    return F.when(c.isNotNull(), F.filter(let(section_bodies(c), counted), lambda s: s["sentences"] < least))
 
 
 #: Edges of a word in any script, alike in every Java version; the first is tested after a capital has been read.

@@ -85,7 +85,7 @@ def tagged_sentences(story: Column, ids: Column) -> Column:
 def query_terms(facts: Column, most: int = 5) -> Column:
     """The first capitalised words of facts about who, where, setting or event, each once whatever its case."""
     about = F.filter(facts, lambda f: F.lower(f["type"]).isin("who", "where", "setting", "event"))
-    tokens = F.flatten(F.transform(about, lambda f: F.regexp_extract_all(f["fact"], F.lit(r"\b[A-Z][a-z]{2,}\b"), F.lit(0))))
+    tokens = F.flatten(F.transform(about, lambda f: F.regexp_extract_all(f["fact"], F.lit(r"(?<![\p{L}\p{N}_])[A-Z][a-z]{2,}(?![\p{L}\p{N}_])"), F.lit(0))))
     firsts = F.filter(tokens, lambda t, i: F.array_position(F.transform(tokens, F.lower), F.lower(t)) == i + 1)
     return F.slice(firsts, 1, most)
 

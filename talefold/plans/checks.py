@@ -141,7 +141,12 @@ def _names(text: str) -> str:
 _DECIDE = """CASE WHEN doc_id % 5 = 0 THEN CASE WHEN doc_id % 2 = 0 THEN 'accept' WHEN doc_id % 7 <= 0 THEN 're_retrieve' ELSE 'refine' END WHEN doc_id % 11 <> 0 AND doc_id % 9 < 6 THEN 're_retrieve' WHEN doc_id % 7 <= 0 THEN 're_retrieve'
  WHEN doc_id % 10 >= 7 AND doc_id % 2 = 0 THEN 'accept' WHEN doc_id % 2 <> 0 THEN 'refine' WHEN doc_id % 7 < 3 THEN 're_retrieve' ELSE 'refine' END"""
 _KEEP = "'Keep every section, finish the final sentence, and stay strictly grounded in the facts.'"
+_TERMS = f"""WITH {_F}, t AS (SELECT doc_id, k, unnest(list_filter(regexp_extract_all(fact, '[\\p{{L}}\\p{{N}}_]+'), lambda x: regexp_full_match(x, '[A-Z][a-z]{{2,}}'))) AS t, unnest(range(len(list_filter(regexp_extract_all(fact, '[\\p{{L}}\\p{{N}}_]+'), lambda x: regexp_full_match(x, '[A-Z][a-z]{{2,}}'))))) AS i FROM f),
+ o AS (SELECT *, row_number() OVER (PARTITION BY doc_id, lower(t) ORDER BY k, i) AS nth FROM t), five AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY k, i) AS place FROM o WHERE nth = 1)"""
 ORACLE = {
+    "reformulate_query": f"{_TERMS} SELECT doc_id, 'what happened' || coalesce(' ' || string_agg(t, ' ' ORDER BY place), '') AS query FROM documents LEFT JOIN (SELECT * FROM five WHERE place <= 5) USING (doc_id) GROUP BY doc_id",
+    "gated_story": f"""WITH s AS {_names('text')}, a AS {_names("coalesce(title, '')")}, c AS (SELECT s.doc_id, count(*) AS found, count(*) FILTER (a.entity IS NULL) AS novel FROM s LEFT JOIN a USING (doc_id, entity) GROUP BY 1)
+ SELECT doc_id, length(CASE WHEN novel > 0 AND (novel > 8 OR novel / found::DOUBLE > 0.6) THEN array_to_string(list_slice(list_filter(list_transform(string_split(text, chr(10) || chr(10)), lambda p: {texts.strip('p')}), lambda p: p <> ''), 1, 6), chr(10) || chr(10)) ELSE text END)::INT AS n FROM documents LEFT JOIN c USING (doc_id) WHERE text IS NOT NULL""",
     "facts_parse": f"WITH {_F} SELECT doc_id, fact, type, array_to_string(src, ',') AS sources, quote FROM f",
     "facts_prompt": f"""WITH {_F}, n AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY k) AS i FROM f)
  SELECT doc_id, string_agg(i || '. [' || type || '] ' || fact || CASE WHEN quote <> '' THEN ' ("' || quote || '")' ELSE '' END || '  (source: ' || array_to_string(src, ', ') || ')', chr(10) ORDER BY k) AS prompt FROM n GROUP BY doc_id""",

@@ -153,7 +153,35 @@ _PLAIN = f"regexp_replace({strip(f'''regexp_replace(text, '[{SPACE}]+', ' ', 'g'
 
 _THOUGHT = "regexp_replace('<think>a' || chr(10) || 'b</think>' || coalesce(text, '') || '<think>c</think>', '(?s)<think>.*?</think>', '', 'g')"
 
+_SENTENCES = lambda t: f"list_filter(list_transform(string_split(regexp_replace({strip(t)}, '([.!?])[{SPACE}]+', '\\1' || chr(1), 'g'), chr(1)), lambda s: {strip('s')}), lambda s: s <> '')"
+# lines, those that are headers, and the bodies between them; of equal numbers the last counts
+_SECTIONS = f"""ln AS (SELECT row_id, unnest(string_split(raw_text, chr(10))) AS line, unnest(range(len(string_split(raw_text, chr(10))))) AS i FROM series_records WHERE raw_text IS NOT NULL),
+ hd AS (SELECT *, regexp_full_match(line, '(?i)\\[SECTION\\s+\\d+[^\\r]*?\\][ \\t]*\\r?') AS head FROM ln), nr AS (SELECT *, sum(head::INT) OVER (PARTITION BY row_id ORDER BY i) AS no FROM hd),
+ bd AS (SELECT row_id, no, max(CASE WHEN head THEN try_cast(regexp_extract(line, '(?i)SECTION\\s+(\\d+)', 1) AS INT) END) AS n, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT head), '') AS b FROM nr WHERE no > 0 GROUP BY row_id, no),
+ bodies AS (SELECT row_id, n AS section, {strip('arg_max(b, no)')} AS body FROM bd WHERE n IS NOT NULL GROUP BY row_id, n)"""
+_SHORT = f"""{_SECTIONS}, five AS (SELECT row_id, unnest(range(1, 6))::INT AS n FROM series_records WHERE raw_text IS NOT NULL),
+ counted AS (SELECT row_id, n, len(regexp_extract_all(coalesce(body, ''), '[^.!?]+[.!?]')) AS sentences FROM five LEFT JOIN bodies USING (row_id) WHERE bodies.section IS NULL OR true)""".replace("LEFT JOIN bodies USING (row_id) WHERE bodies.section IS NULL OR true", "LEFT JOIN bodies ON bodies.row_id = five.row_id AND section = n").replace("SELECT row_id, n, len(", "SELECT five.row_id, n, len(")
+
 ORACLE = {
+    "section_bodies": f"WITH {_SECTIONS} SELECT row_id, section, body FROM bodies",
+    "short_sections": f"WITH {_SHORT} SELECT row_id, n, sentences FROM counted WHERE sentences < 3",
+    "completeness_sections": f"""WITH {_SHORT.replace('raw_text', _RAW).replace(f'WHERE {_RAW} IS NOT NULL', '')},
+ few AS (SELECT row_id, 'sections below sentence minimum: ' || string_agg('SECTION ' || n || ' has ' || sentences || ' sentence(s) < 3', '; ' ORDER BY n) AS few FROM counted WHERE sentences < 3 GROUP BY row_id),
+ s AS (SELECT row_id, len({words(_RAW)}) AS word_count, list_filter(range(1, 3), lambda i: NOT list_contains({_FOUND}, i::INT)) AS m, {_CLEAN} AS ends_clean FROM series_records),
+ two AS (SELECT row_id, 'sections below sentence minimum: ' || string_agg('SECTION ' || n || ' has ' || sentences || ' sentence(s) < 3', '; ' ORDER BY n) AS few FROM counted WHERE sentences < 3 AND n <= 2 GROUP BY row_id),
+ r AS (SELECT s.row_id, list_filter([CASE WHEN len(m) > 0 THEN 'missing sections: [' || array_to_string(m, ', ') || ']' END, CASE WHEN NOT ends_clean THEN 'does not end on terminal punctuation' END,
+  CASE WHEN word_count < 50 THEN 'too short (' || word_count || ' < 50 words)' END, CASE WHEN len(m) = 0 THEN two.few END], lambda x: x IS NOT NULL) AS reasons FROM s LEFT JOIN two ON two.row_id = s.row_id)
+ SELECT row_id, len(reasons) = 0 AS ok, array_to_string(reasons, '; ') AS reasons FROM r""",
+    "sentence_split": f"WITH s AS (SELECT doc_id, {_SENTENCES('text')} AS s FROM documents WHERE text IS NOT NULL) SELECT doc_id, unnest(range(len(s)))::INT AS no, unnest(s) AS sentence FROM s",
+    "summaries": f"SELECT doc_id, CASE WHEN text IS NOT NULL THEN array_to_string(list_slice({_SENTENCES('left(text, 8000)')}, 1, 2), ' ') END AS summary FROM documents",
+    "url_quote": "SELECT doc_id, replace(url_encode(title), '%2F', '/') AS out FROM documents",
+    "format_extracted": f"""WITH RECURSIVE l AS (SELECT doc_id, list_filter(list_transform(string_split(replace(replace(coalesce(text, ''), chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(10)), lambda x: {strip('x')}), lambda x: x <> '') AS l FROM documents),
+ p AS (SELECT doc_id, l, 0 AS i, 0 AS para, 0 AS size, true AS fresh, []::INT[] AS paras FROM l UNION ALL
+  SELECT doc_id, l, i + 1, para + (fresh OR opens)::INT, CASE WHEN fresh OR opens THEN length(x) ELSE size + 1 + length(x) END, contains('.?!', right(x, 1)) AND CASE WHEN fresh OR opens THEN length(x) ELSE size + 1 + length(x) END >= 400, list_append(paras, para + (fresh OR opens)::INT)
+  FROM (SELECT *, l[i + 1] AS x, regexp_full_match(l[i + 1], '[A-Z0-9][A-Z0-9\\s\\-–—]{{5,}}|\\d{{1,4}}') AS opens FROM p WHERE i < len(l))),
+ u AS (SELECT doc_id, unnest(l) AS x, unnest(paras) AS para, unnest(range(len(l))) AS i FROM p WHERE i = len(l)),
+ j AS (SELECT doc_id, para, regexp_replace(string_agg(x, ' ' ORDER BY i), '[ \\t]+', ' ', 'g') AS t FROM u GROUP BY doc_id, para)
+ SELECT d.doc_id, coalesce(string_agg(t, chr(10) || chr(10) ORDER BY para), '') AS out FROM documents d LEFT JOIN j ON j.doc_id = d.doc_id GROUP BY d.doc_id""",
     "word_count": f"SELECT doc_id, len({words('text')}) AS n_words, len(regexp_extract_all(text, '[^.!?]+[.!?]')) AS n_sentences FROM documents",
     "completeness": f"""WITH s AS (SELECT row_id, len({words(_RAW)}) AS word_count, {_MISSING} AS m, {_CLEAN} AS ends_clean FROM series_records),
  r AS (SELECT *, list_filter([CASE WHEN len(m) > 0 THEN 'missing sections: [' || array_to_string(m, ', ') || ']' END, CASE WHEN NOT ends_clean THEN 'does not end on terminal punctuation' END,
