@@ -145,6 +145,22 @@ _P8_LEAKS = f"""{_P8_GRAMS}, hit AS (SELECT DISTINCT doc_id, item_id, n, dg.k AS
 SELECT doc_id, item_id, max(longest)::INT AS longest, arg_min(first, (-longest, first))::INT AS first_word, max(n)::INT AS words_in_doc FROM runs GROUP BY doc_id, item_id"""
 
 
+_P4_SETS = r"""
+WITH w AS (SELECT row_id, list_concat(regexp_extract_all(lower(coalesce(metadata.Title, '')), '[\p{L}\p{N}]+'), regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS w FROM ingest_manifest
+       WHERE len(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) >= 20),
+     s AS (SELECT row_id, list_sort(list_distinct(list_transform(range(1, len(w) - 1), lambda k: array_to_string(w[k:k + 2], ' ')))) AS s FROM w),
+     g AS (SELECT row_id, len(s) AS n, unnest(s) AS g FROM s),
+     pairs AS (SELECT a.row_id AS a, b.row_id AS b FROM g a JOIN g b ON a.g = b.g AND a.row_id < b.row_id GROUP BY ALL HAVING count(*) >= 0.6 * (max(a.n) + max(b.n) - count(*)) - 1e-9)"""
+_P4_GROUPS = _P4_SETS.replace("WITH w AS", "WITH RECURSIVE w AS") + """,
+     edges AS (SELECT a AS u, b AS v FROM pairs UNION ALL SELECT b, a FROM pairs),
+     reach AS (SELECT DISTINCT u AS row_id, u AS seen FROM edges UNION SELECT reach.row_id, v FROM reach JOIN edges ON seen = u),
+     lowest AS (SELECT row_id, min(seen) AS group_id FROM reach GROUP BY row_id),
+     copies AS (SELECT s, count(*) AS copies FROM s GROUP BY s),
+     links AS (SELECT u AS row_id, count(DISTINCT o.s) AS links FROM edges JOIN s m ON m.row_id = u JOIN s o ON o.row_id = v WHERE o.s <> m.s GROUP BY u)
+SELECT i.row_id, coalesce(group_id, i.row_id) AS group_id, coalesce(copies, 1) AS copies, coalesce(links, 0) AS links
+FROM ingest_manifest i LEFT JOIN lowest USING (row_id) LEFT JOIN s USING (row_id) LEFT JOIN copies USING (s) LEFT JOIN links USING (row_id)"""
+
+
 def queries() -> dict[str, Query]:
     return {name: f for name, f in globals().items() if name[0] == "p" and name[1].isdigit()}
 
@@ -152,6 +168,8 @@ def queries() -> dict[str, Query]:
 def oracle_sql() -> dict[str, str]:
     return {
         "p1_found": " UNION ALL ".join(_oversized_sql(t, c, limit) for t, c, limit, _ in SPLITS),
+        "p4_found": f"{_P4_SETS} SELECT a AS row_id_a, b AS row_id_b FROM pairs",
+        "p4_groups": _P4_GROUPS,
         "p8_found": _P8_SQL,
         "p8_spans": _P8_SPANS,
         "p8_leaks": _P8_LEAKS,
