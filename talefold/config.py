@@ -41,7 +41,7 @@ class EngineConfig:
     thinking_temperature: float | None = None
     fast_top_p: float = 0.8
     thinking_top_p: float | None = None
-    upsert_batch: int = 256
+    upsert_groups: int = 1
 
     def with_values(self, **values) -> "EngineConfig":
         return replace(self, **{k: v for k, v in values.items() if v is not None})
@@ -70,6 +70,20 @@ def pool_size(base: int, n: int, c: int, boost: float = 1.0) -> int:
     return round(max(base, n * max(1, c) * 4) * max(1.0, boost))
 
 
+def generation_settings(cfg: EngineConfig, mode: str | None = None, max_tokens: int | None = None) -> tuple[int, float, float]:
+    """Token budget, temperature and top-p of a mode; what thinking leaves open is that of fast."""
+    slow = (mode or "").strip().lower() in ("thinking", "think", "slow", "medium")
+
+    def of(thinking, fast):
+        return (thinking or fast) if slow else fast
+
+    return (
+        max_tokens if max_tokens is not None else of(cfg.thinking_max_tokens, cfg.fast_max_tokens),
+        of(cfg.thinking_temperature, cfg.fast_temperature),
+        of(cfg.thinking_top_p, cfg.fast_top_p),
+    )
+
+
 def backoff(attempts: int = 6, first: float = 2.0) -> list[float]:
     """Seconds to wait after each failed attempt of a model call."""
     return [first * 2**k for k in range(attempts)]

@@ -7,14 +7,16 @@ pandas UDF that loads once per worker. The stand-ins need no model.
 from __future__ import annotations
 
 import re
+import time
 from dataclasses import dataclass
-from typing import Callable, Iterator
+from typing import Callable, Iterator, Protocol
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from talefold.config import backoff
 from talefold.functions.text import OUTLINE, entities, sentences, word_count
 from talefold.operators.enrich import positional_tag
 from talefold.operators.retrieve import overlap_score
@@ -94,6 +96,52 @@ class Models:
     evaluate: Callable[[Column], Column] = evaluate
 
 
+class Generator(Protocol):
+    """What a text generator of a pipeline offers: one prompt in, one text out."""
+
+    def invoke(self, prompt: str) -> str: ...
+
+
+#: What in an error's message makes another attempt worth while.
+_AGAIN = re.compile(r"503|unavailable|high demand|429|rate limit|resource exhausted", re.I)
+
+
+def retried(call: Callable[[str], str], attempts: int = 6, first: float = 2.0, sleep: Callable[[float], None] = time.sleep) -> Callable[[str], str]:
+    """`call`, again after passing errors, with the waits of backoff(); the last error, and one that won't pass, is raised."""
+
+    def run(prompt: str) -> str:
+        waits = backoff(attempts, first)
+        for k, wait in enumerate(waits):
+            try:
+                return call(prompt)
+            except Exception as e:  # noqa: BLE001
+                if k + 1 == len(waits) or not _AGAIN.search(str(e)):
+                    raise
+                sleep(wait)
+        raise ValueError("no attempts")
+
+    return run
+
+
+def served(make: Callable[[], Generator], attempts: int = 6) -> Callable[[Column], Column]:
+    """A generator as a column function: made once for each worker, called again after passing errors; null where it fails for good."""
+
+    @F.pandas_udf("string")
+    def answer(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        call = retried(make().invoke, attempts)
+
+        def one(prompt: str | None) -> str | None:
+            try:
+                return None if prompt is None else call(prompt)
+            except Exception:  # noqa: BLE001  # one failed prompt must not end the job
+                return None
+
+        for part in parts:
+            yield part.map(one)
+
+    return answer
+
+
 def first_that_answers(*calls: Callable[[Column], Column]) -> Callable[[Column], Column]:
     """Providers in order of priority: the first that gives no null."""
     return lambda c: F.coalesce(*[call(c) for call in calls])

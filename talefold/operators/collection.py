@@ -1,17 +1,30 @@
-"""A collection: chunks by id, kept as snapshots of Parquet with a pointer to the newest.
-
-A snapshot is never overwritten: each change writes the next one, then moves the
-pointer. Rows are (id, document, metadata map, version).
+"""A collection: chunks by id with their vectors, kept as segments of Parquet and a log of which segments count.
+
+A change writes one segment with the rows it changes (a delta) and one log
+entry. A log entry is created, never overwritten, so that of two writers of one
+version the second fails. Where FANOUT segments of one level have gathered they
+are merged into one of the next level, so that a row is rewritten about as often
+as the logarithm of the collection's size to that base. Rows are (id, document,
+metadata map, version, embedding); segments also hold who wrote them (seq) and
+whether a row is deleted.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import json
+import uuid
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from talefold.functions.text import preview
 
-SCHEMA = "id string, document string, metadata map<string,string>, version bigint"
+SCHEMA = "id string, document string, metadata map<string,string>, version bigint, embedding array<float>"
+SEGMENT = SCHEMA + ", seq bigint, deleted boolean"
+COLUMNS = ["id", "document", "metadata", "version", "embedding"]
+#: Segments of one level that are merged into one of the next.
+FANOUT = 8
 
 
 def upserted(existing: DataFrame, incoming: DataFrame, key: str = "id", version: str = "version") -> DataFrame:
@@ -63,13 +76,27 @@ def listing(df: DataFrame, offset: int = 0, limit: int | None = None) -> DataFra
     return page(df, "id", offset, limit).select("id", preview(F.col("document")).alias("preview"))
 
 
+def _merged(rows: DataFrame, keep_deleted: bool) -> DataFrame:
+    """Of each id the row that counts: the greatest version, then the last written, among those written after its last deletion."""
+    by = Window.partitionBy("id")
+    gone = F.coalesce(F.max(F.when(F.col("deleted"), F.col("seq"))).over(by), F.lit(-1))
+    rows = rows.withColumn("_gone", gone).where((F.col("seq") > F.col("_gone")) | (F.col("deleted") & (F.col("seq") == F.col("_gone"))))
+    last = F.row_number().over(Window.partitionBy("id", "deleted").orderBy(F.desc("version"), F.desc("seq")))
+    rows = rows.withColumn("_k", last).where("_k = 1").drop("_gone", "_k")
+    return rows if keep_deleted else rows.where(~F.col("deleted"))
+
+
 class Collection:
-    """A named collection in a folder that all executors share."""
+    """A named collection in a folder that all executors share.
+
+    `embed` makes the vectors of documents as they are written; without it a
+    collection keeps the vectors that rows bring, if any.
+    """
 
-    def __init__(self, spark: SparkSession, root: str, name: str):
+    def __init__(self, spark: SparkSession, root: str, name: str, embed: Callable[[Column], Column] | None = None):
         if not name.strip():
             raise ValueError("a collection needs a name")
-        self.spark, self.path = spark, f"{root.rstrip('/')}/{name.strip()}"
+        self.spark, self.path, self.embed = spark, f"{root.rstrip('/')}/{name.strip()}", embed
 
     def _fs(self):
         jvm = self.spark._jvm
@@ -77,46 +104,120 @@ class Collection:
         return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), jvm.org.apache.hadoop.fs.Path
 
     def version(self) -> int:
-        """The newest complete snapshot; -1 where there is none."""
+        """The newest log entry; -1 where there is none."""
         fs, path = self._fs()
-        if not fs.exists(path(self.path)):
+        log = path(f"{self.path}/log")
+        if not fs.exists(log):
             return -1
-        done = [f.getPath().getName() for f in fs.listStatus(path(self.path)) if fs.exists(path(f"{self.path}/{f.getPath().getName()}/_SUCCESS"))]
-        return max((int(n[1:]) for n in done if n.startswith("v")), default=-1)
+        names = [f.getPath().getName() for f in fs.listStatus(log)]
+        return max((int(n[:-5]) for n in names if n.endswith(".json") and n[:-5].isdigit()), default=-1)
+
+    def segments(self, version: int | None = None) -> list[dict]:
+        """What a version consists of: folders with their level and the range of changes (first, last seq) they hold, oldest first."""
+        v = self.version() if version is None else version
+        if v < 0:
+            return []
+        return json.loads("".join(r[0] for r in self.spark.read.text(f"{self.path}/log/{v:012d}.json").collect()))
+
+    def create(self) -> int:
+        """Make the collection if it isn't there."""
+        return self.version() if self.version() >= 0 else self._commit(-1, [])
+
+    def _commit(self, seen: int, segments: list[dict]) -> int:
+        """Write log entry seen + 1; an error if another writer has done so since `seen` was read."""
+        fs, path = self._fs()
+        target = path(f"{self.path}/log/{seen + 1:012d}.json")
+        try:
+            out = fs.create(target, False)
+        except Exception as e:
+            raise RuntimeError(f"version {seen + 1} of {self.path} was written by somebody else") from e
+        out.write(bytearray(json.dumps(segments).encode()))
+        out.close()
+        return seen + 1
+
+    def _segment(self, rows: DataFrame, level: int, first: int, last: int) -> dict:
+        name = f"s{first:012d}-{uuid.uuid4().hex}"
+        rows.select(*COLUMNS, "seq", "deleted").write.parquet(f"{self.path}/{name}")
+        return {"name": name, "level": level, "first": first, "last": last}
+
+    def _rows(self, segments: list[dict]) -> DataFrame:
+        if not segments:
+            return self.spark.createDataFrame([], SEGMENT)
+        return self.spark.read.schema(SEGMENT).parquet(*[f"{self.path}/{s['name']}" for s in segments])
+
+    def _append(self, rows: DataFrame, seen: int, deleted: bool = False) -> int:
+        """One segment of these rows, then merges of what has gathered."""
+        seq = seen + 1
+        segments = [*self.segments(seen), self._segment(rows.withColumn("seq", F.lit(seq).cast("bigint")).withColumn("deleted", F.lit(deleted)), 0, seq, seq)]
+        while len(segments) >= FANOUT and len({s["level"] for s in segments[-FANOUT:]}) == 1:
+            old, tail = segments[:-FANOUT], segments[-FANOUT:]
+            # deletions are forgotten once no older segment is left
+            segments = [*old, self._segment(_merged(self._rows(tail), bool(old)), tail[0]["level"] + 1, tail[0]["first"], tail[-1]["last"])]
+        return self._commit(seen, segments)
 
     def read(self) -> DataFrame:
-        """All rows; of a collection that doesn't exist, none."""
-        v = self.version()
-        return self.spark.read.schema(SCHEMA).parquet(f"{self.path}/v{v}") if v >= 0 else self.spark.createDataFrame([], SCHEMA)
-
-    def write(self, df: DataFrame) -> int:
-        v = self.version() + 1
-        df.select("id", "document", "metadata", "version").write.mode("overwrite").parquet(f"{self.path}/v{v}")
-        return v
-
-    def upsert(self, incoming: DataFrame) -> int:
-        return self.write(upserted(self.read(), incoming))
+        """All rows; of a collection that doesn't exist, none. A single segment without deletions is read as it is."""
+        segments = self.segments()
+        rows = self._rows(segments)
+        if len(segments) == 1 and segments[0]["level"] > 0:
+            return rows.select(*COLUMNS)
+        return _merged(rows, False).select(*COLUMNS)
+
+    def _shaped(self, df: DataFrame) -> DataFrame:
+        given = F.col("embedding") if "embedding" in df.columns else F.lit(None).cast("array<float>")
+        vector = self.embed(F.col("document")) if self.embed else given
+        return df.select("id", "document", F.col("metadata").cast("map<string,string>").alias("metadata"), F.col("version").cast("bigint").alias("version"), vector.cast("array<float>").alias("embedding"))
+
+    def upsert(self, incoming: DataFrame, batch: int | None = None) -> int:
+        """Write these rows: the greatest version of an id counts, the later written one of equal versions. Null ids are dropped.
+
+        `batch` writes ids in that many groups, one segment each, so that one
+        write never holds more than its group.
+        """
+        seen = self.version()
+        rows = self._shaped(incoming)
+        empty = self.spark.createDataFrame([], SCHEMA)
+        if batch is None or batch <= 1:
+            return self._append(upserted(empty, rows), seen)
+        for k in range(batch):
+            seen = self._append(upserted(empty, rows.where(F.pmod(F.xxhash64("id"), F.lit(batch)) == k)), seen)
+        return seen
 
     def insert(self, ids: list[str], document: str, metadata: dict[str, str]) -> int:
-        return self.write(inserted(self.read(), ids, document, metadata))
+        """The same document under every new id; ids that exist stay."""
+        seen = self.version()
+        all_rows = inserted(self.read().drop("embedding"), ids, document, metadata)
+        new = all_rows.join(self.read().select("id"), "id", "left_anti")
+        return self._append(self._shaped(new), seen)
 
     def update(self, changes: DataFrame) -> int:
-        return self.write(updated(self.read(), changes))
+        """New documents (id, document) for ids that exist; only rows that change are written, and embedded, again."""
+        seen = self.version()
+        touched = self.read().join(changes.select("id").distinct(), "id", "left_semi")
+        return self._append(self._shaped(updated(touched, changes).where("changed").drop("changed")), seen)
 
     def delete(self, ids: DataFrame) -> int:
-        return self.write(deleted(self.read(), ids))
+        seen = self.version()
+        gone = self.read().join(ids.select("id").distinct(), "id", "left_semi").withColumn("document", F.lit(None).cast("string")).withColumn("metadata", F.lit(None).cast("map<string,string>")).withColumn("embedding", F.lit(None).cast("array<float>"))
+        return self._append(gone, seen, True)
 
     def reset(self) -> int:
-        """An empty snapshot; older ones stay until vacuum()."""
-        return self.write(self.spark.createDataFrame([], SCHEMA))
+        """An empty version; older segments stay until vacuum()."""
+        return self._commit(self.version(), [])
 
-    def vacuum(self, keep: int = 1) -> None:
+    def vacuum(self) -> None:
+        """Delete the segments that the newest version doesn't name."""
         fs, path = self._fs()
-        for v in range(self.version() - keep + 1):
-            fs.delete(path(f"{self.path}/v{v}"), True)
+        kept = {s["name"] for s in self.segments()}
+        for f in fs.listStatus(path(self.path)):
+            name = f.getPath().getName()
+            if name.startswith("s") and name not in kept:
+                fs.delete(f.getPath(), True)
 
     def get(self, key: str) -> DataFrame:
-        return self.read().where(F.col("id") == key)
+        """The row of an id; the filter reaches the scan."""
+        segments = self.segments()
+        return _merged(self._rows(segments).where(F.col("id") == key), False).select(*COLUMNS)
 
     def count(self) -> int:
         return self.read().count()
@@ -124,14 +225,28 @@ class Collection:
     def peek(self, n: int = 5, width: int = 500) -> DataFrame:
         return page(self.read(), limit=n).select("id", F.substring("document", 1, width).alias("document"))
 
-    def ids(self, offset: int = 0, limit: int | None = None) -> DataFrame:
-        return page(self.read().select("id"), offset=offset, limit=limit)
+    def ids(self, offset: int = 0, limit: int | None = None) -> tuple[DataFrame, int]:
+        """A page of ids, and how many there are in all."""
+        ids = self.read().select("id")
+        return page(ids, offset=offset, limit=limit), ids.count()
 
     def list(self, offset: int = 0, limit: int | None = None) -> DataFrame:
         return listing(self.read(), offset, limit)
 
     def content(self) -> DataFrame:
         """What searches see: rows whose query_type is content."""
-        return self.read().where(F.element_at("metadata", "query_type") == "content")
+        return self.read().where(F.try_element_at("metadata", F.lit("query_type")) == "content")
+
+
+class Collections:
+    """The collections of a folder: one is active, others can be made and chosen."""
 
+    def __init__(self, spark: SparkSession, root: str, name: str, embed: Callable[[Column], Column] | None = None):
+        self.spark, self.root, self.embed = spark, root, embed
+        self.active = self.choose(name)
 
+    def choose(self, name: str) -> Collection:
+        """Make the named collection if there is none, and the active one."""
+        self.active = Collection(self.spark, self.root, name, self.embed)
+        self.active.create()
+        return self.active

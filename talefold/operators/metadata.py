@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from talefold.functions.chunk import chunks_of
-from talefold.functions.text import falsy, is_blank, strip
+from talefold.functions.text import falsy, is_blank, parse_object, strip
 
 RECORD = """Is_series boolean, id string, series struct<id:string,series_name:string>, volume struct<volume_id:string,volume_name:string,volume_number:int>,
 meta struct<author:string,title:string>, chapter struct<chapter_id:string,chapter_number:int,chapter_name:string>, summary string, raw_text string,
@@ -37,6 +37,24 @@ def flat_list(c: Column) -> Column:
     return F.array_join(F.filter(c, lambda x: ~is_blank(x)), ", ")
 
 
+def object_or_empty(c: Column) -> Column:
+    """JSON text of an object, without blanks; {} for anything else."""
+    return F.coalesce(F.to_json(parse_object(c)), F.lit("{}"))
+
+
+def flattened(c: Column) -> Column:
+    """A JSON object as a map of texts: nulls go, lists of texts are joined, other lists and objects stay as JSON, truth values and numbers as text; an empty map for anything else."""
+    entries = F.try_variant_get(parse_object(c), "$", "map<string,variant>")
+    kept = F.map_filter(entries, lambda k, v: v.isNotNull() & ~F.is_variant_null(v))
+
+    def text_of(v: Column) -> Column:
+        kind = F.schema_of_variant(v)
+        texts = flat_list(F.try_variant_get(v, "$", "array<string>"))
+        return F.when(kind == "ARRAY<STRING>", texts).when(kind.rlike("^(?:ARRAY|OBJECT)"), F.to_json(v)).otherwise(F.try_variant_get(v, "$", "string"))
+
+    return F.coalesce(F.transform_values(kept, lambda k, v: text_of(v)), F.create_map().cast("map<string,string>"))
+
+
 def without_nulls(c: Column) -> Column:
     return F.map_filter(c, lambda k, v: v.isNotNull())
 

@@ -9,6 +9,7 @@ from talefold.config import EngineConfig
 from talefold.models import embed
 from talefold.operators import evaluate, facts
 from talefold.plans import loop, texts
+from talefold.session import stage
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -108,7 +109,7 @@ def best_candidate(spark, sf):
 
 def _loop_inputs(spark, sf) -> tuple[DataFrame, DataFrame]:
     docs = _table(spark, sf, "documents").where("text is not null").select(F.col("doc_id").alias("id"), "text", "title")
-    corpus = docs.withColumn("embedding", embed(F.col("text"))).where("embedding is not null")
+    corpus = stage(docs.withColumn("embedding", embed(F.col("text"))).where("embedding is not null"), "loop-corpus")  # embedded once, as a collection stores it
     return corpus, _table(spark, sf, "retrieval_cases").select(F.col("item_id").alias("query_id"), "query")
 
 

@@ -11,6 +11,8 @@ from talefold.config import EngineConfig, pool_size
 from talefold.models import Models
 from talefold.operators.evaluate import average, best_candidates, completeness, criterion, decision, feedback, parse_evaluation
 from talefold.operators.facts import gate, parse_facts, prompt_lines, reformulated
+from talefold.functions.text import short_sections
+from talefold.operators.results import section_feedback
 from talefold.operators.retrieve import hybrid
 from talefold.session import stage
 
@@ -23,10 +25,10 @@ class Result:
     answers: DataFrame
 
 
-def _facts(corpus: DataFrame, queries: DataFrame, cfg: EngineConfig, models: Models, n_stories: int, boost: float) -> DataFrame:
+def _facts(corpus: DataFrame, queries: DataFrame, cfg: EngineConfig, models: Models, n_stories: int, boost: float, rerank: bool = True) -> DataFrame:
     """query_id, facts for each query, by retrieval and extraction; no hits give no facts."""
     asked = queries.select("query_id", F.col("current").alias("query"), models.embed(F.col("current")).alias("query_vector"))
-    hits = hybrid(corpus, asked, pool_size(cfg.pool_base, n_stories, cfg.chunks_per_story, boost), n_stories, cfg.chunks_per_story, cfg.bm25_weight, cfg.rrf_k, cfg.bm25)
+    hits = hybrid(corpus, asked, pool_size(cfg.pool_base, n_stories, cfg.chunks_per_story, boost), n_stories, cfg.chunks_per_story, cfg.bm25_weight, cfg.rrf_k, cfg.bm25, pair_score=models.pair_score if cfg.rerank_model and rerank else None)
     listed = hits.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pick", F.col("id").cast("string").alias("chunk_id"), "text"))), lambda c: F.struct(c["chunk_id"].alias("chunk_id"), c["text"].alias("text"))).alias("chunks"))
     return listed.select("query_id", parse_facts(models.extract_facts(F.col("chunks"))).alias("facts"))
 
@@ -60,7 +62,7 @@ def agentic(corpus: DataFrame, queries: DataFrame, cfg: EngineConfig = EngineCon
         boost, n_stories = boost * boost_step, max(n_stories, wide)
         refine = left.where("action = 'refine'").select("query_id", "query", "current", F.col("story").alias("draft"), "facts")
         again = left.where("action = 're_retrieve'").select("query_id", "query", reformulated(F.col("query"), F.col("facts")).alias("current"), F.lit(None).cast("string").alias("draft"))
-        state = stage(refine.unionByName(again.join(_facts(corpus, again, cfg, models, n_stories, boost), "query_id", "left")), "loop-state")
+        state = stage(refine.unionByName(again.join(_facts(corpus, again, cfg, models, n_stories, boost, False), "query_id", "left")), "loop-state")
     every = rounds[0]
     for more in rounds[1:]:
         every = every.unionByName(more)
@@ -68,13 +70,13 @@ def agentic(corpus: DataFrame, queries: DataFrame, cfg: EngineConfig = EngineCon
 
 
 def three_steps(corpus: DataFrame, queries: DataFrame, cfg: EngineConfig = EngineConfig(), models: Models = Models()) -> DataFrame:
-    """query_id, facts, prompt, story: retrieval, extraction and one generation; sections that are too short get one more pass."""
+    """query_id, facts, prompt, feedback, story: retrieval, extraction and one generation; sections that are too short get one more pass, with the feedback that names them."""
     state = queries.select("query_id", "query", F.col("query").alias("current"))
     rows = state.join(_facts(corpus, state, cfg, models, cfg.n_stories, 1.0), "query_id", "left")
     told = F.array_join(F.transform("facts", lambda f: f["fact"]), " ")
-    first = models.generate(told)
-    again = completeness(first, 0, 5, cfg.min_sentences)["ok"]
-    return rows.select("query_id", "facts", prompt_lines(F.col("facts")).alias("prompt"), F.when(again, first).otherwise(models.generate(told, first)).alias("story"))
+    rows = rows.withColumn("first", models.generate(told)).withColumn("short", short_sections(F.col("first"), cfg.min_sentences))
+    story = F.when(F.size("short") == 0, F.col("first")).otherwise(models.generate(told, F.col("first")))
+    return rows.select("query_id", "facts", prompt_lines(F.col("facts")).alias("prompt"), section_feedback(F.col("short"), cfg.min_sentences).alias("feedback"), story.alias("story"))
 
 
 STAGES = ("retrieve", "extract", "generate")

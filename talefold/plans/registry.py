@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from talefold.plans import checks, ingest, retrieval, texts
+from talefold.plans import checks, ingest, results, retrieval, texts
 
 Query = Callable[[SparkSession, str], DataFrame]
-_PARTS = (retrieval, texts, ingest, checks)
+_PARTS = (retrieval, texts, ingest, checks, results)
 
 
 def queries() -> dict[str, Query]:

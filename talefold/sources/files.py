@@ -39,8 +39,8 @@ def records(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def manifest(spark: SparkSession, path: str) -> DataFrame:
-    """Manifest rows of JSON lines; chunk_id falls back to id, rows without either are dropped."""
-    rows = spark.read.schema(MANIFEST.replace("\n", " ")).json(path)
+    """Manifest rows of JSON lines; chunk_id falls back to id, rows without either are dropped. `file` and `line` tell their order."""
+    rows = spark.read.schema(MANIFEST.replace("\n", " ")).json(path).withColumn("file", F.col("_metadata.file_path")).withColumn("line", F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row")))
     return rows.withColumn("chunk_id", first_of(F.col("metadata.chunk_id"), F.col("id"))).where("chunk_id is not null")
 
 
@@ -68,6 +68,28 @@ def template(path: str) -> tuple[dict, dict]:
     return {}, {k: visible(v) for k, v in visible(raw).items() if isinstance(v, dict)}
 
 
+#: What stands for a source text that isn't there.
+NOT_PROVIDED = "Not provided."
+
+
+def with_sources(texts: DataFrame, sources: DataFrame) -> DataFrame:
+    """texts (name, text) with `source_text`: the text of the source (name, text) of that name, NOT_PROVIDED where there is none. Of several sources of a name, the greatest text counts."""
+    given = sources.groupBy("name").agg(F.max("text").alias("source_text"))
+    return texts.join(given, "name", "left").withColumn("source_text", F.coalesce("source_text", F.lit(NOT_PROVIDED)))
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
+def listed(spark: SparkSession, folder: str, suffixes: list[str]) -> DataFrame:
+    """path, length, modified of the files with these endings, whatever their case, in the order of their paths."""
+    ending = "|".join(re.escape(s.lower()) for s in suffixes)
+    found = spark.read.format("binaryFile").load(folder).select("path", "length", F.col("modificationTime").alias("modified"))
+    return found.where(F.lower("path").rlike(rf"(?:{ending})\z")).orderBy("path")
+
+
 _TAG = re.compile(r"(?is)<(script|style)\b.*?</\1>|<[^>]+>")
 
 

@@ -4,17 +4,21 @@ import json
 import math
 import zipfile
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from talefold import config
 from talefold.models import hash_vector
-from talefold.operators import collection, enrich, evaluate, facts, metadata, retrieve
+from talefold.operators import collection, enrich, evaluate, facts, metadata, results, retrieve
 from talefold.plans import loop
 from talefold.plans.pipeline import Engine
 from talefold.sources import files, sinks
 
 
+FOUR = "id string, document string, metadata map<string,string>, version bigint"
+
+
 def test_dense_topk_is_exact_and_ties_go_by_id(spark):
     rows = [(3, [1.0, 0.0], "a"), (1, [2.0, 0.0], "b"), (2, [0.0, 1.0], "c"), (4, None, "d"), (5, [0.0, 0.0], "e"), (None, [1.0, 0.0], "f")]
     corpus = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, rank string").repartition(3)
@@ -56,17 +60,17 @@ def test_bm25_negative_weights_are_floored(spark):
 def test_collection_life(spark, tmp_path):
     c = collection.Collection(spark, f"file://{tmp_path}", "stories")
     assert c.version() == -1 and c.count() == 0
-    rows = spark.createDataFrame([("a", "one", {"k": "v"}, 1), ("b", "two", None, 1), (None, "x", None, 9)], collection.SCHEMA)
+    rows = spark.createDataFrame([("a", "one", {"k": "v"}, 1), ("b", "two", None, 1), (None, "x", None, 9)], FOUR)
     c.upsert(rows)
     c.upsert(rows)
     assert c.count() == 2
-    c.upsert(spark.createDataFrame([("a", "newer", {"k": "w"}, 2)], collection.SCHEMA))
+    c.upsert(spark.createDataFrame([("a", "newer", {"k": "w"}, 2)], FOUR))
     assert c.get("a").first()["document"] == "newer"
     c.insert(["b", "c"], "note", {})
     assert {r["id"]: r["document"] for r in c.read().collect()} == {"a": "newer", "b": "two", "c": "note"}
     c.update(spark.createDataFrame([("c", "other"), ("zz", "none")], "id string, document string"))
     c.delete(spark.createDataFrame([("a",)], "id string"))
-    assert [r["id"] for r in c.ids().collect()] == ["b", "c"] and c.get("c").first()["document"] == "other"
+    assert [r["id"] for r in c.ids()[0].collect()] == ["b", "c"] and c.get("c").first()["document"] == "other"
     assert [r["id"] for r in c.list(offset=1, limit=5).collect()] == ["c"]
     c.reset()
     assert c.count() == 0
@@ -77,6 +81,106 @@ def test_collection_life(spark, tmp_path):
         collection.Collection(spark, "x", " ")
 
 
+def rewritten(c):
+    """Rows in all segments that the collection names."""
+    return [s["level"] for s in c.segments()], c._rows(c.segments()).count()
+
+
+def test_a_write_costs_its_rows_and_a_bounded_merge(spark, tmp_path):
+    c = collection.Collection(spark, f"file://{tmp_path}", "c")
+    frame = lambda low, n, v: spark.range(low, low + n).selectExpr("cast(id as string) id", "concat('d', id) document", "cast(null as map<string,string>) metadata", f"cast({v} as bigint) version")
+    c.upsert(frame(0, 500, 0))
+    c.upsert(frame(10, 5, 1))
+    assert rewritten(c) == ([0, 0], 505) and c.count() == 500
+    for k in range(6):
+        c.upsert(frame(20, 2, 2 + k))
+    assert rewritten(c) == ([1], 500)  # eight segments became one, without the rows they replace
+    c.delete(spark.createDataFrame([("20",), ("nobody",)], "id string"))
+    c.upsert(frame(20, 1, 0))  # an older version counts again after a deletion
+    assert c.count() == 500 and c.get("20").first()["version"] == 0
+    c.vacuum()
+    assert c.count() == 500
+
+
+def test_two_writers_cannot_take_one_version(spark, tmp_path):
+    a, b = (collection.Collection(spark, f"file://{tmp_path}", "c") for _ in range(2))
+    a.create()
+    seen = b.version()
+    a.upsert(spark.createDataFrame([("x", "one", None, 1)], "id string, document string, metadata map<string,string>, version bigint"))
+    with pytest.raises(RuntimeError):
+        b._commit(seen, [])
+    assert a.count() == 1
+
+
+def test_only_changed_rows_are_embedded_again(spark, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+
+    def vectors(text):
+        @F.pandas_udf("array<float>")
+        def run(texts: pd.Series) -> pd.Series:
+            seen.add(len(texts))
+            return texts.map(lambda t: [float(len(t or ""))])
+
+        return run(text)
+
+    c = collection.Collection(spark, f"file://{tmp_path}", "c", vectors)
+    c.upsert(spark.createDataFrame([(str(k), f"text {k}", None, 1) for k in range(50)], "id string, document string, metadata map<string,string>, version bigint"))
+    before = seen.value
+    c.update(spark.createDataFrame([("1", "text 1"), ("2", "a longer text"), ("none", "x")], "id string, document string"))
+    assert before == 50 and seen.value == 51
+    assert {r["id"]: r["embedding"] for r in c.read().where("id in ('1', '2')").collect()} == {"1": [6.0], "2": [13.0]}
+
+
+def test_stream_of_several_batches_equals_the_batch(spark, tmp_path):
+    from talefold.plans.pipeline import collection_rows
+    from talefold.streaming import ingest as stream
+
+    (tmp_path / "in").mkdir()
+    for k in range(5):
+        (tmp_path / "in" / f"S{k}.txt").write_text(f"Story {k} of the red fox who counted lanterns by the mill. " * 60)
+    c = collection.Collection(spark, f"file://{tmp_path}/c", "s")
+    q = stream.ingest(stream.story_stream(spark, f"file://{tmp_path}/in", 2), c, f"file://{tmp_path}/check")
+    q.awaitTermination()
+    assert len(c.segments()) >= 2
+    rows = collection_rows(files.stories(spark, f"file://{tmp_path}/in"))
+    assert sorted(map(tuple, c.read().select("id", "document").collect())) == sorted(map(tuple, rows.select("id", "document").collect()))
+
+
+def test_retries():
+    from talefold.models import retried
+
+    waits, calls = [], []
+
+    def flaky(prompt):
+        calls.append(prompt)
+        if len(calls) < 3:
+            raise RuntimeError("503 high demand")
+        return "done"
+
+    assert retried(flaky, sleep=waits.append)("p") == "done" and waits == [2, 4]
+    with pytest.raises(RuntimeError):
+        retried(lambda p: (_ for _ in ()).throw(RuntimeError("bad key")), sleep=waits.append)("p")
+    assert waits == [2, 4]
+
+
+def test_filters_and_templates(spark):
+    df = spark.createDataFrame([(1, "a"), (2, "b"), (3, None)], "n int, s string")
+    ids = lambda where: [r["n"] for r in retrieve.filtered(df, where).orderBy("n").collect()]
+    assert ids({"s": "a"}) == [1] and ids({"s": None}) == [3] and ids({"s": {"$ne": "a"}}) == [2, 3] and ids({"$or": [{"n": {"$gt": 2}}, {"s": {"$in": ["a"]}}]}) == [1, 3] and ids({"s": {"$nin": ["a"]}}) == [2, 3]
+    with pytest.raises(ValueError):
+        ids({"s": {"$like": "a"}})
+    with pytest.raises(ValueError):
+        results.filled("{nobody}")
+
+
+def test_text_ids_with_one_hash_are_told_apart(spark, monkeypatch):
+    corpus = spark.createDataFrame([("a", "one", "A", [1.0, 0.0]), ("b", "two", "B", [0.0, 1.0]), ("c", "three", "C", [0.6, 0.8])], "id string, text string, title string, embedding array<float>")
+    queries = spark.createDataFrame([(1, "one", [1.0, 0.1])], "query_id int, query string, query_vector array<float>")
+    wanted = [r["id"] for r in retrieve.candidate_pool(corpus, queries, 2).orderBy("rank").collect()]
+    monkeypatch.setattr(retrieve.F, "xxhash64", lambda *c: F.lit(7).cast("bigint"))
+    assert wanted == [r["id"] for r in retrieve.candidate_pool(corpus, queries, 2).orderBy("rank").collect()] == ["a", "c"]
+
+
 def one(spark, column, value):
     return spark.createDataFrame([(value,)], "x string").select(column(F.col("x")).alias("y")).first()[0]
 
@@ -186,6 +290,9 @@ def test_engine(spark, tmp_path):
     (tmp_path / "in" / "Fox.txt").write_text("The red fox of Marsh Hill counted lanterns. " * 80)
     (tmp_path / "in" / "Owl.txt").write_text("An owl slept above the old mill in Thornford. " * 20)
     engine = Engine(spark, config.EngineConfig(collection_path=f"file://{tmp_path}/c", min_words=10, min_sentences=0))
+    steps = engine.run(["fetch", "extract", "prepare", "enrich", "reset", "ingest"], f"file://{tmp_path}/in", f"file://{tmp_path}/work")
+    assert steps == {"fetch": "2 files", "extract": "done", "prepare": "done", "enrich": "done", "reset": "done", "ingest": "done"}
+    assert engine.status()["rows"] > 2 and {r["m"] for r in engine.collection.read().selectExpr("metadata['section'] m").collect()} <= set(enrich.TAGS)
     assert engine.run(["reset", "ingest"], f"file://{tmp_path}/in") == {"reset": "done", "ingest": "done"}
     n = engine.collection.count()
     engine.ingest_stories(f"file://{tmp_path}/in")
