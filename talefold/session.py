@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import shutil
 import tempfile
 import uuid
@@ -46,21 +47,47 @@ def scratch_dir(spark: SparkSession) -> str:
     if not folder:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = "file://" + tempfile.mkdtemp(prefix="talefold-")
+        own = tempfile.mkdtemp(prefix="talefold-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        folder = "file://" + own
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
 
+def _own_scratch(spark: SparkSession) -> str:
+    """This application's part of the scratch folder."""
+    return f"{scratch_dir(spark)}/talefold-{spark.sparkContext.applicationId}"
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write `df` once to the shared folder and read it back.
 
     Cuts the lineage as checkpoint() does, but computes the plan one time
-    only and keeps the columns prunable; lost executors reread the files.
+    only and keeps the columns prunable; lost executors reread the files. They
+    stay until unstage() or clear_scratch().
     """
     spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{_own_scratch(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._staged = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def unstage(df: DataFrame | None) -> None:
+    """Delete the files of a staged table that nothing will read again."""
+    if path := getattr(df, "_staged", None):
+        _delete(df.sparkSession, path)
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete all staged files of this application: once its results are written, nothing reads them."""
+    _delete(spark, _own_scratch(spark))
 
 
 _SHIPPED: set[str] = set()

@@ -18,6 +18,11 @@ def spark():
         configure(s)
     s.sparkContext.setLogLevel("ERROR")
     yield s
+    from talefold.session import _own_scratch, clear_scratch
+    from talefold.sources.files import exists
+
+    clear_scratch(s)
+    assert not exists(s, _own_scratch(s))
     s.stop()
 
 
