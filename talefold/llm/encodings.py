@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from talefold.llm.arrow import map_rows, may_be_in, sum_counts
-from talefold.session import stage
+from talefold.session import stage, unstage
 
 #: Character pairs are counted in so many buckets (2 MB).
 BUCKETS = 1 << 18
@@ -278,7 +278,9 @@ def estimate(units: DataFrame, rounds: int = ROUNDS) -> DataFrame | None:
         )
         total = F.transform(number, lambda k: F.coalesce(F.try_element_at("weights", k), F.lit(0.0)) + F.element_at(added, k + 1))
         share = F.transform("total", lambda x: F.log(F.greatest(x / F.aggregate("total", F.lit(0.0), lambda a, b: a + b), F.lit(1e-9))))
+        before = prior
         prior = stage(sums.select("pool", total.alias("total")).select("pool", share.alias("logs")), "encoding-prior")
+        unstage(before)
     return prior
 
 

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from talefold.llm.arrow import add_slices, may_be_in
-from talefold.session import stage
+from talefold.session import stage, unstage
 
 WORD = re.compile(r"[^\W_]+")
 SHINGLE = 3
@@ -48,6 +48,8 @@ BITMAP = 4
 KEYS_PER_TASK = 6_000_000
 #: A key (made, shuffled, sorted) costs about as much as so many candidates that are checked by their bitmaps, as measured.
 CANDIDATES_PER_KEY = 12
+#: Records that share a shingle, about, up to which one task pairs them all; the key of a more frequent one is split.
+HOT = 20_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 #: Sets of one batch at most, so that a set's number and a 52-bit hash make one sortable word.
 BATCH = 4096
@@ -184,32 +186,55 @@ def prefix(n: np.ndarray, partner: np.ndarray, k: np.ndarray, width: np.ndarray,
     return np.minimum(n, n - need + np.minimum(m, need)).astype(np.int64)
 
 
-def subsets(x: np.ndarray, owner: np.ndarray, group: np.ndarray, width: int, flag: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Each `width` shingles of the same owner and group as one key: key, owner, and whether all are flagged."""
+def subsets(x: np.ndarray, owner: np.ndarray, group: np.ndarray, width: int, flag: np.ndarray, often: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Each `width` shingles of the same owner and group as one key: key, owner, whether all are flagged, and how often its rarest one occurs."""
     x = _mix(x)
+    often = np.zeros(len(x), np.int64) if often is None else often
     if width == 1:
-        return _mix(x), owner, flag
+        return _mix(x), owner, flag, often
     place = (owner << 40) | group
     order = np.argsort(place)
-    x, owner, flag, place = x[order], owner[order], flag[order], place[order]
+    x, owner, flag, place, often = x[order], owner[order], flag[order], place[order], often[order]
     begin, length = _runs(place)
     rest = np.repeat(begin + length, length) - np.arange(len(x)) - 1
     i = np.repeat(np.arange(len(x)), rest)
     j = i + 1 + _count_up(rest)
-    key, mark = x[i] + x[j], flag[i] & flag[j]
+    key, mark, few = x[i] + x[j], flag[i] & flag[j], np.minimum(often[i], often[j])
     if width == 2:
-        return _mix(key), owner[i], mark
+        return _mix(key), owner[i], mark, few
     rest = rest[j]
     a = np.repeat(np.arange(len(j)), rest)
     b = j[a] + 1 + _count_up(rest)
-    return _mix(key[a] + x[b]), owner[i[a]], mark[a] & flag[b]
+    return _mix(key[a] + x[b]), owner[i[a]], mark[a] & flag[b], np.minimum(few[a], often[b])
 
 
-def signatures(size: np.ndarray, x: np.ndarray, frequency: np.ndarray, widths: np.ndarray, t: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def split_hot(key: np.ndarray, owner: np.ndarray, often: np.ndarray, names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of more than HOT records as several: their records are dealt into groups by name, and each two groups (and each with itself) meet under a key of their own.
+
+    So no task pairs more than two groups, and no pair is missed. The lowest bit
+    of a key, which tells an index key, stays.
+    """
+    hot = often > HOT
+    if not hot.any():
+        return key, owner
+    parts = -(-often[hot] // HOT)
+    mine = (_mix(names.view(np.uint64)[owner[hot]]) % parts.astype(np.uint64)).astype(np.int64)
+    at = np.repeat(np.flatnonzero(hot), parts)
+    other = _count_up(parts)
+    mine = np.repeat(mine, parts)
+    low, high = np.minimum(mine, other).astype(np.uint64), np.maximum(mine, other).astype(np.uint64)
+    one = np.uint64(1)
+    split = (_mix((key[at] & ~one) + _mix((low << np.uint64(32)) + high + one)) & ~one) | (key[at] & one)
+    return np.concatenate([key[~hot], split]), np.concatenate([owner[~hot], owner[at]])
+
+
+def signatures(size: np.ndarray, x: np.ndarray, frequency: np.ndarray, widths: np.ndarray, t: float) -> tuple[np.ndarray, np.ndarray]:
     """Keys of a batch of sets: key (its lowest bit tells an index key), owner."""
+    names = set_ids(size, x)
     owner = np.repeat(np.arange(len(size)), size)
     rank = np.minimum(frequency[bucket(x)], 0xFFFF).astype(np.uint64)
     x = x[np.argsort((owner.astype(np.uint64) << (_WORD - _OWNER_BITS)) | (rank << np.uint64(36)) | (x >> np.uint64(28)))]
+    often = frequency[bucket(x)].astype(np.int64) - int(frequency.mean())  # without what chance puts into each bucket
     place = np.arange(len(x)) - np.repeat(np.cumsum(size) - size, size)
     own = size_class(size)
     keys, owners = [], []
@@ -225,9 +250,10 @@ def signatures(size: np.ndarray, x: np.ndarray, frequency: np.ndarray, widths: n
                 mine, c = owner[use], k[at[use]]
                 g = groups(c, np.full(len(c), width), t).astype(np.uint64)
                 deal = (_mix(x[use] + np.uint64(11)) >> np.uint64(20)) % (g if width > 1 else np.uint64(1))
-                key, who_of, flag = subsets(x[use], mine, deal.astype(np.int64), width, place[use] < index[at[use]])
+                key, who_of, flag, few = subsets(x[use], mine, deal.astype(np.int64), width, place[use] < index[at[use]], often[use])
                 key = _mix(key + c_of(c, mine, who_of))
-                keys.append((key & ~np.uint64(1)) | flag.astype(np.uint64))
+                key, who_of = split_hot((key & ~np.uint64(1)) | flag.astype(np.uint64), who_of, few, names)
+                keys.append(key)
                 owners.append(who_of)
 
     def c_of(c: np.ndarray, mine: np.ndarray, who_of: np.ndarray) -> np.ndarray:
@@ -551,7 +577,9 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
+        last = now
         now = stage(small, "neardup-stars")
+        unstage(last)
         state = now.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
         if state == before:
             return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

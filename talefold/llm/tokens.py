@@ -13,6 +13,7 @@ import base64
 import os
 
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -110,15 +111,18 @@ def encode(df: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: s
     """doc_id and ids of each row, in one pass without a shuffle.
 
     Null and empty texts get an empty list. Every row counts, repeated rows
-    too; other columns are not read. The vocabulary must lie at the same path
-    on each executor.
+    too; other columns are not read. The driver hands the vocabulary's file out
+    to the executors.
     """
+    shipped = os.path.isfile(vocabulary)
+    if shipped:
+        df.sparkSession.sparkContext.addFile(vocabulary)
     rows = df.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("t"))
 
     def make():
         import numpy as np
 
-        encoder = _encoder(vocabulary)
+        encoder = _encoder(SparkFiles.get(os.path.basename(vocabulary)) if shipped else vocabulary)
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             flat: list[int] = []

@@ -60,6 +60,32 @@ def test_same_pairs_as_brute_force(spark, monkeypatch, width):
     assert {tuple(r) for r in N.near_duplicate_pairs(frame(spark, rows)).collect()} == brute(rows)
 
 
+@pytest.mark.parametrize("width", [1, 2])
+def test_split_keys_and_many_ranges_give_the_same_pairs(spark, monkeypatch, width):
+    """Every shared key split into groups, and keys dealt into a thousand ranges."""
+    rows = corpus(width + 7)
+    monkeypatch.setattr(N, "HOT", 2)
+    monkeypatch.setattr(N, "KEYS_PER_TASK", 100)
+    monkeypatch.setattr(N, "plan_widths", lambda *a: (np.full(N.CLASSES, width), 1e5))
+    # functions that run in workers see the module as it is on disk, so the split is tested by itself as well
+    assert {tuple(r) for r in N.near_duplicate_pairs(frame(spark, rows)).collect()} == brute(rows)
+
+
+def test_every_two_records_of_a_split_key_meet_once_at_least(monkeypatch):
+    monkeypatch.setattr(N, "HOT", 10)
+    r = np.random.default_rng(3)
+    names = r.integers(-(1 << 62), 1 << 62, 95)
+    key, owner = np.full(95, 12345 << 1, np.uint64), np.arange(95)
+    out, who = N.split_hot(key, owner, np.full(95, 95), names)
+    met, sizes = set(), []
+    for k in np.unique(out):
+        inside = who[out == k]
+        sizes.append(len(inside))
+        met |= {(int(a), int(b)) for a in inside for b in inside if a < b}
+    assert len(met) == 95 * 94 // 2 and max(sizes) < 60 and len(out) == 95 * 10
+    assert len(N.split_hot(key, owner, np.full(95, 5), names)[0]) == 95
+
+
 def test_width_grows_with_the_frequencies():
     rare, common = np.full(1 << 20, 2, np.int32), np.full(1 << 20, 500_000, np.int32)
     few = N.plan_widths({7: (10_000, 1_500_000)}, rare, 10_000, 0.6)[0][7]
