@@ -9,7 +9,7 @@ from talefold.config import EngineConfig
 from talefold.functions.text import preview
 from talefold.operators import books, collection, metadata
 from talefold.plans.pipeline import collection_rows
-from talefold.plans.sql import SPACE, strip
+from talefold.plans.sql import SPACE, chunks, strip
 from talefold.session import scratch_dir
 from talefold.streaming import ingest as stream
 
@@ -180,7 +180,11 @@ def tpch_q5(spark, sf):
 
 
 _BLANK = f"[{SPACE}]*"
+_CHUNKS = f"{chunks('doc_id', 'documents')} SELECT doc_id || '_chunk_' || no AS id, chunk AS document FROM chunks"
 ORACLE = {
+    "batch_ingest": _CHUNKS,
+    "stream_ingest": _CHUNKS,
+    "story_records": f"{chunks('doc_id', 'documents')}, n AS (SELECT doc_id, count(*) AS n FROM chunks GROUP BY doc_id) SELECT doc_id::VARCHAR AS title, doc_id::VARCHAR AS id, coalesce(n, 0)::INT AS n_chunks, 'unknown' AS author FROM documents LEFT JOIN n USING (doc_id)",
     "ingest_manifest": """SELECT coalesce(id, '') || '_chunk_' || row_id AS id, length(raw_text) AS n, meta.title AS title, Is_series, json_object('author', meta.author, 'title', meta.title)::VARCHAR AS meta_json, 'setup' AS section
  FROM series_records WHERE raw_text IS NOT NULL""",
     "ingest_manifest_nested": """SELECT coalesce(id, '') || '_chunk_' || row_id AS id, coalesce(nullif(id, ''), meta.title) AS story_id,

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from talefold.functions import chunk, text
 from talefold.models import embed, summarise
 from talefold.operators import enrich, evaluate
-from talefold.plans.sql import SPACE, WIDE, strip, words
+from talefold.plans.sql import SPACE, WIDE, chunks, strip, words
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -163,6 +163,7 @@ _SHORT = f"""{_SECTIONS}, five AS (SELECT row_id, unnest(range(1, 6))::INT AS n
  counted AS (SELECT row_id, n, len(regexp_extract_all(coalesce(body, ''), '[^.!?]+[.!?]')) AS sentences FROM five LEFT JOIN bodies USING (row_id) WHERE bodies.section IS NULL OR true)""".replace("LEFT JOIN bodies USING (row_id) WHERE bodies.section IS NULL OR true", "LEFT JOIN bodies ON bodies.row_id = five.row_id AND section = n").replace("SELECT row_id, n, len(", "SELECT five.row_id, n, len(")
 
 ORACLE = {
+    "chunk_documents": f"{chunks('doc_id', 'documents')} SELECT doc_id, no::INT AS chunk_no, title || '_chunk_' || no AS chunk_id, chunk FROM chunks JOIN documents USING (doc_id)",
     "section_bodies": f"WITH {_SECTIONS} SELECT row_id, section, body FROM bodies",
     "short_sections": f"WITH {_SHORT} SELECT row_id, n, sentences FROM counted WHERE sentences < 3",
     "completeness_sections": f"""WITH {_SHORT.replace('raw_text', _RAW).replace(f'WHERE {_RAW} IS NOT NULL', '')},
