@@ -15,10 +15,12 @@ import math
 import re
 import uuid
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -291,8 +293,8 @@ def _tally_batch(words: list[str], counts: list[int], slices: list[int | None],
     return pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(counts, pa.int64()), pa.array(slices, pa.int32()), pa.array(blobs, pa.binary())], ["w", "n", "slice", "counts"])
 
 
-def vocabularies(texts: DataFrame) -> list:
-    """The collection's Vocabulary as broadcasts, one for each block of at most BLOCK words.
+def vocabularies(texts: DataFrame) -> list[Callable[[], Broadcast]]:
+    """For each block of at most BLOCK words of the collection's Vocabulary a function that broadcasts it.
 
     One pass over all texts counts the texts of each word and the neighbours of
     words; each task adds up its own first. A word stands in the vocabulary from
@@ -345,11 +347,12 @@ def vocabularies(texts: DataFrame) -> list:
     known = counts.where(F.col("n") >= LEAST_TEXTS)
     n, most = known.agg(F.count("*"), F.coalesce(F.max("n"), F.lit(0))).first()
     blocks = max(1, math.ceil(n / BLOCK))
-    out = []
-    for k in range(blocks):
+
+    def block(k: int) -> Broadcast:
         mine = known.where(F.pmod(F.xxhash64("w"), F.lit(blocks)) == k) if blocks > 1 else known
-        out.append(spark.sparkContext.broadcast(Vocabulary({r["w"]: r["n"] for r in mine.toLocalIterator()}, own, context, most)))
-    return out
+        return spark.sparkContext.broadcast(Vocabulary({r["w"]: r["n"] for r in mine.toLocalIterator()}, own, context, most))
+
+    return [partial(block, k) for k in range(blocks)]
 
 
 def _texts(parts: list[tuple[DataFrame, str, str]]) -> DataFrame:
@@ -361,55 +364,87 @@ def _texts(parts: list[tuple[DataFrame, str, str]]) -> DataFrame:
     return out
 
 
-def scanned(parts: list[tuple[DataFrame, str, str]]) -> DataFrame:
-    """tbl, row_id, splits, mixed, misread, furniture: the rows of (table, its name, its text column) that show traces of a scan.
+TRACES = ["splits", "mixed", "misread", "furniture"]
 
-    One vocabulary is counted over all given tables; of a vocabulary of several
-    blocks, a row's traces are the most that one block shows. Null and blank
-    texts show nothing; a repeated row counts under its own id.
-    """
-    texts = _texts(parts)
-    shared = vocabularies(texts.select("t"))
+
+def _traced(texts: DataFrame, shared: Broadcast) -> DataFrame:
+    """tbl, row_id, text_hash and TRACES of the rows that show some by one block of the vocabulary."""
 
     def make():
+        reader = _reader(shared)
+
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            readers = [_reader(v) for v in shared]
             keep, numbers = [], []
             for k, t in enumerate(batch.column(2).to_pylist()):
-                got = [max(x) for x in zip(*(reader.traces(t) for reader in readers))]
+                got = reader.traces(t)
                 if any(got):
                     keep.append(k)
                     numbers.append(got)
             at = pa.array(keep, pa.int64())
             cols = [pa.array([x[c] for x in numbers], pa.int32()) for c in range(4)]
-            return pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), *cols], ["tbl", "row_id", "splits", "mixed", "misread", "furniture"])
+            return pa.RecordBatch.from_arrays([*[batch.column(c).take(at) for c in (0, 1, 3)], *cols], ["tbl", "row_id", "text_hash", *TRACES])
 
         return step
 
-    return map_rows(texts, "tbl string, row_id bigint, splits int, mixed int, misread int, furniture int", make)
+    return map_rows(texts.withColumn("text_hash", F.xxhash64("t")), "tbl string, row_id bigint, text_hash bigint, splits int, mixed int, misread int, furniture int", make)
 
 
-def repaired(parts: list[tuple[DataFrame, str, str]]) -> DataFrame:
-    """tbl, row_id, repaired: the text of each scanned row as continuous paragraphs; several blocks repair it one after the other."""
+def scanned(parts: list[tuple[DataFrame, str, str]]) -> DataFrame:
+    """tbl, row_id, splits, mixed, misread, furniture: the rows of (table, its name, its text column) that show traces of a scan.
+
+    One vocabulary is counted over all given tables. Null and blank texts show
+    nothing; a repeated row counts under its own id. A vocabulary of several
+    blocks takes a pass for each, of which one is broadcast at a time; a row's
+    traces are then the most that one block shows, and rows of one id and text
+    come once.
+    """
     texts = _texts(parts)
-    shared = vocabularies(texts.select("t"))
+    blocks = vocabularies(texts.select("t"))
+    if len(blocks) == 1:
+        return _traced(texts, blocks[0]()).drop("text_hash")
+    out = None
+    for block in blocks:
+        shared = block()
+        rows = stage(_traced(texts, shared), "scan-pass")
+        shared.destroy()
+        out = rows if out is None else out.unionByName(rows)
+    return out.groupBy("tbl", "row_id", "text_hash").agg(*[F.max(c).alias(c) for c in TRACES]).drop("text_hash")
+
+
+def _mended(texts: DataFrame, shared: Broadcast, all_rows: bool) -> DataFrame:
+    """tbl, row_id, t, hit: each text that shows traces repaired, the others left out unless `all_rows`."""
 
     def make():
+        reader = _reader(shared)
+
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            readers = [_reader(v) for v in shared]
-            keep, out = [], []
-            for k, t in enumerate(batch.column(2).to_pylist()):
-                if any(reader.is_scan(t) for reader in readers):
+            keep, out, hits = [], [], []
+            for k, (t, hit) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())):
+                found = reader.is_scan(t)
+                if found or all_rows or hit:
                     keep.append(k)
-                    for reader in readers:
-                        t = reader.repair(t)
-                    out.append(t)
+                    out.append(reader.repair(t) if found or hit else t)
+                    hits.append(found or hit)
             at = pa.array(keep, pa.int64())
-            return pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(out, pa.string())], ["tbl", "row_id", "repaired"])
+            return pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(out, pa.string()), pa.array(hits, pa.bool_())], ["tbl", "row_id", "t", "hit"])
 
         return step
 
-    return map_rows(texts, "tbl string, row_id bigint, repaired string", make)
+    return map_rows(texts, "tbl string, row_id bigint, t string, hit boolean", make)
+
+
+def repaired(parts: list[tuple[DataFrame, str, str]]) -> DataFrame:
+    """tbl, row_id, repaired: the text of each scanned row as continuous paragraphs; several blocks repair it one after the other."""
+    texts = _texts(parts)
+    blocks = vocabularies(texts.select("t"))
+    rows = texts.withColumn("hit", F.lit(False))
+    for k, block in enumerate(blocks):
+        shared = block()
+        rows = _mended(rows, shared, k + 1 < len(blocks))
+        if len(blocks) > 1:
+            rows = stage(rows, "scan-repair")
+            shared.destroy()
+    return rows.where("hit").select("tbl", "row_id", F.col("t").alias("repaired"))
 
 
 _READERS: dict[str, Reader] = {}
