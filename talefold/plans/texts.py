@@ -102,12 +102,6 @@ def chunk_documents(spark, sf):
     return chunk.chunked(d, "title", "text").select("doc_id", "chunk_no", "chunk_id", "chunk")
 
 
-def chunk_paragraph_pack(spark, sf):
-    """Documents whose paragraphs all fit; pieces of up to 600 characters."""
-    d = _docs(spark, sf, text.newline_trim(F.col("text")).alias("t")).where("t is not null").where(F.coalesce(F.array_max(F.transform(F.split("t", r"\n\s*\n+"), F.length)), F.lit(0)) <= 600)
-    return d.select("doc_id", F.size(chunk.packed_paragraphs(F.col("t"), 600)).alias("n_chunks"))
-
-
 def chunk_paragraph_pack_all(spark, sf):
     """All documents with a text; pieces of up to 1,800 characters, a longer paragraph is a piece of its own."""
     d = _docs(spark, sf, text.newline_trim(F.col("text")).alias("t")).where("t is not null")
@@ -201,11 +195,6 @@ ORACLE = {
     "label_cleanup": f"SELECT row_id, lower({strip(f'''split_part({strip('section')}, chr(10), 1)''')}) AS label FROM village_chunks",
     "merge_paragraphs": f"""WITH b AS (SELECT doc_id, list_transform(string_split(replace(replace(text, chr(10) || chr(10), chr(1)), chr(13), ''), chr(1)), lambda p: array_to_string(list_filter(list_transform(string_split(p, chr(10)), lambda l: {strip('l')}), lambda l: l <> ''), ' ')) AS b FROM documents)
  SELECT doc_id, array_to_string(list_filter(b, lambda p: p <> ''), chr(10)) AS out FROM b""",
-    "chunk_paragraph_pack": f"""WITH RECURSIVE t AS (SELECT doc_id, {strip("replace(text, chr(13) || chr(10), chr(10))")} AS t FROM documents WHERE text IS NOT NULL),
- p AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(t, '\\n\\s*\\n+'), lambda x: trim(x)), lambda x: x <> '') AS p FROM t WHERE list_max(list_transform(regexp_split_to_array(t, '\\n\\s*\\n+'), lambda x: length(x))) <= 600),
- s AS (SELECT doc_id, p, 0 AS i, 0 AS n, 0 AS size FROM p UNION ALL
-  SELECT doc_id, p, i + 1, CASE WHEN n > 0 AND size + length(p[i + 1]) + 2 <= 600 THEN n ELSE n + 1 END, CASE WHEN n > 0 AND size + length(p[i + 1]) + 2 <= 600 THEN size + length(p[i + 1]) + 2 ELSE length(p[i + 1]) END FROM s WHERE i < len(p))
- SELECT doc_id, n AS n_chunks FROM s WHERE i = len(p)""",
     "chunk_paragraph_pack_all": f"""WITH RECURSIVE t AS (SELECT doc_id, {strip("replace(text, chr(13) || chr(10), chr(10))")} AS t FROM documents WHERE text IS NOT NULL),
  p AS (SELECT doc_id, list_transform(list_filter(list_transform(regexp_split_to_array(t, '\\n\\s*\\n+'), lambda x: trim(x)), lambda x: x <> ''), lambda x: length(x)) AS p FROM t),
  s AS (SELECT doc_id, p, 0 AS i, 0 AS n, 0 AS size FROM p UNION ALL
@@ -223,5 +212,5 @@ ORACLE = {
 QUERIES = {
     f.__name__: f
     for f in (word_count, completeness, completeness_sections, section_bodies, short_sections, entities, strip_think, repair_json, searchable_text, safe_title, story_types, label_cleanup, format_extracted, clean_story, sentence_split,
-              merge_paragraphs, url_quote, chunk_documents, chunk_paragraph_pack, chunk_paragraph_pack_all, section_tag, label_streak, embed_documents, summaries, listed_models)
+              merge_paragraphs, url_quote, chunk_documents, chunk_paragraph_pack_all, section_tag, label_streak, embed_documents, summaries, listed_models)
 }
